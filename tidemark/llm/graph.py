@@ -37,6 +37,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return settle(roots.select("node", F.col("root").alias("component")))
 
 
+def hub_groups(keys: DataFrame) -> DataFrame:
+    """(hub, node): for each bucket of ``keys`` (node, key) with several rows, its smallest node with each of its nodes, once.
+
+    Any two nodes with a common key have a common hub; nodes with many common keys meet
+    under few hubs, so their pairs are not listed for each key.
+    """
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return settle(keys.join(hubs, "key").select("hub", "node").distinct())
+
+
+def with_group(rows: DataFrame, group: str, **totals: Column) -> DataFrame:
+    """Adds aggregates of the row's group. They are written first, so both sides of the join are plain shuffles and a hot group's can be split."""
+    known = settle(rows.groupBy(group).agg(*[c.alias(name) for name, c in totals.items()]))
+    return rows.join(known, group)
+
+
 def in_blocks(rows: DataFrame, group: str, member: str, blocks: Column) -> DataFrame:
     """Deal the rows of each group out to pairs of blocks, so no task needs a whole group.
 

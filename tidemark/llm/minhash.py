@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .arrays import Shingler, components_of, mix, odd_numbers, set_print, text_slices
-from .graph import by_group, connected_components, in_blocks
+from .graph import by_group, connected_components, hub_groups, in_blocks, with_group
 
 SYMBOLS, CHUNKS = 28, 7
 #: Rows of a group that meet another block's rows in one task; a task holds two blocks.
@@ -78,10 +78,9 @@ def candidate_edges(nodes: DataFrame, symbols: int = SYMBOLS, chunks: int = CHUN
     """
     most = 2 * chunks - 1
     keys = nodes.select("node", F.explode(chunk_keys(F.col("signature"), symbols, chunks)).alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    under = hub_groups(keys)
     under = settle(keys.join(hubs, "key").select("hub", "node").distinct())
-    sizes = under.groupBy("hub").agg(F.count("*").alias("n"))
-    rows = under.join(sizes, "hub").join(nodes.select("node", "signature"), "node")
+    rows = with_group(under, "hub", n=F.count("*")).join(nodes.select("node", "signature"), "node")
     rows = in_blocks(rows, "hub", "node", F.ceil(F.col("n") / (2 * BLOCK_ROWS))).drop("n")
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
@@ -152,9 +151,8 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: s
             linked &= block[:, None] != block[None, :]
         return forest(node, linked)
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES))
-    wanted = groups.join(sizes, "component").select("node", "component", blocks.cast("int").alias("blocks"))
+    wanted = with_group(groups, "component", n=F.count("*"), shingles=F.sum("n_shingles")).select("node", "component", blocks.cast("int").alias("blocks"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     rows = wanted.join(texts, "node").mapInArrow(sets, "node long, component long, blocks int, hashes binary")
     rows = in_blocks(rows, "component", "node", F.col("blocks")).drop("blocks")

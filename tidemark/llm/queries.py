@@ -6,17 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .captures import read_archives, write_archives
+from .decontam import benchmark_overlaps
 from .minhash import near_duplicates
+from .mixing import mix
+from .pivots import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_archives(spark, write_archives(table(spark, sf_dir, "pages")))
+    return found.select(found.capture.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_minhash": op8_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivots": op1_pivots,
+    "op3_mixing": op3_mixing,
+    "op4_decontam": op4_decontam,
+    "op5_captures": op5_captures,
+    "op8_minhash": op8_minhash,
+}
 
 ORACLES: dict[str, str] = {}
