@@ -10,7 +10,11 @@ from .captures import read_archives, write_archives
 from .decontam import benchmark_overlaps
 from .minhash import near_duplicates
 from .mixing import mix
+from .personal import personal_data
 from .pivots import near_vectors
+from .quality import quality
+from .secrets import secrets
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +38,36 @@ def op5_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.capture.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivots": op1_pivots,
     "op3_mixing": op3_mixing,
     "op4_decontam": op4_decontam,
     "op5_captures": op5_captures,
+    "op6_quality": op6_quality,
+    "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
+    "op9_personal": op9_personal,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
