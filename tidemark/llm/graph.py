@@ -8,33 +8,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import Scratch, settle
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); the component is its smallest node.
 
-    Each round joins every node to its smallest neighbour or itself and contracts the
-    graph to those, so at least half of the nodes that still have a neighbour go. A
-    star needs one round. Nothing but a row count comes to the driver.
+    Each round gives every node a random priority, joins it to the first of itself and
+    its neighbours, and that one to its first, and contracts the graph to those; so a
+    share of the nodes goes in each round whatever the graph's shape, and a star needs
+    two. Nothing but whether edges are left comes to the driver.
     """
-    edges = settle(edges.select("a", "b").where("a <> b").distinct())
-    steps: list[DataFrame] = []
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        step = settle(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")))
-        steps.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = settle(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    # Compose the steps from the last to the first, so that each join has the smaller side's size.
-    roots = steps[-1]
-    for step in reversed(steps[:-1]):
-        later = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        roots = step.join(later, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-    return settle(roots.select("node", F.col("root").alias("component")))
+    with Scratch(edges.sparkSession) as scratch:
+        edges = scratch.table(edges.select("a", "b").where("a <> b").distinct())
+        steps: list[DataFrame] = []
+        while not edges.isEmpty():
+            both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+            seed = F.lit(len(steps))
+            turn = lambda c, seed=seed: F.struct(F.xxhash64(c, seed).alias("turn"), F.col(c).alias("to"))
+            first = scratch.table(both.groupBy("node").agg(F.min(turn("other")).alias("other")).select("node", F.least(turn("node"), F.col("other"))["to"].alias("root")))
+            jump = first.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            step = scratch.table(first.join(jump, "root").select("node", F.col("further").alias("root")))
+            steps.append(step)
+            left = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+            right = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            edges = scratch.table(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if not steps:
+            return settle(edges.select(F.col("a").alias("node"), F.col("b").alias("component")))
+        # Compose the steps from the last to the first.
+        roots = steps[-1]
+        for step in reversed(steps[:-1]):
+            later = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            roots = scratch.table(step.join(later, "root", "left").select("node", F.coalesce("further", "root").alias("root")))
+        least = scratch.table(roots.groupBy("root").agg(F.min("node").alias("component")))
+        return settle(roots.join(least, "root").select("node", "component"))
 
 
 def hub_groups(keys: DataFrame) -> DataFrame:

@@ -79,7 +79,6 @@ def candidate_edges(nodes: DataFrame, symbols: int = SYMBOLS, chunks: int = CHUN
     most = 2 * chunks - 1
     keys = nodes.select("node", F.explode(chunk_keys(F.col("signature"), symbols, chunks)).alias("key"))
     under = hub_groups(keys)
-    under = settle(keys.join(hubs, "key").select("hub", "node").distinct())
     rows = with_group(under, "hub", n=F.count("*")).join(nodes.select("node", "signature"), "node")
     rows = in_blocks(rows, "hub", "node", F.ceil(F.col("n") / (2 * BLOCK_ROWS))).drop("n")
 
@@ -179,5 +178,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links).select("node", F.col("component").alias("root"))
     known = classes.join(roots, "node", "left").select("print_a", "print_b", F.coalesce("root", "node").alias("root"), "copies", "node").where("copies > 1 or root <> node")
     found = signed.drop("signature").join(known.select("print_a", "print_b", "root"), ["print_a", "print_b"], "left")
-    component = F.coalesce("root", "node")
+    component = F.when(F.col("node").isNotNull(), F.coalesce("root", "node"))
     return found.select(F.col("node").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest id; of rows that repeat an id one stays, rows with a null id all stay.
+
+    Only ids that go or repeat are joined to the texts, so the texts are not shuffled while those are few.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    marks = found.groupBy(F.col(id_col).alias("_marked")).agg(F.max(F.when(F.col("kept"), 0).otherwise(1)).alias("_gone"), F.count("*").alias("_rows"))
+    marks = settle(marks.where("_gone = 1 or _rows > 1"))
+    rest = docs.join(marks, F.col(id_col) == F.col("_marked"), "left").where("_gone is null or _gone = 0")
+    once = rest.where("_rows is null")
+    repeated = rest.where("_rows > 1").dropDuplicates(["_marked"])
+    return once.unionByName(repeated).drop("_marked", "_gone", "_rows")

@@ -17,19 +17,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle
 from .graph import by_group, connected_components, hub_groups, in_blocks, with_group
 from .minhash import forest
 
-PREFIX, SHARED = 6, 3
+PREFIX, SHARED = 8, 3
 #: The pivots come from this many rows at most; their number follows the cube root of the number of vectors within these bounds.
 SAMPLE, FEWEST, MOST = 4096, 128, 4096
 BLOCK_ROWS = 128
 
 
 def units(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(node, unit, dim): unit vectors as bytes of doubles; unit is null where a vector is null, zero, or has a null or non-finite component."""
+    """(node, vector, dim): the vectors as bytes of doubles or, where the column holds floats, of floats; null where a vector is null, zero, or has a null or non-finite component."""
+    kind = number_type(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,24 +46,33 @@ def units(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             for n in size:
                 v = value[at : at + n]
                 at += n
-                top = np.abs(v).max() if n else 0.0
-                if not (0 < top < np.inf):
-                    found.append(None)
-                    continue
-                v = v / top
-                found.append((v / np.sqrt(v @ v) + 0.0).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pa.array(size, pa.int32())], ["node", "unit", "dim"])
+                found.append((v + 0.0).astype(kind).tobytes() if n and 0 < np.abs(v).max() < np.inf else None)
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pa.array(size, pa.int32())], ["node", "vector", "dim"])
 
     source = vectors.select(F.col(id_col).cast("long").alias("node"), F.col(vector_col).alias("vector"))
-    return source.mapInArrow(run, "node long, unit binary, dim int")
+    return source.mapInArrow(run, "node long, vector binary, dim int")
 
 
-def choose_pivots(classes: DataFrame, count: int) -> np.ndarray:
+def number_type(vectors: DataFrame, vector_col: str) -> str:
+    return "f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "f8"
+
+
+def unit_rows(vectors: list[bytes], kind: str, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors as doubles, padded with zeros or cut to one width; their own lengths)."""
+    own = [np.frombuffer(v, kind).astype(float) for v in vectors]
+    size = np.array([len(v) for v in own])
+    x = np.zeros((len(own), width or size.max()))
+    for i, v in enumerate(own):
+        v = v / np.abs(v).max()
+        v = v[: x.shape[1]] / np.sqrt(v @ v)
+        x[i, : len(v)] = v
+    return x, size
+
+
+def choose_pivots(classes: DataFrame, count: int, kind: str) -> np.ndarray:
     """``count`` unit vectors far from each other (greedy k-centre), from a bounded sample in the order of a hash of the id."""
-    rows = classes.orderBy(F.xxhash64("node"), "tag_a", "tag_b").limit(SAMPLE).select("unit").collect()
-    found = [np.frombuffer(r.unit, float) for r in rows]
-    width = max(map(len, found))
-    sample = np.array([np.pad(v, (0, width - len(v))) for v in found])
+    rows = classes.orderBy(F.xxhash64("node"), "tag_a", "tag_b").limit(SAMPLE).select("vector").collect()
+    sample, _ = unit_rows([r.vector for r in rows], kind)
     nearest = np.full(len(sample), -2.0)
     chosen = [0]
     while True:
@@ -71,7 +82,7 @@ def choose_pivots(classes: DataFrame, count: int) -> np.ndarray:
         chosen.append(int(nearest.argmin()))
 
 
-def pivot_keys(classes: DataFrame, pivots: np.ndarray, prefix: int, shared: int) -> DataFrame:
+def pivot_keys(classes: DataFrame, pivots: np.ndarray, prefix: int, shared: int, kind: str) -> DataFrame:
     """(node, key): a row for every ``shared`` of the ``prefix`` pivots that are nearest to the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,16 +92,15 @@ def pivot_keys(classes: DataFrame, pivots: np.ndarray, prefix: int, shared: int)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                unit = [np.frombuffer(u, float) for u in part.column(1).to_pylist()]
-                x = np.array([np.pad(v[:width], (0, max(0, width - len(v)))) for v in unit])
+                x, size = unit_rows(part.column(1).to_pylist(), kind, width)
                 order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :long]
                 order.sort(axis=1)
-                key = np.array([len(v) for v in unit], np.int64)[:, None].repeat(len(picks), 1) & 0x7FFF
+                key = size.astype(np.int64)[:, None].repeat(len(picks), 1) & 0x7FFF
                 for c in range(few):
                     key = (key << 16) | order[:, picks[:, c]]
                 yield pa.record_batch([pa.array(part.column(0).to_numpy().repeat(len(picks))), pa.array(key.ravel())], ["node", "key"])
 
-    return classes.select("node", "unit").mapInArrow(run, "node long, key long")
+    return classes.select("node", "vector").mapInArrow(run, "node long, key long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, prefix: int = PREFIX, shared: int = SHARED) -> DataFrame:
@@ -103,43 +113,40 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     row counts as a vector. A null id has no link, a null component and kept = false.
     Other columns are ignored.
     """
-    named = units(vectors, id_col, vector_col).withColumn("tag_a", F.xxhash64("unit")).withColumn("tag_b", F.xxhash64("unit", F.lit(1)))
+    named = units(vectors, id_col, vector_col).withColumn("tag_a", F.xxhash64("vector")).withColumn("tag_b", F.xxhash64("vector", F.lit(1)))
     rows = settle(named)
-    usable = rows.where("unit is not null and node is not null")
-    classes = settle(usable.groupBy("tag_a", "tag_b").agg(F.min("node").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
+    usable = rows.where("vector is not null and node is not null")
+    kind = number_type(vectors, vector_col)
+    classes = settle(usable.groupBy("tag_a", "tag_b").agg(F.min("node").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
     n = classes.count()
     links = None
     if n > 1:
         keys_each = len(list(combinations(range(prefix), shared)))
         count = int(np.clip(np.ceil((12 * n * keys_each) ** (1 / 3)), FEWEST, MOST))
-        pivots = choose_pivots(classes, count)
-        links = connected_components(linked_pairs(classes, pivots, least, prefix, shared))
-    known = degrees(classes, links, least) if links is not None else classes.select("tag_a", "tag_b", "node", "copies", F.col("node").alias("root"), (F.col("copies") - 1).alias("n_links"))
-    found = rows.select("node", *[F.when(F.col("node").isNotNull() & F.col("unit").isNotNull(), F.col(t)).alias(t) for t in ("tag_a", "tag_b")])
+        pivots = choose_pivots(classes, count, kind)
+        links = connected_components(linked_pairs(classes, pivots, least, prefix, shared, kind))
+    known = degrees(classes, links, least, kind) if links is not None else classes.select("tag_a", "tag_b", "node", "copies", F.col("node").alias("root"), (F.col("copies") - 1).alias("n_links"))
+    found = rows.select("node", *[F.when(F.col("node").isNotNull() & F.col("vector").isNotNull(), F.col(t)).alias(t) for t in ("tag_a", "tag_b")])
     found = found.join(known.where("n_links > 0").select("tag_a", "tag_b", "root", "n_links"), ["tag_a", "tag_b"], "left")
-    component = F.coalesce("root", "node")
+    component = F.when(F.col("node").isNotNull(), F.coalesce("root", "node"))
     return found.select(F.col("node").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(False)).alias("kept"))
 
 
-def linked_pairs(classes: DataFrame, pivots: np.ndarray, least: float, prefix: int, shared: int) -> DataFrame:
+def linked_pairs(classes: DataFrame, pivots: np.ndarray, least: float, prefix: int, shared: int, kind: str) -> DataFrame:
     """(a, b): a forest of the linked pairs that share enough pivots."""
-    under = hub_groups(pivot_keys(classes, pivots, prefix, shared))
-    members = with_group(under, "hub", n=F.count("*")).join(classes.select("node", "unit"), "node")
+    under = hub_groups(pivot_keys(classes, pivots, prefix, shared, kind))
+    members = with_group(under, "hub", n=F.count("*")).join(classes.select("node", "vector"), "node")
     members = in_blocks(members, "hub", "node", F.ceil(F.col("n") / BLOCK_ROWS)).drop("n")
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
-        return forest(group["node"].to_numpy(), linked(group, least))
+        return forest(group["node"].to_numpy(), linked(group, least, kind))
 
     return by_group(members, ["hub", "low", "high"], work, "a long, b long")
 
 
-def linked(group: pa.Table, least: float) -> np.ndarray:
+def linked(group: pa.Table, least: float, kind: str) -> np.ndarray:
     """Which rows are linked; in a pair of different blocks, only rows of one with rows of the other."""
-    unit = [np.frombuffer(u, float) for u in group["unit"].to_pylist()]
-    size = np.array([len(u) for u in unit])
-    x = np.zeros((len(unit), size.max()))
-    for i, u in enumerate(unit):
-        x[i, : len(u)] = u
+    x, size = unit_rows(group["vector"].to_pylist(), kind)
     near = (x @ x.T >= least) & (size[:, None] == size[None, :])
     if group["low"][0].as_py() != group["high"][0].as_py():
         block = group["block"].to_numpy()
@@ -147,17 +154,17 @@ def linked(group: pa.Table, least: float) -> np.ndarray:
     return near
 
 
-def degrees(classes: DataFrame, links: DataFrame, least: float) -> DataFrame:
+def degrees(classes: DataFrame, links: DataFrame, least: float, kind: str) -> DataFrame:
     """Each class with its root and number of links."""
     members = settle(classes.join(links.select("node", F.col("component").alias("root")), "node"))
     rows = in_blocks(with_group(members, "root", n=F.count("*")), "root", "tag_a", F.ceil(F.col("n") / BLOCK_ROWS)).drop("n")
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
-        near = linked(group, least)
+        near = linked(group, least, kind)
         np.fill_diagonal(near, False)
         others = near @ group["copies"].to_numpy()
         return pa.record_batch([group["tag_a"].combine_chunks(), group["tag_b"].combine_chunks(), pa.array(others)], ["tag_a", "tag_b", "others"])
 
     others = by_group(rows, ["root", "low", "high"], work, "tag_a long, tag_b long, others long").groupBy("tag_a", "tag_b").agg(F.sum("others").alias("others"))
-    known = classes.drop("unit").join(links.select("node", F.col("component").alias("root")), "node", "left").join(others, ["tag_a", "tag_b"], "left")
+    known = classes.drop("vector").join(links.select("node", F.col("component").alias("root")), "node", "left").join(others, ["tag_a", "tag_b"], "left")
     return known.select("tag_a", "tag_b", "node", "copies", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
