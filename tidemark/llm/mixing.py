@@ -143,3 +143,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = wanted - passes * length
     taken = passes * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - before))
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with size, source_size, target and taken. Rows with equal ids have the same numbers, those of one of them."""
+    found = mix(docs, id_col, text_col, source_col, **options)
+    found = found.groupBy(F.col(id_col).alias("_mixed")).agg(F.max(F.struct("taken", "size", "source_size", "target")).alias("_mix"))
+    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_mixed"))).where("_mix.taken > 0")
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return rows.select(*names, "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .captures import read_archives, write_archives
 from .decontam import benchmark_overlaps
+from .maintext import extract
 from .minhash import near_duplicates
 from .mixing import mix
 from .personal import personal_data
@@ -25,6 +26,10 @@ def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -58,8 +63,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivots": op1_pivots,
+    "op2_maintext": op2_maintext,
     "op3_mixing": op3_mixing,
     "op4_decontam": op4_decontam,
     "op5_captures": op5_captures,
@@ -68,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_personal": op9_personal,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

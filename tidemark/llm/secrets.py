@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import byte_table, runs, text_slices
 from .spans import Span, any_in_text, apart, digest, longest_runs, secret_base, sha256
@@ -260,15 +261,15 @@ def format_spans(formats: Formats, data: np.ndarray, ends: np.ndarray, table: np
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, the ``keep`` columns, n_assign, n_access, n_hex and base_sha256 of the base spans, spans (all) and found (kind, start, end; code points).
+    """One row per row of ``docs``: _id, _text, the ``keep`` columns as _0, _1, ..., n_assign, n_access, n_hex and base_sha256 of the base spans, spans (all) and found (kind, start, end; code points).
 
     Base spans are leftmost and non-overlapping in each kind; added ones (``format``)
     overlap no other span. Null and empty texts have none; every text is read whole. Null
     ids and repeated rows are kept; other columns are ignored.
     """
     formats = Formats(labelled_strings())
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *keep)
-    schema = f"_id long, _text string, {''.join(f'`{c}` {docs.schema[c].dataType.simpleString()}, ' for c in keep)}n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind: string, start: bigint, end: bigint>>"
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+    schema = T.StructType(rows.schema.fields + T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind: string, start: bigint, end: bigint>>").fields)
     none = sha256("")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +303,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``secret_spans`` without the texts."""
-    return secret_spans(docs, id_col, text_col).drop("_text").withColumnRenamed("_id", id_col)
+    found = secret_spans(docs, id_col, text_col)
+    return found.select(F.col("_id").alias(id_col), *found.columns[2:])
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,4 +325,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     found = secret_spans(docs, id_col, text_col, tuple(others))
     cleaned = F.when(F.size("found") > 0, joined).otherwise(clear)
-    return found.select(*[F.col("_id").alias(id_col) if c == id_col else cleaned.alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    of = {c: f"_{i}" for i, c in enumerate(others)}
+    return found.select(*[F.col("_id").alias(id_col) if c == id_col else cleaned.alias(text_col) if c == text_col else F.col(of[c]).alias(c) for c in docs.columns])

@@ -131,13 +131,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         forms, shingler = Forms(), Shingler(5)
         for batch in batches:
             label = batch.column(0).to_numpy()
-            for row, _, data, ends in text_slices(batch.column(1)):
+            for row, end, data, ends in text_slices(batch.column(1)):
                 least = [int(mix(s).min()) >> 1 if len(s) else -1 for s in shingler.sets(data, ends)]
                 found, _, _, bound = forms.of(data, ends)
-                for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
-                    own, n = np.unique(np.concatenate([h[a:b] for h in found]), return_counts=True)
-                    keep = own != 0
-                    yield pa.record_batch([pa.array([label[row + i]], pa.int32()), pa.array([least[i]], pa.int64()), pa.array([b - a], pa.int64()), pa.array([own[keep].view(np.int64)], pa.list_(pa.int64())), pa.array([n[keep]], pa.list_(pa.int64()))], ["label", "least", "words", "form", "n"])
+                form, n = [], []
+                for a, b in zip(bound[:-1], bound[1:], strict=True):
+                    h, count = np.unique(np.concatenate([f[a:b] for f in found]), return_counts=True)
+                    form.append(h[h != 0].view(np.int64)), n.append(count[h != 0])
+                cut = pa.array(np.r_[0, np.cumsum([len(h) for h in form])], pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x), pa.int64())) for x in (form, n)]
+                yield pa.record_batch([pa.array(label[row:end], pa.int32()), pa.array(least, pa.int64()), pa.array(np.diff(bound), pa.int64()), *lists], ["label", "least", "words", "form", "n"])
 
     own = settle(rows.select("label", "text").mapInArrow(counts, "label int, least long, words long, form array<long>, n array<long>").where("words > 0").dropDuplicates(["label", "least"]))
     totals = {bool(r.toxic): r.words for r in own.groupBy((F.col("label") == 1).alias("toxic")).agg(F.sum("words").alias("words")).collect()}
@@ -181,26 +184,41 @@ def decay(score: np.ndarray, rate: np.ndarray, drift: float) -> float:
     return high
 
 
-def score_texts(rows: DataFrame, model: ToxicModel, first: str) -> DataFrame:
-    """The first column of ``rows`` (first, text), with sum_, best, words and score of each text and its passages (first word, end word, score)."""
-    name = first.split()[0].strip("`")
+def scorer_of(model: ToxicModel):
+    """For a worker: yields (first row, end row, (evidence, scores, passages)) of slices of a column of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         forms, maybe = Forms(), model.maybe()
-        for batch in batches:
-            for row, end, data, ends in text_slices(batch.column(1)):
-                found, starts, stops, bound = forms.of(data, ends)
-                at, score = model.token_scores(found, maybe)
+
+        def score(column: pa.Array):
+            for row, end, data, ends in text_slices(column):
+                found, _, _, bound = forms.of(data, ends)
+                at, points = model.token_scores(found, maybe)
                 cut = np.searchsorted(at, bound)
                 seen = np.zeros((end - row, 3))
                 seen[:, 2] = np.log1p(np.diff(bound)) / 10
                 passages: list[list] = [[] for _ in range(end - row)]
                 for i in np.flatnonzero(np.diff(cut)):
                     a, b = cut[i], cut[i + 1]
-                    parts = segments(at[a:b] - bound[i], score[a:b] - DRIFT, DRIFT)
+                    parts = segments(at[a:b] - bound[i], points[a:b] - DRIFT, DRIFT)
                     seen[i] = evidence(parts, int(bound[i + 1] - bound[i]), model.lam, model.k)
                     passages[i] = [{"first": x, "end": y, "score": s} for x, y, s in parts]
-                p = sigmoid(np.c_[np.ones(len(seen)), seen] @ model.weights)
+                yield row, end, (seen, sigmoid(np.c_[np.ones(len(seen)), seen] @ model.weights), passages)
+
+        return score
+
+    return make
+
+
+def score_texts(rows: DataFrame, model: ToxicModel, first: str) -> DataFrame:
+    """The first column of ``rows`` (first, text), with sum_, best, words and score of each text and its passages (first word, end word, score)."""
+    name = first.split()[0].strip("`")
+    scorer = scorer_of(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            for row, end, (seen, p, passages) in score(batch.column(1)):
                 yield pa.record_batch([batch.column(0).slice(row, end - row), *(pa.array(seen[:, c]) for c in range(3)), pa.array(p), pa.array(passages, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))], [name, "sum_", "best", "words", "score", "passages"])
 
     return rows.mapInArrow(run, f"{first}, sum_ double, best double, words double, score double, passages array<struct<first: bigint, end: bigint, score: double>>")
@@ -221,3 +239,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         scored = score_texts(rows, model, "id long")
     held = remainder("id", HELD_OUT_PARTS) == HELD_OUT
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``threshold``; all columns stay, and nothing is shuffled."""
+    model = train(docs, labels, id_col, text_col, label_col)
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+    scorer = scorer_of(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            for row, end, p in ((r, e, s[1]) for r, e, s in score(batch.column(at))):
+                yield batch.slice(row, end - row).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
