@@ -30,6 +30,7 @@ SMALL_TALK = (
 )
 
 TOKEN = r"[a-z0-9]+(?:[._\-/][a-z0-9]+)*"
+JOINT_OR_DIGIT = r"[0-9._\-/]"
 VERSION = r"^v?[0-9]+(?:\.[0-9]+)*$"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9])"
 BLANKS = r"(?U)^\s+|\s+$"
@@ -51,40 +52,59 @@ def fold_pairs() -> tuple[str, str, list[tuple[str, str]]]:
 FOLD_FROM, FOLD_TO, FOLD_MORE = fold_pairs()
 
 
+def ranges(characters: list[str]) -> str:
+    """A character class of runs of code points; outside U+00BC to U+FFFF one comparison decides."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[\\x{BC}-\\x{FFFF}&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]]"
+
+
 def ascii_fold(text: Column) -> Column:
-    """TXT-1: compatibility decomposition, then ASCII only. Characters that become several are rare, so they are looked for first."""
-    long = F.rlike(text, F.lit("[" + "".join(c for c, _ in FOLD_MORE) + "]"))
+    """TXT-1: compatibility decomposition, then ASCII only. ASCII texts are done at once; characters that become several are rare, so they are looked for first."""
     spelled = text
     for c, plain in FOLD_MORE:
         spelled = F.replace(spelled, F.lit(c), F.lit(plain))
-    return F.regexp_replace(F.translate(F.when(long, spelled).otherwise(text), FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    opened = F.when(text.rlike(ranges([c for c, _ in FOLD_MORE])), spelled).otherwise(text)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(F.translate(opened, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]+", ""))
 
 
-def stem(t: Column) -> Column:
-    """TXT-2: the first suffix rule that applies; short tokens and those with a digit or a joint stay."""
+def plain_stem(t: Column) -> Column:
+    """``stem`` of a token without a digit or joint."""
     n = F.length(t)
     cut = lambda k: F.substring(t, F.lit(1), n - k)
     return (
-        F.when((n <= 3) | t.rlike(r"[0-9._\-/]"), t)
-        .when(t.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(t.endswith("sses"), cut(2))
-        .when(t.endswith("ss") | t.endswith("us") | t.endswith("is"), t)
-        .when(t.endswith("s"), cut(1))
+        F.when(n <= 3, t)
+        .when(t.endswith("s"), F.when(t.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))).when(t.endswith("sses"), cut(2)).when(t.endswith("ss") | t.endswith("us") | t.endswith("is"), t).otherwise(cut(1)))
         .when(t.endswith("ing") & (n > 6), cut(3))
         .when(t.endswith("ed") & (n > 5), cut(2))
         .otherwise(t)
     )
 
 
+def stem(t: Column) -> Column:
+    """TXT-2: the first suffix rule that applies; short tokens and those with a digit or a joint stay."""
+    return F.when(t.rlike(JOINT_OR_DIGIT), t).otherwise(plain_stem(t))
+
+
 def tokenize(text: Column) -> Column:
-    """TXT-3: tokens in order; a compound stays whole and is followed by its usable parts; versions are never split."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    """TXT-3: tokens in order; a compound stays whole and is followed by its usable parts; versions are never split.
+
+    Most tokens are plain, so they are told apart first: a set look-up and one pattern.
+    """
     whole = F.regexp_extract_all(F.lower(ascii_fold(text)), F.lit(TOKEN), F.lit(0))
+    usable = lambda t: F.filter(F.split(t, r"[._\-/]"), lambda p: (F.length(p) >= 2) & ~p.isin(*STOP_WORDS) & ~p.rlike(VERSION))
 
     def expand(t: Column) -> Column:
-        compound, version = t.rlike(r"[._\-/]"), t.rlike(VERSION)
-        parts = F.filter(F.split(t, r"[._\-/]"), lambda p: (F.length(p) >= 2) & ~F.array_contains(stop, p) & ~p.rlike(VERSION))
-        return F.when(F.array_contains(stop, t), F.array().cast("array<string>")).when(version, F.array(t)).when(compound, F.concat(F.array(t), F.transform(parts, stem))).otherwise(F.array(stem(t)))
+        return (
+            F.when(t.isin(*STOP_WORDS), F.array().cast("array<string>"))
+            .when(~t.rlike(JOINT_OR_DIGIT), F.array(plain_stem(t)))
+            .when(~t.rlike(r"[._\-/]") | t.rlike(VERSION), F.array(t))
+            .otherwise(F.concat(F.array(t), F.transform(usable(t), stem)))
+        )
 
     return F.coalesce(F.flatten(F.transform(whole, expand)), F.array().cast("array<string>"))
 

@@ -21,6 +21,7 @@ from ..operators.evaluation import gain, nearest_rank
 from ..operators.questions import analyse
 from ..operators.rerank import min_max, mmr_order, quota_pick
 from ..operators.retrieval import bm25, fuse, phrasings
+from ..session import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +68,8 @@ def tfidf_top_terms(spark, sf_dir):
 
 
 def searched(spark, sf_dir, k=10) -> DataFrame:
-    rows = chunks(spark, sf_dir)
-    posts, sources = ix.postings(rows), ix.source_stats(rows)
+    rows = settle(chunks(spark, sf_dir).drop("text"))
+    posts, sources = settle(ix.postings(rows)), ix.source_stats(rows)
     asked = questions(spark, sf_dir).select("qid", F.array("query").alias("all_queries"))
     return bm25(phrasings(asked), posts, ix.doc_stats(rows), sources, ix.term_stats(posts, sources), k)
 
