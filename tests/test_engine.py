@@ -121,3 +121,15 @@ def test_unknown_backend(engine, spark):
 def test_nearest_rank(spark):
     got = spark.range(1, 16).agg(nearest_rank(F.col("id"), 95).alias("p95"), nearest_rank(F.col("id"), 50).alias("p50")).first()
     assert (got.p95, got.p50) == (15, 8)
+
+
+def test_a_stage_of_ones_own_and_its_fallback(engine, spark):
+    def broken(final, config):
+        raise RuntimeError("no network")
+
+    from tidemark.operators.questions import analyse
+
+    other = Engine(engine.index, engine.config, analyser=lambda q, c: analyse(q, c).withColumn("intent", F.lit("opinion")), detector=broken)
+    with pytest.warns(UserWarning, match="no network"):
+        run = other.run(spark.createDataFrame([("q", "What is the maximum payload size?")], "qid string, query string"))
+    assert run.analysed.first().intent == "opinion" and run.resolutions.count() == 1

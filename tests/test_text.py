@@ -55,6 +55,7 @@ def test_tokenize(spark):
     assert column(spark, samples(), tx.tokenize) == [tokens(s) for s in samples()]
     assert column(spark, ["Keep v3.2 whole", "dead-letter-queue", "the of and"], tx.tokenize) == [["keep", "v3.2", "whole"], ["dead-letter-queue", "dead", "letter", "queue"], []]
     assert column(spark, [None], tx.tokenize) == [[]]
+    assert [pt.tokens(s) for s in samples()] == [tokens(s) for s in samples()]
 
 
 def test_estimate_sentences_slug(spark):

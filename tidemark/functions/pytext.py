@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from .text import STOP_WORDS, TOKEN, VERSION
+
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
 
 
@@ -45,3 +47,26 @@ def fenced(lines: list[str]) -> list[bool]:
         mask.append(inside or mark)
         inside ^= mark
     return mask
+
+
+def stem(token: str) -> str:
+    if len(token) <= 3 or re.search(r"[0-9._\-/]", token):
+        return token
+    if token.endswith("s"):
+        return token[:-3] + "y" if token.endswith("ies") and len(token) > 4 else token[:-2] if token.endswith("sses") else token if token.endswith(("ss", "us", "is")) else token[:-1]
+    return token[:-3] if token.endswith("ing") and len(token) > 6 else token[:-2] if token.endswith("ed") and len(token) > 5 else token
+
+
+def tokens(text: str) -> list[str]:
+    found = []
+    for t in re.findall(TOKEN, fold(text).lower()):
+        if t in STOP_WORDS:
+            continue
+        if re.match(VERSION, t):
+            found.append(t)
+            continue
+        parts = re.split(r"[._\-/]", t)
+        found.append(t if len(parts) > 1 else stem(t))
+        if len(parts) > 1:
+            found += [stem(p) for p in parts if len(p) >= 2 and p not in STOP_WORDS and not re.match(VERSION, p)]
+    return found

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..config import EngineConfig
-from ..functions.pytext import estimate_tokens, fenced, first_free, sentences, slugify
+from ..functions.pytext import estimate_tokens, fenced, first_free, sentences, slugify, tokens
+from ..session import spread
 
 #: Metadata of all sources; a source leaves the others' null.
 META = (
@@ -216,11 +217,11 @@ def sliding_windows(parts: list[str], most: int, ratio: float) -> list[list[str]
     return [[parts[i] for i in w] for w in found if w]
 
 
-def semantic_windows(parts: list[str], most: int, percentile: float, tokens: Callable[[str], set[str]]) -> list[list[str]]:
+def semantic_windows(parts: list[str], most: int, percentile: float, words: Callable[[str], set[str]]) -> list[list[str]]:
     """CHK-9: cut where neighbouring sentences share least (at or under the percentile), once a window is 0.4 full, or when it is full."""
     if len(parts) < 3:
         return [parts]
-    sets = [tokens(s) for s in parts]
+    sets = [words(s) for s in parts]
     alike = [len(a & b) / len(a | b) if a | b else 0.0 for a, b in zip(sets, sets[1:], strict=False)]
     low = sorted(alike)[max(0, min(len(alike) - 1, int(len(alike) * percentile / 100)))]
     found, used = [[parts[0]]], estimate_tokens(parts[0])
@@ -240,7 +241,7 @@ def article_chunks(config: EngineConfig) -> Callable[[dict], Iterator[dict]]:
 
     def run(doc: dict) -> Iterator[dict]:
         parts = sentences(doc["body"] or "")
-        windows = (semantic_windows(parts, most, percentile, lambda s: set(re.findall("[a-z0-9]+", s.lower()))) if semantic else sliding_windows(parts, most, ratio)) if parts else []
+        windows = (semantic_windows(parts, most, percentile, lambda s: set(tokens(s))) if semantic else sliding_windows(parts, most, ratio)) if parts else []
         for i, w in enumerate(windows):
             yield {"chunk_id": f"blog:{doc['doc_id']}:w{i}", "display_text": " ".join(w), "context_header": header("blog", doc, {}), "parent_id": f"blog:{doc['doc_id']}", "window_index": i, "window_count": len(windows), "chunker": "semantic_window" if semantic else "sliding_window"}
 
@@ -289,7 +290,7 @@ def pa_type(name: str) -> pa.DataType:
 
 
 def chunk_corpus(corpus: dict[str, DataFrame], config: EngineConfig) -> DataFrame:
-    parts = [chunk(documents, source, config) for source, documents in corpus.items()]
+    parts = [chunk(spread(documents), source, config) for source, documents in corpus.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -21,7 +21,7 @@ from ..operators.evaluation import gain, nearest_rank
 from ..operators.questions import analyse
 from ..operators.rerank import min_max, mmr_order, quota_pick
 from ..operators.retrieval import bm25, fuse, phrasings
-from ..session import settle
+from ..session import settle, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"))
     return d.select(F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("doc_pos"), "text", tx.tokenize(F.col("text")).alias("tokens"))
 
 
@@ -43,13 +43,19 @@ def tokenize_tokens(spark, sf_dir):
     return rows.select(F.col("doc_pos").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks with tokens, postings), each written once for the several uses of them."""
+    rows = settle(chunks(spark, sf_dir).drop("text"))
+    return rows, settle(ix.postings(rows))
+
+
 def term_freq(spark, sf_dir):
     return ix.postings(chunks(spark, sf_dir)).groupBy("source", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"), F.max("tf").alias("max_tf"))
 
 
 def doc_freq_idf(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
-    return ix.term_stats(ix.postings(rows), ix.source_stats(rows)).select("source", "term", "df", F.round("idf", 6).alias("idf"))
+    rows, posts = indexed(spark, sf_dir)
+    return ix.term_stats(posts, ix.source_stats(rows)).select("source", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def source_stats(spark, sf_dir):
@@ -61,15 +67,15 @@ def vocabulary(spark, sf_dir):
 
 
 def tfidf_top_terms(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
-    w = ix.tfidf(ix.postings(rows), ix.source_stats(rows))
+    rows, posts = indexed(spark, sf_dir)
+    w = ix.tfidf(posts, ix.source_stats(rows))
     order = Window.partitionBy("source", "chunk_id").orderBy(F.desc(F.round("w", 9)), "term")
     return w.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("source", "chunk_id", "term", F.round("w", 6).alias("w"), "rank")
 
 
 def searched(spark, sf_dir, k=10) -> DataFrame:
-    rows = settle(chunks(spark, sf_dir).drop("text"))
-    posts, sources = settle(ix.postings(rows)), ix.source_stats(rows)
+    rows, posts = indexed(spark, sf_dir)
+    sources = ix.source_stats(rows)
     asked = questions(spark, sf_dir).select("qid", F.array("query").alias("all_queries"))
     return bm25(phrasings(asked), posts, ix.doc_stats(rows), sources, ix.term_stats(posts, sources), k)
 
@@ -97,7 +103,7 @@ def estimate_tokens(spark, sf_dir):
 
 def sentence_split(spark, sf_dir):
     s = tx.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
 
 
 def slugify_pages(spark, sf_dir):
@@ -106,13 +112,13 @@ def slugify_pages(spark, sf_dir):
 
 def uniform_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), F.col("text").alias("body"), F.col("doc_id").alias("doc_pos"))
-    rows = chunk(d, "blog", EngineConfig().variant({"chunking.strategy": "uniform"}))
+    rows = chunk(spread(d), "blog", EngineConfig().variant({"chunking.strategy": "uniform"}))
     return rows.select("chunk_id", F.col("window_index"), F.md5("display_text").alias("text_md5"))
 
 
 def sliding_windows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), F.col("text").alias("body"), F.col("doc_id").alias("doc_pos"))
-    return chunk(d, "blog", EngineConfig()).select("chunk_id", "window_index", "window_count", "token_count")
+    return chunk(spread(d), "blog", EngineConfig()).select("chunk_id", "window_index", "window_count", "token_count")
 
 
 def qa_pairs(spark, sf_dir):
@@ -130,7 +136,7 @@ def unanswered(spark, sf_dir):
 
 def compared(spark, sf_dir) -> DataFrame:
     """Every vector whose id is divisible by 50 against all others: the best ten."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"))
     unit = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     asked = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), F.col("v").alias("q"))
     scored = unit.join(asked, F.col("vec_id") != F.col("qid")).select("qid", "q_label", "vec_id", "label", tx.cosine(F.col("q"), F.col("v")).alias("score"))
@@ -185,7 +191,7 @@ def alpha_sweep(spark, sf_dir):
 
 def best_lists(spark, sf_dir) -> DataFrame:
     hits = searched(spark, sf_dir)
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc"), F.slice(F.array_distinct(tx.tokenize(F.col("text"))), 1, 200).alias("display_tokens"))
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc"), F.slice(F.array_distinct(tx.tokenize(F.col("text"))), 1, 200).alias("display_tokens"))
     item = F.struct((-F.round("score", 9)).alias("order"), "chunk_id", "source", "doc", F.round("score", 9).alias("final_score"), "display_tokens")
     return hits.join(words, "chunk_id").groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("items"))
 

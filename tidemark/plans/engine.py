@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,28 @@ class Run:
     traces: DataFrame
 
 
+def or_rules(stage, rules, *args) -> DataFrame:
+    """The written result of ``stage``, or of ``rules`` where there is no stage or it raises."""
+    if stage is not None:
+        try:
+            return settle(stage(*args))
+        except Exception as error:
+            warnings.warn(f"{rules.__name__}: {error!r}; the rules are used", stacklevel=2)
+    return settle(rules(*args))
+
+
 class Engine:
-    """A built corpus and a configuration."""
+    """A built corpus and a configuration.
+
+    A stage can be replaced by a DataFrame function of its own, such as one that asks a
+    hosted model (EXT-3): ``analyser(queries, config)``, ``scorer(candidates)``,
+    ``detector(final, config)``, ``synthesizer(analysed, final, resolutions, index, config)``.
+    If it raises, in planning or running, the rules take its place.
+    """
 
-    def __init__(self, index: Index, config: EngineConfig):
-        self.index, self.config = index, config
+    def __init__(self, index: Index, config: EngineConfig, analyser=None, scorer=None, detector=None, synthesizer=None):
+        self.index, self.config, self.scorer = index, config, scorer
+        self.analyser, self.detector, self.synthesizer = analyser, detector, synthesizer
 
     @classmethod
     def build(cls, corpus: dict[str, DataFrame], config: EngineConfig | None = None) -> Engine:
@@ -49,14 +67,14 @@ class Engine:
     def run(self, queries: DataFrame) -> Run:
         """Questions (qid, query) through all stages. Stages that are read more than once are written once."""
         config, index = self.config, self.index
-        analysed = settle(analyse(queries, config))
+        analysed = or_rules(self.analyser, analyse, queries, config)
         candidates, hits = retrieve(analysed, index, config)
         candidates = settle(candidates)
-        final, stats = rerank(candidates, config)
+        final, stats = rerank(candidates, config, self.scorer)
         final = settle(final)
-        found = settle(findings(final, config)) if config.get("contradiction.enabled") else final.sparkSession.createDataFrame([], findings(final, config).schema)
+        found = or_rules(self.detector, findings, final, config) if config.get("contradiction.enabled") else final.sparkSession.createDataFrame([], findings(final, config).schema)
         resolutions = settle(resolve(relevant(analysed, found), config))
-        answers = settle(answer(analysed, final, resolutions, index, config))
+        answers = or_rules(self.synthesizer, answer, analysed, final, resolutions, index, config)
         return Run(analysed, candidates, hits, final, stats, found, resolutions, answers, traces(analysed, candidates, hits, stats, final, found, resolutions, answers, config.get("experiment.name")))
 
     def ask(self, question: str) -> DataFrame:
