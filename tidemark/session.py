@@ -27,6 +27,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``settle``, as a table of the shared folder with its real size, by which Spark decides whether to broadcast it. It stays until the folder is cleaned."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its scan has fewer partitions than those, as a small or single file has; larger inputs stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
