@@ -133,3 +133,12 @@ def test_a_stage_of_ones_own_and_its_fallback(engine, spark):
     with pytest.warns(UserWarning, match="no network"):
         run = other.run(spark.createDataFrame([("q", "What is the maximum payload size?")], "qid string, query string"))
     assert run.analysed.first().intent == "opinion" and run.resolutions.count() == 1
+
+
+def test_without_reranking_every_question_is_refused(engine, spark):
+    from tidemark.config import VARIANTS
+
+    run = Engine(engine.index, engine.config.variant(VARIANTS["expansion"])).run(spark.createDataFrame([("q", "What is the maximum payload size?")], "qid string, query string"))
+    assert run.stats is None and run.answers.first().refused
+    assert [r.rank_after for r in run.final.orderBy("rank_after").collect()] == list(range(1, run.final.count() + 1))
+    assert run.traces.first().rerank is None

@@ -236,7 +236,7 @@ def findings(final: DataFrame, config: EngineConfig) -> DataFrame:
 def relevant(analysed: DataFrame, found: DataFrame) -> DataFrame:
     """CON-20, CON-21: conflicts that bear on the question, one for each pair and topic."""
     areas = F.create_map(*[x for k, v in ATTRIBUTE_AREAS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    rows = found.where(F.col("relationship").isin(*CONFLICTS)).join(F.broadcast(analysed.select("qid", "query", F.col("product_area").alias("asked_area"))), "qid")
+    rows = found.where(F.col("relationship").isin(*CONFLICTS)).join(analysed.select("qid", "query", F.col("product_area").alias("asked_area")), "qid")
     by_area = F.coalesce(F.array_contains(F.try_element_at(areas, F.col("topic")), F.col("asked_area")), F.lit(False))
     by_words = F.arrays_overlap(tokenize(F.col("query")), tokenize(F.replace("topic", F.lit("_"), F.lit(" "))))
     filler = lambda name: F.when(F.col("source_a") == "docs", F.col(f"{name}_b")).otherwise(F.col(f"{name}_a"))

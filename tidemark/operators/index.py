@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 
 #: Cells of a source's term matrix that one task may hold; beyond it, LSA runs as a distributed SVD.
-LSA_CELLS = 40_000_000
+LSA_CELLS = 10_000_000
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:

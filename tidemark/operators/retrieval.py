@@ -30,7 +30,7 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 def bm25(terms: DataFrame, posts: DataFrame, docs: DataFrame, sources: DataFrame, stats: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """RET-1: (qid, qi, source, chunk_id, doc_pos, score, rank). The postings are met by term, so only chunks with a term of the question are touched."""
-    met = terms.join(posts, "term").join(stats.select("source", "term", "idf"), ["source", "term"]).join(docs.select("source", "chunk_id", "dl"), ["source", "chunk_id"]).join(F.broadcast(sources), "source")
+    met = terms.join(posts, "term").join(stats.select("source", "term", "idf"), ["source", "term"]).join(docs.select("source", "chunk_id", "dl"), ["source", "chunk_id"]).join(sources, "source")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
     hits = met.groupBy("qid", "qi", "source", "chunk_id", "doc_pos").agg(F.sum(part).alias("score"))
     return ranked(hits, k).where("score > 0")
@@ -94,7 +94,7 @@ def recency(intent: Column, config: EngineConfig) -> Column:
 
 def weigh(fused: DataFrame, analysed: DataFrame, chunks: DataFrame, config: EngineConfig) -> DataFrame:
     """RET-11: the combined score with its parts."""
-    rows = fused.join(chunks, ["source", "chunk_id"]).join(F.broadcast(analysed.select("qid", "query", "intent", "version_mentioned", "product_area", "entities")), "qid")
+    rows = fused.join(chunks, ["source", "chunk_id"]).join(analysed.select("qid", "query", "intent", "version_mentioned", "product_area", "entities"), "qid")
     rows = rows.withColumn("version_own", version_of()).withColumn("authority", authority(config)).withColumn("recency", recency(F.col("intent"), config)).withColumn("source_weight", source_weight(F.col("intent"), F.col("source"), config))
     score = F.col("source_weight") * F.col("rrf") * (1 + config.get("retrieval.authority.beta") * F.col("authority")) * (1 + config.get("retrieval.recency.strength") * (F.col("recency") - 1))
     return rows.withColumn("retrieval_score", F.round(score, 12))
