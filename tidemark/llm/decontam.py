@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .arrays import Shingler, gram_hashes, text_slices
 
 LEAST_WORDS, COVERAGE = 5, 0.8
@@ -146,5 +147,5 @@ def tiler(items: list[tuple[int, str]], id_col: str, item_col: str, least: int,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose id has a benchmark overlap; rows with a null id stay."""
-    hit = benchmark_overlaps(docs, benchmark, id_col, text_col, **options).select(id_col).distinct()
+    hit = stored(benchmark_overlaps(docs, benchmark, id_col, text_col, **options).select(id_col).distinct())
     return docs.join(hit, id_col, "left_anti")

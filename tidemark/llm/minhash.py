@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, stored
 from .arrays import Shingler, components_of, mix, odd_numbers, set_print, text_slices
 from .graph import by_group, connected_components, hub_groups, in_blocks, with_group
 
@@ -189,8 +189,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
     marks = found.groupBy(F.col(id_col).alias("_marked")).agg(F.max(F.when(F.col("kept"), 0).otherwise(1)).alias("_gone"), F.count("*").alias("_rows"))
-    marks = settle(marks.where("_gone = 1 or _rows > 1"))
+    marks = stored(marks.where("_gone = 1 or _rows > 1"))
     rest = docs.join(marks, F.col(id_col) == F.col("_marked"), "left").where("_gone is null or _gone = 0")
+    if marks.where("_rows > 1").isEmpty():
+        return rest.drop("_marked", "_gone", "_rows")
     once = rest.where("_rows is null")
     repeated = rest.where("_rows > 1").dropDuplicates(["_marked"])
     return once.unionByName(repeated).drop("_marked", "_gone", "_rows")
