@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..config import EngineConfig
 from ..functions import text as tx
 from ..operators import index as ix
+from ..operators import questions as rules
 from ..operators.chunking import chunk
 from ..operators.evaluation import gain, nearest_rank
 from ..operators.questions import analyse
@@ -280,3 +281,35 @@ ORACLES: dict[str, str] = {
     "alpha_sweep": "WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS qid, c_custkey, CASE WHEN max(c_acctbal) OVER w - min(c_acctbal) OVER w < 1e-12 THEN 0.5 ELSE (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) END AS x, CASE WHEN max(c_custkey) OVER w - min(c_custkey) OVER w < 1 THEN 0.5::DOUBLE ELSE CAST(c_custkey - min(c_custkey) OVER w AS DOUBLE) / (max(c_custkey) OVER w - min(c_custkey) OVER w) END AS y FROM customer WINDOW w AS (PARTITION BY c_nationkey)), "
     "s AS (SELECT qid, c_custkey, step, round(step / 10.0::DOUBLE * x + (1 - step / 10.0::DOUBLE) * y, 9) AS score FROM c, range(0, 11) t(step)) SELECT step, qid, c_custkey, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY step, qid ORDER BY score DESC, c_custkey) AS r FROM s) WHERE r = 1",
 }
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def intent_sql() -> str:
+    """The rules of question analysis as SQL, for the catalog's questions and the brand "product"."""
+    own = lambda p: p.replace("{brand}", "product")
+    kinds = " ".join(f"WHEN regexp_matches(l, {quoted('|'.join(f'(?:{own(p)})' for p in patterns))}) THEN '{name}'" for name, patterns in rules.INTENTS.items())
+    scores = ", ".join(f"{{'n': {' + '.join(f'CAST(contains(l, {quoted(own(w))}) AS INTEGER)' for w in words)}, 'i': {-i}, 'area': '{area}'}}" for i, (area, words) in enumerate(rules.AREAS.items()))
+    synonym = " OR ".join(f"contains(l, {quoted(needle)})" for needle, _ in rules.SYNONYMS)
+    begin = "CASE turn % 4 WHEN 0 THEN 'How do I ' WHEN 1 THEN 'Why does it fail ' WHEN 2 THEN 'Should I use retries or migrate v2.4 ' ELSE 'How many ' END"
+    version = r"'(?i)\bv?([23])\.(\d+)(?:\.\d+)?\b'"
+    return (
+        f"WITH q AS (SELECT conv_id || '-' || turn AS qid, {begin} || text AS query, lower({begin} || text) AS l FROM conversations), "
+        f"a AS (SELECT *, list_max([{scores}]) AS best, regexp_extract(query, {version}, 1) AS major FROM q) "
+        f"SELECT qid, CASE {kinds} ELSE 'unknown' END AS intent, CASE WHEN major <> '' THEN major || '.' || regexp_extract(query, {version}, 2) END AS version_mentioned, "
+        f"CASE WHEN best.n > 0 THEN best.area END AS product_area, CAST(CAST({synonym} AS INTEGER) + CAST(best.n > 0 AS INTEGER) AS BIGINT) AS n_expansions FROM a"
+    )
+
+
+def entities_sql() -> str:
+    plain = "[" + ", ".join(quoted(w.replace("{brand}", "product")) for w in rules.NO_ENTITIES) + "]"
+    keep = f"NOT list_contains({plain}, lower(t)) AND (regexp_matches(t, '^[0-9]+$') OR regexp_matches(t, '[_.\\-]') OR regexp_matches(t, '^.+[A-Z]'))"
+    return (
+        f"WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._\\-]*'), lambda t: {keep}) AS l FROM documents), u AS (SELECT doc_id, l, list_transform(l, lambda x: lower(x)) AS k FROM t) "
+        "SELECT doc_id, coalesce(array_to_string(list_slice(list_filter(l, lambda x, i: list_position(k, lower(x)) = i), 1, 8), '|'), '') AS entities FROM u"
+    )
+
+
+ORACLES |= {"intent_classify": intent_sql(), "entities": entities_sql()}
