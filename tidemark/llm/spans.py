@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .arrays import owner, runs
+
 Span = tuple[int, int, str]
 
 
@@ -107,11 +109,8 @@ def longest_runs(mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The longest run of True in each text."""
     n = len(ends) - 1
     longest = np.zeros(n, np.int64)
-    edge = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    if len(start):
-        of = np.searchsorted(ends, start, "right") - 1
-        np.maximum.at(longest, of, stop - start)
+    start, stop = runs(mask, ends)
+    np.maximum.at(longest, owner(start, ends), stop - start)
     return longest
 
 
