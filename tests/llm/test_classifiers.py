@@ -4,12 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.crf import Chain, marginals, viterbi
 from tidemark.llm.quality import quality
-from tidemark.llm.toxicity import segments, toxicity, without_toxic
+from tidemark.llm.toxicity import Forms, ToxicModel, scorer_of, segments, toxicity, without_toxic
 
 
 def all_maximal(scores):
@@ -103,3 +104,13 @@ def test_rejection(corpus):
     assert kept.columns == docs.columns
     gone = {r.doc_id for r in toxicity(docs, labels).where("predicted = 1").collect()}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in docs.collect() if r.doc_id not in gone), key=str)
+
+
+def test_copies_of_a_one_word_text():
+    """A word repeats only one of its own text, so neighbours do not change a score."""
+    word = Forms().of(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))[0][0]
+    score = scorer_of(ToxicModel(word, np.array([5.0]), 1.0, 0.5, np.array([-3.0, 1.0, 1.0, 0.0])))()
+    texts = ["vile", "vile", "", "vile", "so vile", "vile vile", "clean"]
+    together = [p for _, _, (_, s, _) in score(pa.array(texts)) for p in s]
+    alone = [float(next(iter(score(pa.array([t]))))[2][1][0]) for t in texts]
+    assert np.allclose(together, alone) and together[0] == together[1] == together[3] > together[6]

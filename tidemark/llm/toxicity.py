@@ -34,7 +34,7 @@ THRESHOLD = 0.7
 
 
 class Forms:
-    """Hashes of each word's forms: itself, then its first bytes (0 where the word is not longer). A word that repeats the one before it has none, so a text of one word over and over is no evidence."""
+    """Hashes of each word's forms: itself, then its first bytes (0 where the word is not longer). A word that repeats the one before it in its text has none, so a text of one word over and over is no evidence."""
 
     def __init__(self):
         self.hash, self.letter = ByteHash(), letters()
@@ -49,10 +49,13 @@ class Forms:
             h = np.zeros(len(starts), np.uint64)
             h[long] = mix(self.hash.of(starts[long], starts[long] + n) + np.uint64(n))
             found.append(h)
-        again = np.flatnonzero(found[0][1:] == found[0][:-1]) + 1
+        bound = per_text(starts, ends)
+        again = np.zeros(len(starts) + 1, bool)
+        again[1:-1] = found[0][1:] == found[0][:-1]
+        again[bound] = False
         for h in found:
-            h[again] = 0
-        return found, starts, stops, per_text(starts, ends)
+            h[again[:-1]] = 0
+        return found, starts, stops, bound
 
 
 @dataclass
