@@ -192,7 +192,7 @@ def alpha_sweep(spark, sf_dir):
 
 def best_lists(spark, sf_dir) -> DataFrame:
     hits = searched(spark, sf_dir)
-    words = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc"), F.slice(F.array_distinct(tx.tokenize(F.col("text"))), 1, 200).alias("display_tokens"))
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc"), F.array_distinct(tx.tokenize(F.col("text"))).alias("display_tokens"))
     item = F.struct((-F.round("score", 9)).alias("order"), "chunk_id", "source", "doc", F.round("score", 9).alias("final_score"), "display_tokens")
     return hits.join(words, "chunk_id").groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
