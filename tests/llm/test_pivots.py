@@ -1,8 +1,9 @@
 """Embedding near-duplicates against all pairs, and the index's own recall."""
 
 import numpy as np
+import pytest
 
-from tidemark.llm.pivots import near_vectors
+from tidemark.llm.pivots import far_apart, list_keys, near_vectors, pivot_counts
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node long, unit string"
 
@@ -76,3 +77,21 @@ def test_odd_vectors(spark):
     assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (10, 3, 1, False), (None, 0, None, False), *alone], key=str)
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [q.n_links for q in near_vectors(spark.createDataFrame(rows[:1], SCHEMA)).collect()] == [0]
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**7, 10**8])
+def test_index_recall_does_not_fall_with_the_number_of_vectors(n):
+    """Lone pairs of cosine 0.90 share a list, with the pivots of ``n`` vectors."""
+    r = np.random.default_rng(6)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    count, sets = pivot_counts(n)
+    pivots = [far_apart(unit(r.normal(size=(4096, 64))), count) for _ in range(sets)]
+    a = unit(r.normal(size=(1000, 64)))
+    z = r.normal(size=a.shape)
+    z = unit(z - (z * a).sum(axis=1)[:, None] * a)
+    size = np.full(len(a), 64)
+    x, y = (list_keys(v, size, pivots) for v in (a, 0.9 * a + np.sqrt(1 - 0.81) * z))
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]) >= 0.98
