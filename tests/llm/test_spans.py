@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm.personal import KINDS as PERSONAL
-from tidemark.llm.personal import Field, labelled_windows, personal_data
+from tidemark.llm.personal import Field, added_spans, cores, labelled_windows, personal_data, shape
 from tidemark.llm.secrets import EVERY, Formats, labelled_strings, redact, secrets
 from tidemark.llm.spans import digest, longest_runs, luhn, personal_base, secret_base, sha256
 
@@ -109,3 +109,16 @@ def test_runs_end_with_their_text(spark):
     got = {x.doc_id: (x.n_access, x.n_hex) for x in secrets(frame).collect()}
     assert got == {0: (0, 0), 1: (0, 1), 2: (0, 0), 3: (1, 0), 4: (0, 0)}
     assert [x.text for x in sorted(redact(frame).collect())] == ["abc", "[redacted]", "NOT SO", "[redacted]", "abc"]
+
+
+def test_added_spans_in_long_words_and_several_in_a_run():
+    field = Field(labelled_windows())
+    phones = ["555-123-4567", "555-987-6543", "212-555-0187"]
+    records = ",".join(f'{{"name":"someone{k % 7}","phone":"{phones[k % 3]}"}}' for k in range(40))
+    texts = ["call 555-123-4567,555-987-6543 now", f"[{records}]", "字" * 400 + "555-123-4567" + "字" * 9, "call 12-34,555-987-6543 now"]
+    assert cores("phone", texts[3]) == [(5, 10), (11, 23)] and cores("email", "to:a@b.c,d.é@f.g,@h.i") == [(3, 8), (9, 16)]
+    found = [[t[a:b] for a, b, k in sorted(spans) if k == "phone"] for t, spans in zip(texts, added_spans(field, texts), strict=True)]
+    assert found[0] == phones[:2] and found[1] == [phones[k % 3] for k in range(40)] and found[2] == phones[:1]
+    assert shape("a" * 64 + "1") == "x+d"
+    for text in ("a" * 200_000 + "1", "a@" * 100_000, "1)" * 100_000, "1." * 100_000, "9" * 200_000, "(1" * 100_000, "a1.-" * 50_000):
+        added_spans(field, [text])

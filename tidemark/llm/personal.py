@@ -23,18 +23,21 @@ from pyspark.sql import functions as F
 
 from .arrays import text_slices
 from .crf import Chain, train, viterbi
-from .spans import Span, any_in_text, apart, digest, digits_of, luhn, personal_base, sha256, small_parts
+from .spans import Span, addresses, any_in_text, apart, digest, digits_of, luhn, personal_base, sha256, small_parts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: The characters of items in a word of more than LONGEST characters, such as a line of JSON or a list of links; the others separate its pieces.
+PIECE = re.compile(r"[\w.%+@()-]+")
+ONE_SCRIPT = re.compile(r"[\x00-\x7F]+|[^\x00-\x7F]+")
 REACH, LONGEST, PADDED = 2, 320, 1 << 15
 TRAINING_WINDOWS = 1500
 
 
 def shape(word: str) -> str:
     """Letters to x or X, digits to d; three or more of a kind to one with a plus sign."""
-    s = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:64])
+    s = "".join("d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1{2,}", r"\1+", s)
 
 
@@ -152,15 +155,31 @@ class Field:
 
 
 def has_sign(word: str) -> bool:
-    """Whether the word may be part of an item; items have at most LONGEST characters."""
-    if len(word) > LONGEST:
-        return False
+    """Whether the word may be part of an item."""
     return "@" in word or any("0" <= c <= "9" for c in word)
 
 
+def several(word: str) -> bool:
+    """Whether a list without white space has two parts that may be whole items: an at sign or the digits of a phone number."""
+    return ("," in word or ";" in word or "|" in word) and sum("@" in p or len(digits_of(p)) >= 9 for p in re.split("[,;|]", word)) > 1
+
+
+def words_of(text: str) -> Iterator[tuple[int, int, str]]:
+    """The words of a text; those longer than LONGEST or with several items in pieces at separators, and pieces still longer where ASCII begins or ends."""
+    for m in WORD.finditer(text):
+        if m.end() - m.start() <= LONGEST and not several(m[0]):
+            yield m.start(), m.end(), m[0]
+            continue
+        for p in PIECE.finditer(text, *m.span()):
+            if p.end() - p.start() <= LONGEST:
+                yield p.start(), p.end(), p[0]
+            else:
+                yield from ((q.start(), q.end(), q[0]) for q in ONE_SCRIPT.finditer(text, *p.span()))
+
+
 def windows_of(text: str) -> Iterator[list[tuple[int, int, str]]]:
     """Runs of words that lie within REACH words of one with a digit or at sign."""
-    words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
+    words = list(words_of(text))
     signs = [i for i, w in enumerate(words) if has_sign(w[2])]
     at = 0
     while at < len(signs):
@@ -172,15 +191,22 @@ def windows_of(text: str) -> Iterator[list[tuple[int, int, str]]]:
         at += 1
 
 
-#: Where a labelled run of words holds the item itself.
+#: Where a labelled run of words holds the items themselves; e-mail addresses lie in runs of their characters.
+MAIL_PART, MAIL_DOMAIN = re.compile(r"[^\s<>()\[\],;:\"'*#$%&!]+"), re.compile(r"[\w-]+(?:\.[\w-]+)+")
 CORES = {
-    "email": re.compile(r"[^\s@<>()\[\],;:\"'*#$%&!]+@[\w-]+(?:\.[\w-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[\s.-]?[0-9])+"),
     "phone": re.compile(r"[+(]?[0-9](?:[\s().-]*[0-9])+"),
 }
 
 
+def cores(kind: str, run: str) -> list[tuple[int, int]]:
+    """All items in a labelled run, in linear time."""
+    if kind == "email":
+        return [(m.start() + a, m.start() + b) for m in MAIL_PART.finditer(run) if "@" in m[0] for a, b in addresses(m[0], MAIL_DOMAIN)]
+    return [m.span() for m in CORES[kind].finditer(run)]
+
+
 def sound(kind: str, text: str) -> bool:
     digits = digits_of(text)
     if kind == "card":
@@ -206,8 +232,7 @@ def added_spans(field: Field, texts: list[str]) -> list[list[Span]]:
                 while end < len(labels) and labels[end] == f"I-{kind}":
                     end += 1
                 a, b = window[at][0], window[end - 1][1]
-                if (m := CORES[kind].search(texts[i], a, b)) and sound(kind, m[0]):
-                    found[i].append((*m.span(), kind))
+                found[i] += [(a + x, a + y, kind) for x, y in cores(kind, texts[i][a:b]) if sound(kind, texts[i][a + x : a + y])]
                 at = end
             else:
                 at += 1

@@ -51,12 +51,12 @@ def small_parts(ip: str) -> bool:
     return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in ip.split(".")))
 
 
-def addresses(run: str) -> list[tuple[int, int]]:
+def addresses(run: str, domain: re.Pattern = DOMAIN) -> list[tuple[int, int]]:
     """Leftmost matches of LOCAL@DOMAIN in a run of their characters, in linear time: the local part is all that stands between the last match or at sign and this one."""
     found, start, at = [], 0, run.find("@")
     while at >= 0:
         end = at + 1
-        if at > start and (m := DOMAIN.match(run, end)):
+        if at > start and (m := domain.match(run, end)):
             found.append((start, m.end()))
             end = m.end()
         start, at = end, run.find("@", end)
