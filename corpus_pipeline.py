@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.85 or more."""
-    return one_of_each(docs)
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.80 or more."""
+    return one_of_each(docs, similar=80, symbols=40, chunks=10)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

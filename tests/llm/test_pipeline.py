@@ -94,3 +94,21 @@ def test_registered():
     assert corpus_pipeline.ORACLE_SQL is None
     assert {q.split("_")[0] for q in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_near_duplicates_from_80(spark, tmp_path):
+    """Lone pairs of 90 shingles each: two changed words leave 80 of 100 in common, four words changed side by side 82 of 98, three apart 75 of 105."""
+    docs, gone = [], set()
+    for k in range(30):
+        base = [f"w{k}x{i}" for i in range(94)]
+        for changed in ((20, 60), (40, 41, 42, 43), (20, 40, 60)):
+            other = [f"{w}{changed}".replace(" ", "") for w in base]
+            docs.append(" ".join(other))
+            for i in changed:
+                other[i] += "new"
+            docs.append(" ".join(other))
+            if len(changed) != 3:
+                gone.add(len(docs) - 1)
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - gone
