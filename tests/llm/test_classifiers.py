@@ -2,6 +2,10 @@
 
 import itertools
 import random
+import re
+import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.crf import Chain, marginals, viterbi
 from tidemark.llm.quality import quality
-from tidemark.llm.toxicity import Forms, ToxicModel, scorer_of, segments, toxicity, without_toxic
+from tidemark.llm.toxicity import DRIFT, LEAST_TEXTS, PRIOR, STEMS, WHOLE, Forms, ToxicModel, Z, scorer_of, segments, toxicity, train, without_toxic
 
 
 def all_maximal(scores):
@@ -114,3 +118,59 @@ def test_copies_of_a_one_word_text():
     together = [p for _, _, (_, s, _) in score(pa.array(texts)) for p in s]
     alone = [float(next(iter(score(pa.array([t]))))[2][1][0]) for t in texts]
     assert np.allclose(together, alone) and together[0] == together[1] == together[3] > together[6]
+
+
+def test_segments_take_linear_time():
+    """200,000 hits that stay apart, and as many that join."""
+    began = time.perf_counter()
+    apart = segments(np.arange(0, 2_000_000, 10), np.full(200_000, 2.0), 0.5)
+    joined = segments(np.arange(0, 400_000, 2), np.full(200_000, 2.0), 0.5)
+    falling = segments(np.arange(0, 2_000_000, 10), np.linspace(4, 1, 200_000), 0.5)
+    assert (len(apart), len(joined), len(falling)) == (200_000, 1, 200_000) and time.perf_counter() - began < 5
+
+
+def plain_forms(text):
+    words = re.findall("[a-z]+", text.lower())
+    return [{w} | {w[:n] + "*" for n in STEMS if len(w) > n} if i == 0 or words[i - 1] != w else set() for i, w in enumerate(words)]
+
+
+def test_model_and_scores_against_plain_python(corpus):
+    """Copies count once, whatever the partitions; scores are those of all maximal segments of the model's words."""
+    docs, labels = corpus
+    texts = [(r.doc_id, r.text) for r in docs.where("doc_id < 300").collect()]
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    copies = [(10_000 + i, next(t for d, t in texts if label[d]), 1) for i in range(40)]
+    docs = docs.select("doc_id", "text").where("doc_id < 300").unionByName(docs.sparkSession.createDataFrame([c[:2] for c in copies], "doc_id long, text string"))
+    labels = labels.select("doc_id", "toxic").unionByName(docs.sparkSession.createDataFrame([(c[0], 1) for c in copies], "doc_id long, toxic int"))
+    model = train(docs, labels)
+    again = train(docs.repartition(5), labels.repartition(3))
+    assert all((a == b).all() for a, b in ((model.form, again.form), (model.score, again.score), (model.weights, again.weights))) and (model.lam, model.k) == (again.lam, again.k)
+    every = [(d, t, label[d]) for d, t in texts] + copies
+    own = [(t, y) for d, t, y in every if zlib.crc32(str(d).encode()) % 3 != 1]
+    same = Counter(own)
+    counts, totals, held = [Counter(), Counter()], [0.0, 0.0], Counter()
+    for (t, y), n in same.items():
+        # The weights of n copies add up to 1, but for their rounding to parts of WHOLE.
+        w = n * max(1, round(WHOLE / n)) / WHOLE
+        forms = plain_forms(t)
+        totals[y] += w * len(forms)
+        seen = Counter(f for fs in forms for f in fs)
+        for f, k in seen.items():
+            counts[y][f] += w * k
+            held[f] += w * y
+    scores = {}
+    for f in held:
+        prior = PRIOR * (counts[0][f] + counts[1][f]) / sum(totals) + 0.5
+        y, x = counts[1][f] + prior, counts[0][f] + prior
+        odds, spread = np.log(y / (totals[1] + PRIOR - y)) - np.log(x / (totals[0] + PRIOR - x)), np.sqrt(1 / y + 1 / x)
+        if held[f] >= LEAST_TEXTS and odds / spread >= Z and odds - spread > 3 * DRIFT:
+            scores[f] = odds - spread
+    assert np.allclose(sorted(scores.values()), sorted(model.score), rtol=1e-9) and len(scores) > 3
+    got = {r.doc_id: r.score for r in toxicity(docs, labels, model=model).collect()}
+    for d, t, _ in every[:120]:
+        forms = plain_forms(t)
+        steps = [max([scores[f] for f in fs if f in scores], default=0.0) - DRIFT for fs in forms]
+        found = [s for *_, s in all_maximal(steps)]
+        base = np.log(max(1.0, model.k * len(forms)))
+        x = [1.0, np.log1p(sum(max(0.0, model.lam * s - base) for s in found)), np.log1p(max([0.0, *(model.lam * s for s in found)])), np.log1p(len(forms)) / 10]
+        assert np.isclose(got[d], 1 / (1 + np.exp(-(model.weights @ x))), atol=1e-9)

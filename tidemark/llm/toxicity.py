@@ -7,7 +7,8 @@ calibrated by the extreme-value law of segment scores in clean text (rate ``lam`
 constant ``k``), and a document's evidence by a logistic curve on training rows.
 
 Evidence is held by forms of a word: the word itself and its first 4 to 6 bytes, so
-unseen inflections of a stem count.
+unseen inflections of a stem count. A word that only repeats the one before it adds
+none, so saying a word many times in a row is saying it once.
 """
 
 from __future__ import annotations
@@ -19,17 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import settle
-from .arrays import ByteHash, Shingler, letters, mix, per_text, runs, text_slices
+from .arrays import ByteHash, Shingler, letters, mix, odd_numbers, per_text, runs, text_slices
 from .crf import logistic, sigmoid
 from .labelled import remainder, training_rows
 
 HELD_OUT_PARTS, HELD_OUT = 3, 1
-#: The most labelled rows and the most forms that a model holds.
-TRAINING_ROWS, LEXICON = 20_000, 20_000
+#: The most labelled rows that a model is made from; its forms are some of the words in those.
+TRAINING_ROWS = 20_000
 STEMS = (4, 5, 6)
 DRIFT, PRIOR, Z, LEAST_TEXTS = 0.5, 500.0, 3.0, 5
+#: Smallest shingle hashes of a text, by which copies are told, and parts of a whole text that weights are counted in.
+MINIMA, WHOLE = 16, 1 << 16
 THRESHOLD = 0.7
 
 
@@ -92,29 +96,32 @@ class ToxicModel:
 def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, end word, score) of words that score ``score`` at ``at`` and -drift elsewhere.
 
-    Linear: each candidate keeps the running sum before and after it; a new one joins
-    back over candidates that start lower, as Ruzzo and Tompa's does.
+    Linear, as Ruzzo and Tompa's: each candidate keeps the running sum before and after
+    it and a pointer to the nearest earlier candidate that starts lower. A new one
+    follows the pointers and never looks at what they pass over again.
     """
-    found: list[list] = []  # [first, end, sum before, sum after]
+    first: list[int] = []
+    end: list[int] = []
+    low: list[float] = []
+    high: list[float] = []
+    back: list[int] = []
     total, word = 0.0, 0
     for i, s in zip(at.tolist(), score.tolist(), strict=True):
         total -= drift * (i - word)
         word = i + 1
+        start, under = i, total
+        total += s
         if s <= 0:
-            total += s
             continue
-        new = [i, i + 1, total, total + s]
-        total += s
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+        j = len(low) - 1
+        while j >= 0 and low[j] >= under:
+            j = back[j]
+        while j >= 0 and high[j] < total:
+            start, under, k = first[j], low[j], back[j]
+            del first[j:], end[j:], low[j:], high[j:], back[j:]
+            j = k
+        first.append(start), end.append(i + 1), low.append(under), high.append(total), back.append(j)
+    return [(a, b, h - v) for a, b, v, h in zip(first, end, low, high, strict=True)]
 
 
 def evidence(found: list[tuple[int, int, float]], words: int, lam: float, k: float) -> tuple[float, float, float]:
@@ -127,18 +134,22 @@ def evidence(found: list[tuple[int, int, float]], words: int, lam: float, k: flo
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = HELD_OUT_PARTS, held_out: int = HELD_OUT, most: int = TRAINING_ROWS) -> ToxicModel | None:
     """A model from at most ``most`` labelled rows; None when they are not of both classes.
 
-    Counts of forms are made on executors, one text of those with the same rarest
-    shingle, so that groups of copies count once; only forms with significant evidence
-    come to the driver.
+    Counts of forms are made on executors; only forms with significant evidence come to
+    the driver. A text weighs 1 / n, where n is the median, over MINIMA hash functions,
+    of how many texts of its label have the same smallest shingle: a group of copies
+    counts about once, while texts that share only a passage count each. Weights are
+    whole parts of WHOLE and rows are sorted before a fit, so neither the order of rows
+    nor their partitions change the model.
     """
     rows = training_rows(docs, labels, label_col, id_col, text_col, parts, held_out, most)
+    by = odd_numbers(MINIMA, 37)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, shingler = Forms(), Shingler(5)
         for batch in batches:
             label = batch.column(0).to_numpy()
             for row, end, data, ends in text_slices(batch.column(1)):
-                least = [int(mix(s).min()) >> 1 if len(s) else -1 for s in shingler.sets(data, ends)]
+                least = [[int(mix(s * m).min()) >> 1 for m in by] if len(s) else [-1] * MINIMA for s in shingler.sets(data, ends)]
                 found, _, _, bound = forms.of(data, ends)
                 form, n = [], []
                 for a, b in zip(bound[:-1], bound[1:], strict=True):
@@ -146,23 +157,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     form.append(h[h != 0].view(np.int64)), n.append(count[h != 0])
                 cut = pa.array(np.r_[0, np.cumsum([len(h) for h in form])], pa.int32())
                 lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x), pa.int64())) for x in (form, n)]
-                yield pa.record_batch([pa.array(label[row:end], pa.int32()), pa.array(least, pa.int64()), pa.array(np.diff(bound), pa.int64()), *lists], ["label", "least", "words", "form", "n"])
+                yield pa.record_batch([pa.array(label[row:end], pa.int32()), pa.array(least, pa.list_(pa.int64())), pa.array(np.diff(bound), pa.int64()), *lists], ["label", "least", "words", "form", "n"])
 
-    own = settle(rows.select("label", "text").mapInArrow(counts, "label int, least long, words long, form array<long>, n array<long>").where("words > 0").dropDuplicates(["label", "least"]))
-    totals = {bool(r.toxic): r.words for r in own.groupBy((F.col("label") == 1).alias("toxic")).agg(F.sum("words").alias("words")).collect()}
+    toxic = (F.col("label") == 1).cast("int")
+    own = rows.select("label", "text").mapInArrow(counts, "label int, least array<long>, words long, form array<long>, n array<long>").where("words > 0")
+    own = settle(own.withColumn("toxic", toxic).withColumn("row", F.monotonically_increasing_id()))
+    alike = own.select("row", "toxic", F.posexplode("least").alias("at", "least"))
+    alike = alike.withColumn("same", F.count("*").over(Window.partitionBy("toxic", "at", "least")))
+    weight = F.greatest(F.lit(1), F.round(F.lit(WHOLE) / F.percentile("same", F.lit(0.5)))).cast("long")
+    own = own.drop("least").join(alike.groupBy("row").agg(weight.alias("weight")), "row")
+    own = settle(own.select("toxic", "weight", (F.col("words") * F.col("weight")).alias("words"), "form", "n"))
+    totals = {bool(r.toxic): r.words for r in own.groupBy("toxic").agg(F.sum("words").alias("words")).collect()}
     if len(totals) < 2:
         return None
-    bad, good = float(totals[True]), float(totals[False])
-    toxic = (F.col("label") == 1).cast("int")
-    each = own.select(toxic.alias("toxic"), F.explode(F.arrays_zip("form", "n")).alias("x")).select("toxic", "x.form", "x.n")
-    each = each.groupBy("form").agg(F.sum(F.col("n") * F.col("toxic")).alias("y"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("x"), F.sum("toxic").alias("texts"))
+    bad, good = totals[True] / WHOLE, totals[False] / WHOLE
+    each = own.select("toxic", "weight", F.explode(F.arrays_zip("form", "n")).alias("x")).select("toxic", "weight", "x.form", (F.col("x.n") * F.col("weight")).alias("n"))
+    each = each.groupBy("form").agg((F.sum(F.col("n") * F.col("toxic")) / WHOLE).alias("y"), (F.sum(F.col("n") * (1 - F.col("toxic"))) / WHOLE).alias("x"), (F.sum(F.col("weight") * F.col("toxic")) / WHOLE).alias("texts"))
     # Dirichlet prior: PRIOR words at the form's rate in all training text, and half a word of every form.
     prior = F.lit(PRIOR) * (F.col("y") + F.col("x")) / (bad + good) + 0.5
     y, x = F.col("y") + prior, F.col("x") + prior
     odds = F.log(y / (bad + PRIOR - y)) - F.log(x / (good + PRIOR - x))
     spread = F.sqrt(1 / y + 1 / x)
     strong = each.where(F.col("texts") >= LEAST_TEXTS).select("form", (odds - spread).alias("score"), (odds / spread).alias("z"), (x / (good + PRIOR)).alias("rate"))
-    strong = strong.where((F.col("z") >= Z) & (F.col("score") > 3 * DRIFT)).orderBy(F.desc("z"), "form").limit(LEXICON).collect()
+    strong = strong.where((F.col("z") >= Z) & (F.col("score") > 3 * DRIFT)).select("form", "score", "rate").orderBy("form").collect()
     form = np.array([r.form for r in strong], np.int64).view(np.uint64)
     score, rate = np.array([r.score for r in strong], float), np.array([r.rate for r in strong], float)
     order = np.argsort(form)
@@ -170,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.lam = decay(score - DRIFT, rate, DRIFT)
     # For rare positive steps, the chance that a passage of a clean text reaches s is at most words * k * exp(-lam * s).
     model.k = 1 - float(np.exp(-model.lam * DRIFT))
-    seen = np.array([(r.label, r.sum_, r.best, r.words) for r in score_texts(rows.select("label", "text"), model, "label int").collect()], float)
+    seen = np.array(sorted(tuple(r) for r in score_texts(rows.select("label", "text"), model, "label int").select("label", "sum_", "best", "words").collect()), float)
     model.weights = logistic(seen[:, 1:], (seen[:, 0] == 1).astype(float), ridge=0.05)
     return model
 
@@ -233,9 +250,12 @@ def score_texts(rows: DataFrame, model: ToxicModel, first: str) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, model: ToxicModel | None = None) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score, predicted and the passages (words as runs of letters).
 
-    The score is a function of the text alone. Null and empty texts have no passage.
-    Without training rows of both classes every score is 0. Null ids are kept and count
-    as held out or not by the text ''. Other columns are ignored.
+    The score is a function of the text alone and of the labelled rows, whatever the
+    partitions. Null and empty texts have no passage; every text is read whole, in time
+    linear in its words. Repeated rows each give their own. Of equal segments the first
+    is kept apart, as Ruzzo and Tompa define. Without training rows of both classes
+    every score is 0. Null ids are kept and count as held out or not by the text ''.
+    Other columns are ignored.
     """
     model = model or train(docs, labels, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
