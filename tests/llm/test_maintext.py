@@ -1,5 +1,10 @@
 """HTML extraction on pages of many shapes."""
 
+import random
+import re
+import time
+from html import unescape
+
 import pytest
 
 from tidemark.llm.maintext import extract, main_text
@@ -42,3 +47,64 @@ def test_table(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()), key=str)
     assert got == sorted([(1, "u", WANT, len(WANT)), (None, None, "", 0), (1, "u", "", 0), (2, "v", "ä 𝒳", 3)], key=str)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "A sentence of some length, with a comma, and then another clause that goes on. " * 3
+
+
+@pytest.mark.parametrize("part", [
+    '<section class="side-effects"><p>Headache, and more.</p></section>',
+    '<p class="share-prices">Prices fell by 3 percent.</p>',
+    '<div class="form-of-government"><p>A republic, federal.</p></div>',
+    '<div class="commentary"><p>The notes say more.</p></div>',
+    '<div class="search-history"><p>The search took years.</p></div>',
+    '<p><a href="1">One source</a> <a href="2">Another source</a></p>',
+    '<ol><li><a href="1">Smith, A. (2001). On things.</a></li><li><a href="2">Jones, B. (2002). On more.</a></li></ol>',
+    '<table><tr><td><a href="1">Left</a></td><td><a href="2">Right</a></td></tr></table>',
+])
+def test_text_of_the_article_stays(part):
+    got = main_text(PAGE.format(main=f"<article><h1>Title</h1><p>{LONG}</p>{part}<p>{LONG}</p></article>", body=""))
+    inner = re.sub("<[^>]*>", "\n", part.replace("</a> <a", "</a> <b></b><a")).split("\n")
+    words = " ".join(x.strip() for x in inner if x.strip())
+    assert " ".join(got.split()) == " ".join(f"Title {LONG} {words} {LONG}".split())
+
+
+@pytest.mark.parametrize("part", ['<div class="share-buttons"><p>Share this, now.</p></div>', '<div class="ad-slot-2"><p>Buy it, now, today.</p></div>', '<ul class="tags"><li><a href="1">One</a></li><li><a href="2">Two</a></li></ul>', '<ul><li><a href="1">Next</a></li><li><a href="2">Home</a></li></ul>', '<div class="user-comments-list"><p>I agree, fully, with all of it.</p></div>', '<div id="sidebarLeft"><p>Some more, to read, here.</p></div>', '<div class="related-posts"><p>Read this, too, and that.</p></div>', '<div style="display:none"><p>Not to be seen, ever.</p></div>', '<div role="alert"><p>Mind this, please, now.</p></div>'])
+def test_other_things_in_the_article_go(part):
+    assert main_text(PAGE.format(main=f"<article><h1>Title</h1><p>{LONG}</p>{part}<p>{LONG}</p></article>", body="")) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_siblings_stay():
+    two = main_text(PAGE.format(main=f"<main><article><p>{LONG}</p></article><article><p>Short, but its own.</p></article></main>", body=""))
+    assert two == f"{LONG.strip()}\nShort, but its own."
+    three = main_text(f"<body><div class='top-nav'><p>Menu.</p></div><div><p>{LONG}</p></div><div><p>{LONG}</p></div><div><p>The end.</p></div></body>")
+    assert three == f"{LONG.strip()}\n{LONG.strip()}\nThe end."
+    unequal = main_text(f"<body><div><p>{LONG * 4}</p></div><div><p>The end.</p></div><div><p>Copyright 2020 by us.</p></div></body>")
+    assert unequal == f"{(LONG * 4).strip()}\nThe end."
+
+
+def test_broken_pages_take_linear_time():
+    began = time.perf_counter()
+    assert main_text("<article><p>x</p>" + "</b></div></i>" * 100_000) == "x"
+    assert main_text("<div class='a'>" * 100_000 + "<p>deep</p>") == "deep"
+    main_text("<ul><li><ul>" + "<div>" * 30_000 + "<li></li>" * 30_000)
+    main_text("<b>" * 50_000 + "<p>" * 50_000 + "</b>" * 50_000)
+    assert time.perf_counter() - began < 12
+
+
+def test_against_pages_whose_text_is_known():
+    """Pages put together at random from blocks that are text and things that are not."""
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma,", "delta", "&amp;", "é", "omega."]) for _ in range(n))
+    junk = ["<nav><ul><li><a href=1>A</a></li><li><a href=2>B</a></li></ul></nav>", "<div class='ad'>Buy, buy, buy.</div>", "<aside><p>Also, see, this.</p></aside>", "<form><p>Mail?</p><input></form>", "<script>var a = '<p>x</p>';</script>", "<style>p{}</style>", "<div class='share-bar'><a href=1>Tweet</a></div>", "<!-- <p>no</p> -->", "<section id='comments'><p>Nice, really, nice, very nice.</p></section>", "<button>Go</button>"]
+    for _ in range(150):
+        blocks, page = [], []
+        for _ in range(r.randint(1, 8)):
+            text = words(r.randint(3, 40))
+            blocks.append(" ".join(unescape(text).split()))
+            page.append(r.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<div><p>{}</p></div>", "<ul><li>{}</li></ul>", "<p><b>{}</b></p>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<div class='side-note-on-history'><p>{}</p></div>"]).format(text))
+            if r.random() < 0.4:
+                page.append(r.choice(junk))
+        tag = r.choice(["article", "main"])
+        html = f"<html><head><title>t</title></head><body><header><p>Head, er.</p></header>{r.choice(junk)}<{tag}>{''.join(page)}</{tag}>{r.choice(junk)}<footer><p>&copy; us, all of us.</p></footer></body></html>"
+        assert main_text(html) == "\n".join(blocks), html

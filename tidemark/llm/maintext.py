@@ -3,7 +3,7 @@
 Every paragraph gives points for its length and commas, less for its share of link
 text, to its ancestors, less with each level. The container with the most points and its
 siblings that read like it are kept, without menus, forms, adverts, notices and
-readers' comments.
+readers' comments. Names of classes alone leave out nothing that may be text.
 """
 
 from __future__ import annotations
@@ -33,17 +33,26 @@ CLOSES = {
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
     "option": (("option",), ("select", "datalist")),
 }
+HOLDERS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of a class or id that name other things than the text; the second list holds beginnings.
+#: Words of a class or id that name other things than the text; the second list holds beginnings. A label made of
+#: such words and the third list's alone names other things; with any word beside them (side-effects) it only casts doubt.
 NOT_TEXT = frozenset("ad ads adv adbox adslot banner nav menu masthead footer side rail widget consent gdpr notice notices notification alert modal overlay signup login respond replies discussion share related recommended pagination pager toolbar form search copyright skip outbrain taboola trending popular paywall toc tags".split())
-NOT_TEXT_STARTS = ("comment", "sidebar", "advert", "sponsor", "promo", "cookie", "newsletter", "subscri", "breadcrumb", "navbar", "navigation", "navmenu", "disqus", "popup", "social", "sharing", "sitefooter", "siteheader", "sitenav", "recommend")
+NOT_TEXT_STARTS = ("sponsor", "promo", "cookie", "subscri", "navigation", "popup", "social", "sharing", "recommend")
+BESIDE = frozenset("area articles bar block body bottom box btn button buttons by card cards center column container content count field group head heading header holder icon icons inline inner item items js label large left link links list main mini module more now page panel post posts reader readers right row section site slot small stories sticky text this to tool tools top unit us user users view widgets with wrap wrapper you your zone".split())
+#: Beginnings that cast no doubt, but for the words in the second list.
+UNMISTAKABLE = ("comment", "sidebar", "advert", "newsletter", "breadcrumb", "navbar", "navmenu", "disqus", "sitefooter", "siteheader", "sitenav")
+MISTAKABLE = ("commentar", "advertent")
+#: What the points that come through a doubtful element count, and through how many ancestors a paragraph's points go.
+DOUBT, LEVELS = 0.3, 6
 TEXT = frozenset("article content main post entry story body text page".split())
 NEGATED = frozenset("with has no without is".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([a-zA-Z-]+)""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 QUOTE = re.compile(r"""[>"']""")
+RIGHTS = re.compile(r"\xa9|copyright|all rights reserved|cookie", re.I)
 COMMAS = re.compile("[,،、，;]")
 WANTED = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden", "itemprop"))
 
@@ -51,14 +60,14 @@ WANTED = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden", "it
 class Node:
     """An element at block level; ``parts`` holds text pieces as (text, in a link) and nodes, in page order."""
 
-    __slots__ = ("name", "parent", "parts", "other", "positive", "points", "size", "linked", "links", "holds")
+    __slots__ = ("name", "label", "parent", "parts", "other", "doubt", "positive", "points", "size", "linked", "links", "marks", "holds")
 
-    def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Node | None, label: str = ""):
+        self.name, self.label, self.parent = name, label, parent
         self.parts: list = []
-        self.other = self.positive = False
+        self.other = self.doubt = self.positive = False
         self.points = 0.0
-        self.size = self.linked = self.links = 0
+        self.size = self.linked = self.links = self.marks = 0
         self.holds = False
 
 
@@ -71,22 +80,33 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
-def kind_of(name: str, has: dict[str, str], in_text: bool) -> tuple[bool, bool]:
-    """(names something else than text, names text) by role, visibility, class and id."""
+def names_other(words: list[str]) -> bool | None:
+    """Whether a label's words name something else than text; None where they may."""
+    if any(w.startswith(UNMISTAKABLE) and not w.startswith(MISTAKABLE) for w in [*words, "".join(words)]):
+        return True
+    hit = [w in NOT_TEXT or w.startswith(NOT_TEXT_STARTS) for w in words]
+    if not any(hit):
+        return True if "".join(words).startswith(NOT_TEXT_STARTS) and all(w in BESIDE for w in words[1:]) else False
+    return True if all(h or w in BESIDE or w.isdigit() for h, w in zip(hit, words, strict=True)) else None
+
+
+def kind_of(name: str, has: dict[str, str], in_text: bool) -> tuple[bool, bool, bool]:
+    """(names something else than text, may do so, names text) by role, visibility, class and id."""
     if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I):
-        return True, False
+        return True, False, False
     if has.get("role", "").lower() in ROLES:
-        return True, False
-    other = positive = False
+        return True, False, False
+    other = doubt = positive = False
     for label in f"{has.get('class', '')} {has.get('id', '')}".split():
         words = [w.lower() for w in WORDS.findall(label)]
         if words and words[0] in NEGATED:
             continue
-        joined = "".join(words)
         positive |= any(w in TEXT for w in words)
-        other |= any(w in NOT_TEXT or w.startswith(NOT_TEXT_STARTS) for w in words) or joined.startswith(NOT_TEXT_STARTS)
+        named = names_other(words)
+        other |= named is True
+        doubt |= named is None
         other |= words in (["header"], ["page", "header"], ["top", "header"], ["site", "header"]) and not in_text
-    return other, positive or "articlebody" in has.get("itemprop", "").lower()
+    return other, doubt and not other, positive or "articlebody" in has.get("itemprop", "").lower()
 
 
 def tag_end(html: str, at: int) -> int:
@@ -109,6 +129,9 @@ def parse(html: str, left_out: frozenset[str]) -> Node:
     """The tree of block-level elements with their text; ``left_out`` elements have none."""
     root = Node("#root", None)
     stack: list[tuple[str, Node, bool]] = [("#root", root, False)]  # name, its block, whether text is dropped
+    open_at: dict[str, list[int]] = {}  # heights of the open elements by name, so no tag looks through the stack
+    blocks = [0]  # heights of the open block-level elements
+    holders = 0  # open articles and mains
     link_depth = 0  # stack height at which a link opened, 0 outside links
     at, n = 0, len(html)
 
@@ -118,11 +141,19 @@ def parse(html: str, left_out: frozenset[str]) -> Node:
             node.parts.append((unescape(piece) if "&" in piece else piece, link_depth > 0))
 
     def cut(height: int) -> None:
-        nonlocal link_depth
-        del stack[height:]
+        nonlocal link_depth, holders
+        while len(stack) > height:
+            gone = stack.pop()[0]
+            open_at[gone].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+            holders -= gone in HOLDERS
         if link_depth > height:
             link_depth = 0
 
+    def highest(names: tuple[str, ...]) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
+
     while at < n:
         lt = html.find("<", at)
         if lt < 0 or lt + 1 >= n:
@@ -153,13 +184,10 @@ def parse(html: str, left_out: frozenset[str]) -> Node:
         if closing:
             if name == "a":
                 link_depth = 0
-            block = name in BLOCK
-            for height in range(len(stack) - 1, 0, -1):
-                if stack[height][0] == name:
-                    cut(height)
-                    break
-                if not block and stack[height][0] in BLOCK:
-                    break  # an inline end tag does not close blocks
+            height = highest((name,))
+            # An inline end tag does not close blocks.
+            if height and (name in BLOCK or blocks[-1] <= height):
+                cut(height)
             continue
         if name == "br":
             text(" ")
@@ -167,20 +195,15 @@ def parse(html: str, left_out: frozenset[str]) -> Node:
         if name in VOID and name != "hr":
             continue
         if name in BLOCK:
-            height = len(stack) - 1
-            while height > 0 and stack[height][0] not in BLOCK:
-                height -= 1
+            height = blocks[-1]
             if stack[height][0] == "p" or name in HEADINGS and stack[height][0] in HEADINGS:
                 cut(height)
             if name in CLOSES:
                 names, stops = CLOSES[name]
-                for height in range(len(stack) - 1, 0, -1):
-                    if stack[height][0] in stops:
-                        break
-                    if stack[height][0] in names:
-                        cut(height)
-                        # go on: a row closes its cells and the row before
-        above_name, above, dropped = stack[-1]
+                # A row closes its cells and the row before.
+                while highest(names) > highest(stops):
+                    cut(highest(names))
+        _, above, dropped = stack[-1]
         source = html[m.end() : end]
         if name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>])|</{name}$", re.I | re.A).search(html, at)
@@ -191,14 +214,13 @@ def parse(html: str, left_out: frozenset[str]) -> Node:
             at = html.find(">", close.start()) + 1 or n
             continue
         has = attributes(source) if "=" in source or "hidden" in source else {}
-        in_text = any(x[0] in ("article", "main") for x in stack) if name == "header" or has else False
-        other, positive = kind_of(name, has, in_text) if has else (False, False)
-        if name == "header" and not in_text:
+        other, doubt, positive = kind_of(name, has, holders > 0) if has else (False, False, False)
+        if name == "header" and not holders:
             dropped = True
         dropped = dropped or name in left_out
         if name in BLOCK:
-            node = Node(name, above)
-            node.positive = positive
+            node = Node(name, above, has.get("class", ""))
+            node.positive, node.doubt = positive, doubt
             node.other = other and name not in ("html", "body")
             above.parts.append(node)
             if name == "hr":
@@ -210,6 +232,10 @@ def parse(html: str, left_out: frozenset[str]) -> Node:
                 if not source.rstrip().endswith("/"):
                     link_depth = len(stack)
                     above.links += 1
+        open_at.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        holders += name in HOLDERS
         stack.append((name, node, dropped))
     return root
 
@@ -246,13 +272,13 @@ def score(root: Node) -> list[Node]:
     """Fill in sizes and points; returns the nodes that count, without those that name something else and hold no article of their own."""
     every = nodes_of(root)
     for node in reversed(every):
-        node.holds = node.holds or node.name in ("article", "main", "h1") and not node.other
+        node.holds = node.holds or (node.name in HOLDERS or node.name == "h1") and not node.other
         if node.parent is not None and node.holds and not node.other:
             node.parent.holds = True
     alive = {id(root)}
     kept = []
     for node in every:
-        if node is root or id(node.parent) in alive and not (node.other and not (node.holds and node.name not in ("article", "main"))):
+        if node is root or id(node.parent) in alive and not (node.other and not (node.holds and node.name not in HOLDERS)):
             alive.add(id(node))
             kept.append(node)
     for node in kept:
@@ -265,28 +291,44 @@ def score(root: Node) -> list[Node]:
             linked = min(size, sum(len(t) for t, link in run if link))
             node.size += size
             node.linked += linked
+            node.marks += sum(t.count(".") + len(COMMAS.findall(t)) for t, link in run if link)
             points = (min(1.0, size / 25) + len(COMMAS.findall("".join(t for t, _ in run))) + min(size / 100, 3)) * (1 - linked / size)
             if node.name in HEADINGS:
                 points *= 0.2
             # A paragraph counts for what holds it, text straight in a container for the container.
             above = node.parent if node.name in ("p", "pre", "blockquote", "li", "dd", "td", *HEADINGS) and node.parent is not None else node
-            level = 1
-            while above is not None and level <= 6:
-                above.points += points / (1, 2, 6, 9, 12, 15)[level - 1]
+            level = 0
+            while above is not None and level < LEVELS:
+                points *= DOUBT if above.doubt else 1
+                above.points += points / (1, 2, *range(6, 3 * LEVELS, 3))[level]
                 above, level = above.parent, level + 1
     for node in reversed(kept):
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.linked += node.linked
             node.parent.links += node.links
+            node.parent.marks += node.marks
     for node in kept:
         if node.size:
-            node.points *= (1 - node.linked / node.size) * (1.3 if node.name in ("article", "main") else 1.15 if node.positive else 1)
+            node.points *= (1 - node.linked / node.size) * (1.3 if node.name in HOLDERS else 1.15 if node.positive else 1)
     return kept
 
 
 def is_list_of_links(node: Node) -> bool:
-    return node.size > 0 and node.links > 1 and node.name in ("ul", "ol", "dl", "table", "div", "section", "p") and node.linked > (0.9 if node.name == "p" else 0.7) * node.size
+    """Whether a list or container is links for the most part, and these do not read as text: they are short and without stops and commas."""
+    if node.links < 2 or not node.size:
+        return False
+    if node.doubt and node.linked > 0.5 * node.size:
+        return True
+    return node.name in ("ul", "ol", "dl", "div", "section") and node.linked > 0.7 * node.size and node.linked < 40 * node.links and 2 * node.marks < node.links
+
+
+def is_twin(part: Node, top: Node) -> bool:
+    """Whether a sibling is of the same kind as the best container and says something: long, or sentences."""
+    if (part.name, part.label) != (top.name, top.label) or part.doubt or part.linked >= 0.25 * part.size:
+        return False
+    said = text_of([part])
+    return not RIGHTS.search(said) and (part.size > 80 or said.endswith((".", "!", "?", "\u2026", "\u3002", '."', ".\u201d")))
 
 
 def chosen(kept: list[Node]) -> list[Node]:
@@ -312,6 +354,9 @@ def chosen(kept: list[Node]) -> list[Node]:
             found.append(part)
         elif isinstance(part, Node) and part.size:
             density = part.linked / part.size
+            if part.name == top.name == "article" and density < 0.5 or is_twin(part, top):
+                found.append(part)
+                continue
             like = part.points >= 0.2 * top.points and density < 0.3 and part.name not in ("ul", "ol")
             reads = part.name == "p" and density < 0.25 and part.size > 80
             title = part.name in ("h1", "h2") and density < 0.3
@@ -361,9 +406,14 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, text and n_chars (code points).
 
-    The whole page is parsed, however long or broken it is; null and empty pages, and
-    those without text, have an empty one. Ids and urls may be null or repeated. Other
-    columns are ignored.
+    The whole page is parsed, however long, deep or broken it is, in time linear in its
+    length; null and empty pages, and those without text, have an empty one. Of equally
+    good containers the first is taken. Ids and urls may be null or repeated, and each
+    row gives its own. Other columns are ignored.
+
+    A paragraph's points go to LEVELS ancestors. What a class or id names is left out
+    where the name is unmistakable (comments, share-buttons); a name that may be text
+    (side-effects, form-of-government) only discounts points.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
