@@ -3,10 +3,12 @@
 from fractions import Fraction
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tidemark.llm.mixing import global_rank, mix, mixed, sainte_lague, source_quotas
+import tidemark.llm.mixing as module
+from tidemark.llm.mixing import PRIME, block_choice, chosen_words, global_rank, mix, mixed, sainte_lague, source_quotas
 
 SCHEMA = "doc_id long, text string, source string, size int, key string, target double, shard int"
 
@@ -80,6 +82,41 @@ def test_odd_tables(spark):
     assert [(x.size, x.source_size, x.target, x.taken) for x in silent] == [(0, 0, 0.0, 0)]
 
 
+def test_groups_of_shards_and_seeded_blocks(spark, monkeypatch):
+    """Many small shards in groups: sources still meet their targets, and blocks are not the first of an order."""
+    monkeypatch.setattr(module, "SHARD_TOKENS", 640)
+    monkeypatch.setattr(module, "GROUP_SHARDS", 4)
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(r.integers(1, 60))), "abc"[i % 3 if i % 3 else i % 2], 1, "", 0.0, 0) for i in range(1500)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = mix(frame).collect()
+    sizes = {}
+    for x, (_, text, source, *_) in zip(sorted(got), rows, strict=True):
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+        assert 0 <= x.taken <= 3 * x.size
+    want = targets(sizes)
+    for source, target in want.items():
+        taken = sum(x.taken for x in got if rows[x.doc_id][2] == source)
+        assert abs(taken - target) <= 64
+    other = {x.doc_id: x.taken for x in mix(frame, seed=99).collect()}
+    assert other != {x.doc_id: x.taken for x in got}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=30), st.integers(0, 40), st.integers(0, 1000))
+def test_chosen_words_against_marking_each_word(spark, sizes, blocks, seed):
+    shard = spark.createDataFrame([("k", 0, sum(sizes), blocks)], "key string, shard long, shard_size long, blocks long")
+    choice = block_choice(shard, 16, seed)
+    c = choice.first()
+    total, starts = sum(sizes), np.cumsum([0, *sizes])
+    place = [(n * c.a + c.c) % PRIME for n in range(-(-total // 16))]
+    marked = [place[w // 16] < c["limit"] or place[w // 16] == c["limit"] and w % 16 < c.cut for w in range(total)]
+    rows = spark.createDataFrame([(i, int(b), n) for i, (b, n) in enumerate(zip(starts, sizes, strict=False))], "i long, before long, size long").crossJoin(choice)
+    got = {x.i: x.n for x in rows.select("i", chosen_words(F.col("before"), F.col("size"), 16).alias("n")).collect()}
+    assert got == {i: sum(marked[a : a + n]) for i, (a, n) in enumerate(zip(starts, sizes, strict=False))}
+    assert c.passes * total + sum(marked) == min(16 * blocks, 3 * total)
+
+
 def test_global_rank(spark):
     rows = spark.range(500).selectExpr("cast(id as string) as name").repartition(6)
     got = {x["name"]: x["rank"] for x in global_rank(rows, "name").collect()}

@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import settle
 
 BLOCK_TOKENS = 64
-#: Tokens of a shard, and the most shards a source gets.
-SHARD_TOKENS, MOST_SHARDS = 1 << 17, 4096
+#: Tokens of a shard, and the shards of a group; a source's blocks go to its groups first, then to their shards.
+SHARD_TOKENS, GROUP_SHARDS = 1 << 17, 4096
+#: A prime: block numbers are put in a seeded order by a * number + c modulo it.
+PRIME = (1 << 31) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
 
@@ -96,13 +99,56 @@ def source_quotas(sources: DataFrame, seats: int, total: float, count: int) -> D
 
 
 def shard_quotas(shards: DataFrame) -> DataFrame:
-    """(key, shard, quota): a source's blocks over its shards by highest quotients of their sizes; at most MOST_SHARDS rows of a source."""
+    """(key, shard, shard_size, blocks): a source's ``quota`` blocks over its groups of shards, then over each group's shards, by highest quotients of their sizes. A task holds a row for each group of a source, or for each shard of a group."""
 
     def deal(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
-        return pd.DataFrame({"key": group["key"], "shard": group["shard"], "shard_size": group["shard_size"], "blocks": sainte_lague(group["shard_size"].to_numpy(), int(group["quota"].iloc[0]))})
+        group = group.sort_values("part")
+        return group.assign(blocks=sainte_lague(group["size"].to_numpy(), int(group["quota"].iloc[0])))[["key", "part", "size", "blocks"]]
 
-    return shards.groupBy("key").applyInPandas(deal, "key string, shard int, shard_size long, blocks long")
+    schema = "key string, part long, size long, blocks long"
+    shards = shards.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS))
+    groups = shards.groupBy("key", F.col("group").alias("part")).agg(F.sum("shard_size").alias("size"), F.first("quota").alias("quota"))
+    groups = groups.groupBy("key").applyInPandas(deal, schema).select("key", F.col("part").alias("group"), F.col("blocks").alias("quota"))
+    own = shards.drop("quota").join(groups, ["key", "group"]).select("key", "group", F.col("shard").alias("part"), F.col("shard_size").alias("size"), "quota")
+    return own.groupBy("key", "group").applyInPandas(deal, schema).select("key", F.col("part").alias("shard"), F.col("size").alias("shard_size"), "blocks")
+
+
+def block_choice(shards: DataFrame, block: int, seed: int) -> DataFrame:
+    """Adds what each shard's blocks are chosen by: ``passes`` over all of it, and of the rest the blocks whose number times a plus c modulo PRIME is under ``limit``, with ``cut`` words of the one at it."""
+    wanted = F.least(F.col("blocks") * block, REPEATS * F.col("shard_size"))
+    length = F.greatest(F.col("shard_size"), F.lit(1))
+    rows = shards.withColumn("passes", F.floor(wanted / length)).withColumn("rest", wanted - F.col("passes") * length)
+    rows = rows.withColumn("a", F.pmod(F.xxhash64("key", "shard", F.lit(seed + 2)), F.lit(PRIME - 1)) + 1).withColumn("c", F.pmod(F.xxhash64("key", "shard", F.lit(seed + 3)), F.lit(PRIME)))
+    rows = rows.select("key", "shard", "shard_size", "passes", "rest", "a", "c")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limits, cuts = [], []
+            for r in batch.select(["shard_size", "rest", "a", "c"]).to_pylist():
+                number = np.arange(-(-r["shard_size"] // block))
+                place = (number * r["a"] + r["c"]) % PRIME
+                order = np.argsort(place)
+                words = np.minimum(block, r["shard_size"] - number * block)[order].cumsum()
+                k = int(np.searchsorted(words, r["rest"])) if r["rest"] else 0
+                limits.append(int(place[order[k]]) if r["rest"] else -1)
+                cuts.append(r["rest"] - int(words[k - 1] if k else 0))
+            names = ["key", "shard", "shard_size", "passes", "a", "c"]
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(limits, pa.int64()), pa.array(cuts, pa.int64())], [*names, "limit", "cut"])
+
+    return rows.mapInArrow(choose, "key string, shard long, shard_size long, passes long, a long, c long, limit long, cut long")
+
+
+def chosen_words(before: Column, size: Column, block: int) -> Column:
+    """How many of a row's words, which stand after ``before`` others in its shard, lie in the blocks chosen by limit and cut."""
+    end = before + size
+
+    def words(number: Column) -> Column:
+        place = F.pmod(number * F.col("a") + F.col("c"), F.lit(PRIME))
+        stop = number * block + F.when(place < F.col("limit"), block).when(place == F.col("limit"), F.col("cut")).otherwise(0)
+        return F.greatest(F.lit(0), F.least(end, stop) - F.greatest(before, number * block))
+
+    numbers = F.sequence(F.floor(before / block), F.floor((end - 1) / block))
+    return F.when((size == 0) | (F.col("limit") < 0), F.lit(0).cast("long")).otherwise(F.aggregate(numbers, F.lit(0).cast("long"), lambda total, n: total + words(n)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
@@ -112,10 +158,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last, weigh 1, 2, 3, repeating, and share all sizes; a target stops at three times
     its source's size and the rest is shared anew. Blocks of ``block`` words go to the
     sources by highest quotients, each source's to its shards likewise. A shard's rows
-    stand in an order given by a hash of the id and the seed; the blocks taken are the
-    first of that order, over and over where the quota is larger than the shard, at
-    most three times. taken counts a row's words in them. Reruns agree. Repeated rows
-    each count; rows that are equal in id and size may swap. No rows give no rows.
+    stand in an order given by a hash of the id and the seed and are cut into blocks; the
+    blocks taken are chosen by the seed, all of them over and over where the quota is
+    larger than the shard, at most three times. taken counts a row's words in them.
+    Reruns agree. Texts are counted whole, however long. Repeated rows each count; rows
+    that are equal in id and size may swap. No rows give no rows.
     """
     sized = docs.select(
         F.col(id_col).cast("long").alias("id"),
@@ -130,18 +177,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     level = water_level(sources, total) if total else 0.0
     sources = sources.withColumn("target", F.least(REPEATS * F.col("source_size").cast("double"), F.lit(level) * F.col("weight")))
     sources = settle(source_quotas(settle(sources), round(total / block), float(total), count))
-    n_shards = F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_TOKENS)))
+    n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_TOKENS))
     dealt = sized.join(sources.select("key", "source_size", "target", "quota"), "key")
-    dealt = settle(dealt.withColumn("turn", F.xxhash64("id", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed + 1)), n_shards).cast("int")))
+    dealt = settle(dealt.withColumn("turn", F.xxhash64("id", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed + 1)), n_shards).cast("long")))
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-    placed = dealt.drop("quota").join(shard_quotas(shards), ["key", "shard"])
+    placed = dealt.drop("quota").join(block_choice(shard_quotas(shards), block, seed), ["key", "shard"])
     order = Window.partitionBy("key", "shard").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    wanted = F.least(F.col("blocks") * block, REPEATS * F.col("shard_size"))
-    length = F.greatest(F.col("shard_size"), F.lit(1))
-    passes = F.floor(wanted / length)
-    rest = wanted - passes * length
-    taken = passes * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - before))
+    placed = placed.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    taken = F.col("passes") * F.col("size") + chosen_words(F.col("before"), F.col("size"), block)
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
