@@ -1,9 +1,12 @@
 """Greedy string tiling against a plain search for longest matches."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 
+import tidemark.llm.decontam as module
 from tidemark.llm.decontam import benchmark_overlaps, decontaminate
 
 SCHEMA = "doc_id long, text string, item_id long, coverage double"
@@ -29,7 +32,9 @@ def plain_tiles(item, text, least):
         covered += n
 
 
-def test_like_plain_tiling(spark):
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_like_plain_tiling(spark, monkeypatch, pairs):
+    monkeypatch.setattr(module, "PAIRS", pairs)
     r = random.Random(1)
     words = [f"w{k}" for k in range(12)]
     items = [(k, " ".join(r.choice(words) for _ in range(r.choice([2, 4, 5, 9, 20, 30])))) for k in range(12)]
@@ -69,8 +74,6 @@ def test_reordered_passage_and_odd_rows(spark):
 
 
 def test_benchmark_in_parts(spark, monkeypatch):
-    import tidemark.llm.decontam as module
-
     monkeypatch.setattr(module, "BENCHMARK_BYTES", 200)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(8))) for k in range(12)]
     docs = [(k, f"pad {items[k][1]} pad", 0, 0.0) for k in range(12)]
@@ -83,3 +86,25 @@ def test_hashes_are_stable():
 
     word = np.arange(20, dtype=np.uint64)
     assert (gram_hashes(word, 5)[3:] == gram_hashes(word[3:], 5)).all()
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 3])
+def test_words_that_repeat(alphabet):
+    """Texts and items of few words have many equal windows; tiles are still those of the plain search."""
+    r = random.Random(alphabet)
+    for least, n, m in ((5, 12, 30), (5, 23, 40), (2, 9, 25)):
+        item, text = ([r.randrange(alphabet) for _ in range(k)] for k in (n, m))
+        index = module.SeedIndex([(0, " ".join(f"v{x}" for x in item))], least)
+        word = module.SeedIndex([(0, " ".join(f"v{x}" for x in text))], least).words[0]
+        got = sum(c for _, _, c in module.overlaps_of(index, word))
+        assert got == plain_tiles(item, text, least)
+
+
+def test_memory_of_words_that_repeat():
+    """60,000 times a word against 400 times: 24 million pairs of equal windows."""
+    index = module.SeedIndex([(0, "same " * 400)], 5)
+    word = np.repeat(index.words[0][:1], 60_000)
+    tracemalloc.start()
+    assert list(module.overlaps_of(index, word)) == [(0, 400, 400)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
