@@ -1,36 +1,45 @@
 """WARC archives with a two-level capture index.
 
-Archives hold one gzip member for each record, so a record is read by its offset and
-length alone. The index's lines, sorted by reversed-host URL key, lie in compressed
-blocks of ``BLOCK_LINES``; the sparse directory has each block's first line, offset and
-length. A look-up searches the first lines of the directory files, then one directory
-file, then reads one block's range, searches it, and reads the records' ranges.
+Archives are WARC/1.1 with one gzip member for each record: a warcinfo record, then
+HTTP responses and revisits, so a record is read by its offset and length alone. The
+index's lines, sorted by reversed-host URL key, lie in compressed blocks of
+``BLOCK_LINES``; at the end of an index file stands the sparse directory of its blocks
+(first key, offset, length). A look-up searches the first keys of the index files, then
+one file's directory, then reads one block's range, searches it, and reads the records'
+ranges. Executors do so for many URLs at once.
 
 Every task writes files under names of its own into the shared folder and returns them
-as rows, so files of a task that was lost or repeated are never read.
+as rows, so files of a task that was lost or repeated are never read. The folder is
+opened by pyarrow's file systems (local and mounted paths, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
+import re
+import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle, shared_dir
+from ..session import settle, shared_dir, stored
 
 ARCHIVE_BYTES, BLOCK_LINES = 64 << 20, 1024
 #: A payload under this many bytes is never a revisit.
 LEAST_REVISIT = 1000
+#: Records that a task reads before it hands them on.
+READ = 64
+TRAILER = ">QQ"
 INDEX_SCHEMA = "surt string, capture long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
 DIRECTORY_SCHEMA = "first_surt string, first_capture long, file string, offset long, length long, lines long"
 
@@ -81,6 +90,59 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
+def target_uri(url: str | None, capture: int | None) -> str:
+    """The URL as a valid URI: other characters percent-encoded, a name of its own where there is none."""
+    clean = quote((url or "").strip(), safe="%/:=&?~#+!$,;'@()*[]")
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:.", clean):
+        return clean
+    return f"urn:capture:{capture}:{clean}"
+
+
+def sha1_label(digest: str) -> str:
+    return f"sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"
+
+
+def sha1_hex(label: str) -> str:
+    return base64.b32decode(label.removeprefix("sha1:")).hex()
+
+
+def http_head(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def info_record(name: str, date: str) -> bytes:
+    """The warcinfo record that an archive begins with."""
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return warc_record(fields, b"format: WARC File Format 1.1\r\n")
+
+
+def page_record(r: dict, date: str) -> bytes:
+    """The response or revisit record of a capture."""
+    payload, uri = r["body"].encode(), target_uri(r["url"], r["capture"])
+    fields = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", record_id(r["capture"], r["payload_digest"])), ("WARC-Date", date), ("WARC-Target-URI", uri), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", sha1_label(r["payload_digest"])), ("WARC-Capture-Number", json.dumps(r["capture"]))]
+    if uri != r["url"]:
+        fields.append(("WARC-Original-URL", json.dumps(r["url"])))
+    if r["record_type"] == "response":
+        return warc_record(fields, http_head(len(payload)) + payload)
+    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["refers_to"], r["payload_digest"])), ("WARC-Refers-To-Number", str(r["refers_to"]))]
+    return warc_record(fields, http_head(len(payload)))
+
+
+def read_record(data: bytes, bodies: bool) -> tuple:
+    """(capture, url, type, refers_to, digest, bytes, body) of a record; digest and size of a response are those of its payload, of a revisit those that it states."""
+    fields, block = parse_record(data)
+    head, _, payload = block.partition(b"\r\n\r\n")
+    stated = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
+    url = json.loads(fields["WARC-Original-URL"]) if "WARC-Original-URL" in fields else fields["WARC-Target-URI"]
+    number = json.loads(fields["WARC-Capture-Number"])
+    if fields["WARC-Type"] == "revisit":
+        return number, url, "revisit", int(fields["WARC-Refers-To-Number"]), sha1_hex(fields["WARC-Payload-Digest"]), stated, None
+    digest = hashlib.sha1(payload).hexdigest()
+    if len(payload) != stated or digest != sha1_hex(fields["WARC-Payload-Digest"]):
+        raise ValueError(f"a payload of capture {number} that is not the one written")
+    return number, url, "response", None, digest, stated, payload.decode() if bodies else None
+
+
 @dataclass(frozen=True)
 class Capture:
     """What ``write_archives`` leaves: the folder, the captures and the block directory."""
@@ -100,6 +162,8 @@ def typed_captures(pages: DataFrame, id_col: str, url_col: str, body_col: str) -
     rows = rows.withColumn("payload_digest", F.sha1("body")).withColumn("payload_bytes", F.octet_length("body").cast("long"))
     large = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).where("capture is not null")
     repeated = large.groupBy("payload_digest", "payload_bytes").agg(F.max("capture").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # With its real size Spark sees whether it can be broadcast; then no body is shuffled.
+    repeated = stored(repeated)
     rows = rows.join(repeated, ["payload_digest", "payload_bytes"], "left")
     again = F.col("capture") < F.col("last")
     return rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("last"))).drop("last")
@@ -118,15 +182,12 @@ def archive_writer(folder: str, date: str):
                     if out is None:
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = files.open_output_stream(f"{path}/{name}", compression=None)
-                    payload, revisit = r["body"].encode(), r["record_type"] == "revisit"
-                    fields = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", record_id(r["capture"], r["payload_digest"])), ("WARC-Date", date), ("WARC-Capture-Number", json.dumps(r["capture"])), ("WARC-Target-URI-JSON", json.dumps(r["url"])), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("WARC-Payload-Length", str(len(payload)))]
-                    if revisit:
-                        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["refers_to"], r["payload_digest"])), ("WARC-Refers-To-Number", str(r["refers_to"]))]
-                    else:
-                        fields += [("Content-Type", "text/html; charset=utf-8")]
-                    member = gzip_member(warc_record(fields, b"" if revisit else payload))
+                        info = gzip_member(info_record(name, date))
+                        out.write(info)
+                        at = len(info)
+                    member = gzip_member(page_record(r, date))
                     out.write(member)
-                    rows.append((surt(r["url"]), r["capture"], r["url"], r["record_type"], r["refers_to"], r["payload_digest"], len(payload), name, at, len(member)))
+                    rows.append((surt(r["url"]), r["capture"], r["url"], r["record_type"], r["refers_to"], r["payload_digest"], r["payload_bytes"], name, at, len(member)))
                     at += len(member)
                     if at >= ARCHIVE_BYTES:
                         out.close()
@@ -165,6 +226,9 @@ def index_writer(folder: str):
                         flush()
             if lines:
                 flush()
+            # The directory, and where it stands.
+            member = gzip_member("".join(json.dumps([f[0], f[1], f[3], f[4]], ensure_ascii=False) + "\n" for f in found).encode())
+            out.write(member + struct.pack(TRAILER, at, len(member)))
         if found:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3], strict=True)], ["first_surt", "first_capture", "file", "offset", "length", "lines"])
 
@@ -188,66 +252,151 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return Capture(folder, directory)
 
 
-def block_lines(files: fs.FileSystem, path: str, offset: int, length: int) -> list[list]:
-    with files.open_input_file(path) as f:
-        return [json.loads(x) for x in zlib.decompress(f.read_at(length, offset), 31).decode().split("\n")[:-1]]
+def json_lines(member: bytes) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(member, 31).decode().split("\n")[:-1]]
+
+
+class IndexFile:
+    """One index file, read by ranges."""
+
+    def __init__(self, files: fs.FileSystem, path: str, name: str):
+        self.name, self.file = name, files.open_input_file(f"{path}/{name}")
+        at, length = struct.unpack(TRAILER, self.file.read_at(16, self.file.size() - 16))
+        self.directory = json_lines(self.file.read_at(length, at))
+        self.firsts = [d[0] for d in self.directory]
+        self.number, self.block = -1, ([], [])
+
+    def lines(self, key: str) -> Iterator[list]:
+        """The lines of a URL key: a binary search of the directory, then of the blocks that may hold it. It may begin in the block before the first one that starts with it."""
+        for i in range(max(0, bisect_left(self.firsts, key) - 1), bisect_right(self.firsts, key)):
+            if i != self.number:
+                _, _, offset, length = self.directory[i]
+                lines = json_lines(self.file.read_at(length, offset))
+                self.number, self.block = i, (lines, [x[0] for x in lines])
+            lines, keys = self.block
+            yield from lines[bisect_left(keys, key) : bisect_right(keys, key)]
+
+    def close(self) -> None:
+        self.file.close()
+
+
+class Archives:
+    """Records by file, offset and length, with the file read last kept open."""
 
+    def __init__(self, files: fs.FileSystem, path: str):
+        self.files, self.path, self.name, self.source = files, path, None, None
 
-def read_archives(spark: SparkSession, capture: Capture) -> DataFrame:
-    """Every capture of the archives, read through the index: capture, url, record_type, refers_to, payload_digest, payload_bytes and the body (null for a revisit).
+    def record(self, line: list) -> bytes:
+        if line[7] != self.name:
+            self.close()
+            self.name, self.source = line[7], self.files.open_input_file(f"{self.path}/{line[7]}")
+        return zlib.decompress(self.source.read_at(line[9], line[8]), 31)
 
-    Digest and length of a response are those of the bytes that were read.
+    def batch(self, lines: list[list], bodies: bool) -> pa.RecordBatch:
+        rows = [read_record(self.record(line), bodies) for line in sorted(lines, key=lambda x: (x[7], x[8]))]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["capture", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "body"])
+
+    def close(self) -> None:
+        if self.source is not None:
+            self.source.close()
+
+
+RECORD_SCHEMA = "capture long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, body string"
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """``found``, whose every revisit must state digest and size of a response that was read under the number it refers to; raises otherwise."""
+    there = found.where("record_type = 'response' and capture is not null").select(F.col("capture").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("_there")).distinct()
+    again = found.where("record_type = 'revisit'").join(there, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    message = F.concat(F.lit("revisit "), F.col("capture").cast("string"), F.lit(" refers to no response with its payload"))
+    again = again.withColumn("record_type", F.when(F.col("_there"), F.col("record_type")).otherwise(F.raise_error(message).cast("string")))
+    return found.where("record_type = 'response'").unionByName(again.select(*found.columns))
+
+
+def tops_of(capture: Capture) -> list[tuple[str, str]]:
+    """(first key, name) of the index files, in order: a row for each task that wrote the index."""
+    return sorted((r.first.first_surt, r.file) for r in capture.directory.groupBy("file").agg(F.min(F.struct("first_surt", "first_capture")).alias("first")).collect())
+
+
+def files_with(firsts: list[str], key: str) -> range:
+    """Which of sorted files may hold a key; it may begin in the file before the first one that starts with it."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
+
+
+def look_up(capture: Capture, urls: DataFrame, url_col: str = "url", bodies: bool = True) -> DataFrame:
+    """Every capture of every URL in ``urls`` (repeated ones count once; null is the empty URL), by binary search on executors.
+
+    Each URL key goes to the index files that may hold it; a task searches a file's
+    directory and blocks for its keys in order and reads the records' ranges. A URL with
+    very many captures lies in many files, each read by a task of its own. Digests and
+    sizes of responses are those of the bytes that were read; revisits are to be
+    ``checked``.
     """
+    folder, tops = capture.folder, tops_of(capture)
+    firsts = [t[0] for t in tops]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(tops[i][1], key) for key in {surt(u) for u in batch.column(0).to_pylist()} for i in files_with(firsts, key)]
+            yield pa.record_batch([pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else ([], []))], ["file", "surt"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = store(folder)
+        archives, index = Archives(files, path), None
+        waiting: list[list] = []
+        for batch in batches:
+            for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if index is None or index.name != name:
+                    if index is not None:
+                        index.close()
+                    index = IndexFile(files, path, name)
+                for line in index.lines(key):
+                    waiting.append(line)
+                    if len(waiting) >= READ:
+                        yield archives.batch(waiting, bodies)
+                        waiting = []
+        if waiting:
+            yield archives.batch(waiting, bodies)
+        archives.close()
+
+    wanted = urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(keys, "file string, surt string").distinct()
+    return wanted.repartition("file").sortWithinPartitions("file", "surt").mapInArrow(read, RECORD_SCHEMA)
+
+
+def read_archives(spark: SparkSession, capture: Capture, bodies: bool = True) -> DataFrame:
+    """Every capture of the archives, block by block: capture, url, record_type, refers_to, payload_digest, payload_bytes and the body (null for a revisit)."""
     folder = capture.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = store(folder)
+        archives = Archives(files, path)
         for batch in batches:
             for block in batch.to_pylist():
-                lines = block_lines(files, f"{path}/{block['file']}", block["offset"], block["length"])
-                rows, name, source = [], None, None
-                for line in sorted(lines, key=lambda x: (x[7], x[8])):
-                    if line[7] != name:
-                        if source is not None:
-                            source.close()
-                        name, source = line[7], files.open_input_file(f"{path}/{line[7]}")
-                    fields, body = parse_record(zlib.decompress(source.read_at(line[9], line[8]), 31))
-                    revisit = fields["WARC-Type"] == "revisit"
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else hashlib.sha1(body).hexdigest()
-                    rows.append((json.loads(fields["WARC-Capture-Number"]), json.loads(fields["WARC-Target-URI-JSON"]), fields["WARC-Type"], int(fields["WARC-Refers-To-Number"]) if revisit else None, digest, int(fields["WARC-Payload-Length"]) if revisit else len(body), None if revisit else body.decode()))
-                if source is not None:
-                    source.close()
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()], strict=True)], ["capture", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "body"])
-
-    return capture.directory.mapInArrow(run, "capture long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, body string")
+                with files.open_input_file(f"{path}/{block['file']}") as f:
+                    lines = sorted(json_lines(f.read_at(block["length"], block["offset"])), key=lambda x: (x[7], x[8]))
+                for at in range(0, len(lines), READ):
+                    yield archives.batch(lines[at : at + READ], bodies)
+        archives.close()
 
+    return capture.directory.mapInArrow(run, RECORD_SCHEMA)
 
-class Lookup:
-    """Captures of one URL by binary search: directory files by first line, a directory, a block, its lines.
 
-    The driver holds one line for each index file (a file is one task's share) and reads
-    the rest by range.
-    """
+class Lookup:
+    """Captures of one URL from the driver: the same searches as ``look_up``, without a job for each URL."""
 
     def __init__(self, capture: Capture):
         self.files, self.path = store(capture.folder)
-        self.directory = capture.directory
-        tops = capture.directory.groupBy("file").agg(F.min(F.struct("first_surt", "first_capture")).alias("first"))
-        self.tops = sorted(((r.first.first_surt, r.file) for r in tops.collect()))
+        self.tops = tops_of(capture)
+        self.firsts = [t[0] for t in self.tops]
 
     def find(self, url: str) -> list[dict]:
-        """The records of the URL, in capture order: headers and body."""
+        """The records of the URL, in capture order: headers and block."""
         key, found = surt(url), []
-        firsts = [t[0] for t in self.tops]
-        # A key may begin in the file or block before the first one that starts with it.
-        for _, name in self.tops[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]:
-            blocks = self.directory.where(F.col("file") == name).orderBy("offset").collect()
-            starts = [b.first_surt for b in blocks]
-            for b in blocks[max(0, bisect_left(starts, key) - 1) : bisect_right(starts, key)]:
-                lines = block_lines(self.files, f"{self.path}/{name}", b.offset, b.length)
-                keys = [x[0] for x in lines]
-                for line in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
-                    with self.files.open_input_file(f"{self.path}/{line[7]}") as f:
-                        fields, body = parse_record(zlib.decompress(f.read_at(line[9], line[8]), 31))
-                    found.append({"fields": fields, "body": body})
+        archives = Archives(self.files, self.path)
+        for i in files_with(self.firsts, key):
+            index = IndexFile(self.files, self.path, self.tops[i][1])
+            found += [dict(zip(("fields", "body"), parse_record(archives.record(line)), strict=True)) for line in index.lines(key)]
+            index.close()
+        archives.close()
         return found

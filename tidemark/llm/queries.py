@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .captures import read_archives, write_archives
+from ..session import settle
+from .captures import checked, look_up, write_archives
 from .decontam import benchmark_overlaps
 from .maintext import extract
 from .minhash import near_duplicates
@@ -39,7 +40,8 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read_archives(spark, write_archives(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    found = checked(settle(look_up(write_archives(pages), pages, bodies=False).drop("body")))
     return found.select(found.capture.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
