@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.crf import Chain, marginals, viterbi
-from tidemark.llm.quality import quality
+from tidemark.llm.quality import fit, quality
 from tidemark.llm.toxicity import DRIFT, LEAST_TEXTS, PRIOR, STEMS, WHOLE, Forms, ToxicModel, Z, scorer_of, segments, toxicity, train, without_toxic
 
 
@@ -174,3 +174,56 @@ def test_model_and_scores_against_plain_python(corpus):
         base = np.log(max(1.0, model.k * len(forms)))
         x = [1.0, np.log1p(sum(max(0.0, model.lam * s - base) for s in found)), np.log1p(max([0.0, *(model.lam * s for s in found)])), np.log1p(len(forms)) / 10]
         assert np.isclose(got[d], 1 / (1 + np.exp(-(model.weights @ x))), atol=1e-9)
+
+
+def plain_line(line, words, repeated):
+    """The features of a line by their definitions; sizes in bytes."""
+    raw = line.encode()
+    count = lambda ok: sum(1 for c in raw if ok(c))
+    upper, lower, digit = count(lambda c: 65 <= c <= 90), count(lambda c: 97 <= c <= 122), count(lambda c: 48 <= c <= 57)
+    odd = count(lambda c: c < 128 and not chr(c).isalnum() and chr(c) not in " \t\n\v\f\r.,;:'\"-()?")
+    again = sum(a.lower() == b.lower() for a, b in zip(words, words[1:]))  # noqa: B905
+    n, size = len(words), len(raw)
+    return [
+        np.log1p(size) / 5, upper / max(1, upper + lower), digit / size, odd / size, line.count("!") / n, line.count("|") / n, len({w.lower() for w in words}) / n, again / n,
+        min(size / n, 30) / 10, float(line[-1] in ".!?:;\"')"), float(repeated), float(words[0][0].isascii() and words[0][0].isupper()), np.log1p(n) / 5, float(n < 3),
+    ]
+
+
+def test_quality_against_plain_python(corpus):
+    """Marginals by enumeration of all labels of a text's lines, weighted by length."""
+    docs, labels = corpus
+    model = fit(docs, labels)
+    odd = [(70_001, "Same line here\nSame line here\n\n  \nDer Überfluss, ja! | x |\nA A a 12 %%"), (70_002, "x")]
+    some = docs.select("doc_id", "text").where("doc_id < 60").unionByName(docs.sparkSession.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in quality(some, labels, model=model).collect()}
+    for d, text in ((r.doc_id, r.text) for r in some.collect()):
+        white = " \t\v\f\r"
+        lines = [x for x in text.split("\n") if x.strip(white)]
+        alike = Counter(x.lower() for x in lines)
+        f = np.array([plain_line(x, re.findall(f"[^{white}]+", x), alike[x.lower()] > 1) for x in lines])
+        z = (f.astype(np.float32).astype(float) - model.mean) / model.scale
+        edge = np.zeros((1, z.shape[1]))
+        emit = np.c_[np.ones(len(z)), z, np.r_[edge, z[:-1]], np.r_[z[1:], edge]] @ model.chain.features
+        good, total = np.zeros(len(lines)), 0.0
+        for y in itertools.product((0, 1), repeat=len(lines)):
+            p = np.exp(model.chain.first[y[0]] + sum(emit[i, v] for i, v in enumerate(y)) + sum(model.chain.steps[a, b] for a, b in zip(y, y[1:])))  # noqa: B905
+            total += p
+            good += p * (np.array(y) == 0)
+        size = np.array([len(x.encode()) for x in lines])
+        share = np.clip((good / total * size).sum() / size.sum(), 1e-4, 1 - 1e-4)
+        want = 1 / (1 + np.exp(-(model.weights @ [1.0, np.log(share / (1 - share)) / 3, 0.0])))
+        assert np.isclose(got[d], want, atol=1e-5), d
+
+
+def test_quality_learns_from_whole_texts_whatever_the_partitions(corpus):
+    docs, labels = corpus
+    long = docs.sparkSession.createDataFrame([(80_000 + i, "\n".join(["A plain line of words here."] * 200 + ["$$$ %%% ### $$$"] * 150)) for i in range(3)], "doc_id long, text string")
+    docs, labels = docs.select("doc_id", "text").unionByName(long), labels.select("doc_id", "quality").unionByName(long.select("doc_id", F.lit(0).alias("quality")))
+    one, two = fit(docs, labels), fit(docs.repartition(7), labels.repartition(2))
+    assert (one.chain.features == two.chain.features).all() and (one.weights == two.weights).all()
+    few = fit(docs, labels, most_lines=500)
+    assert few is not None and not np.allclose(few.mean, one.mean)
+    rows = {r.doc_id: r.score for r in quality(docs.where("doc_id is not null"), labels, model=one).collect()}
+    again = {r.doc_id: r.score for r in quality(docs.where("doc_id is not null").repartition(9), labels, model=one).collect()}
+    assert max(abs(rows[d] - again[d]) for d in rows if d != 9004) < 1e-9

@@ -16,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .arrays import ByteHash, byte_table, per_text, runs, text_slices, white_space
 from .crf import Chain, logistic, marginals, sigmoid, train
 from .labelled import remainder, training_rows
 
 HELD_OUT_PARTS, HELD_OUT = 4, 2
-#: The most labelled rows of a model, and the lines of each that it learns from.
-TRAINING_ROWS, TRAINING_LINES = 6000, 64
+#: The most labelled rows of a model and the most lines in them; a text is used with all its lines or not at all.
+TRAINING_ROWS, TRAINING_LINES = 6000, 200_000
+#: The field is trained on pieces of this many lines, so that one long text does not pad all others.
+PIECE = 64
 THRESHOLD = 0.7
 OWN = 14
 
@@ -143,29 +146,39 @@ def document_features(good: np.ndarray, size: np.ndarray, bound: np.ndarray) ->
     return np.c_[np.log(share / (1 - share)) / 3, total == 0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", parts: int = HELD_OUT_PARTS, held_out: int = HELD_OUT, most: int = TRAINING_ROWS) -> QualityModel | None:
-    """A model from at most ``most`` labelled rows; None when they are not of both classes.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", parts: int = HELD_OUT_PARTS, held_out: int = HELD_OUT, most: int = TRAINING_ROWS, most_lines: int = TRAINING_LINES) -> QualityModel | None:
+    """A model from at most ``most`` labelled rows with ``most_lines`` lines; None when they are not of both classes.
 
-    Only documents are labelled. Lines of bad documents begin as bad; a line that a
-    logistic regression over all lines calls good becomes good, while the worst line of
-    each bad document stays bad; twice, then the field is trained on these line labels.
+    Rows are taken in the order of a hash of the id, with all their lines; one that would
+    exceed ``most_lines`` is passed over. Only documents are labelled. Lines of bad
+    documents begin as bad; a line that a logistic regression over all lines calls good
+    becomes good, while the worst line of each bad document stays bad; twice, then the
+    field is trained on these line labels, and the document's curve on whole documents.
     """
     rows = training_rows(docs, labels, label_col, id_col, text_col, parts, held_out, most)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = LineFeatures()
         for batch in batches:
-            label = batch.column(0).to_numpy()
-            for row, _, data, ends in text_slices(batch.column(1)):
+            for row, end, data, ends in text_slices(batch.column(2)):
                 f, size, bound = make.of(data, ends)
                 f = np.c_[f, size].astype(np.float32)
-                for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
-                    # Long texts give an even choice of their lines' neighbourhoods: TRAINING_LINES in a row around the middle.
-                    a = max(a, (a + b - TRAINING_LINES) // 2)
-                    yield pa.record_batch([pa.array([label[row + i]], pa.int32()), pa.array([f[a : min(b, a + TRAINING_LINES)].tobytes()], pa.binary())], ["label", "lines"])
-
-    found = [(r.label == 1, np.frombuffer(r.lines, np.float32).reshape(-1, OWN + 1).astype(float)) for r in rows.select("label", "text").mapInArrow(features, "label int, lines binary").collect()]
-    found = [(y, f) for y, f in found if len(f)]
+                lines = [f[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
+                part = batch.slice(row, end - row)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(np.diff(bound), pa.int64()), pa.array(lines, pa.binary())], ["turn", "label", "n", "lines"])
+
+    turn = F.xxhash64("id", F.lit(5)).alias("turn")
+    made = settle(rows.select(turn, "label", "text").mapInArrow(features, "turn long, label int, n long, lines binary").where("n > 0"))
+    room = most_lines
+    taken = []
+    for r in made.select("turn", "label", "n").distinct().orderBy("turn", "label", "n").collect():
+        if r.n <= room:
+            room -= r.n
+            taken.append((r.turn, r.label, r.n))
+    chosen = made.sparkSession.createDataFrame(taken, "turn long, label int, n long")
+    # At most ``most`` rows of three numbers.
+    fetched = made.join(F.broadcast(chosen), ["turn", "label", "n"]).dropDuplicates(["turn", "label", "lines"]).orderBy("turn", "label", "lines").collect()
+    found = [(r.label == 1, np.frombuffer(r.lines, np.float32).reshape(-1, OWN + 1).astype(float)) for r in fetched]
     if len({y for y, _ in found}) < 2:
         return None
     good_text = np.array([y for y, _ in found])
@@ -183,11 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         order = np.lexsort((p, of))
         worst[order[bound[1:] - 1]] = True
         bad = ~good_text[of] & ((p > 0.5) | worst)
-    longest = length.max()
-    on = np.arange(longest)[None] < length[:, None]
-    padded, y = np.zeros((len(found), longest, x.shape[1])), np.zeros((len(found), longest), np.int64)
+    # Pieces keep their lines' neighbours as features; only steps from piece to piece are left out.
+    starts = np.concatenate([np.arange(a, b, PIECE) for a, b in zip(bound[:-1], bound[1:], strict=True)])
+    sizes = np.minimum(np.r_[starts[1:], bound[-1]] - starts, PIECE)
+    on = np.arange(sizes.max())[None] < sizes[:, None]
+    padded, y = np.zeros((*on.shape, x.shape[1]), np.float32), np.zeros(on.shape, np.int64)
     padded[on], y[on] = x, bad
-    model = QualityModel(train(padded, y, length, 2), mean, scale, np.array([0.0, 1.0, 0.0]))
+    model = QualityModel(train(padded, y, sizes, 2), mean, scale, np.array([0.0, 1.0, 0.0]))
     model.weights = logistic(document_features(model.lines(f, bound), size, bound), good_text.astype(float), ridge=0.1)
     return model
 
@@ -195,8 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, model: QualityModel | None = None) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (of label 1), predicted and good_share.
 
-    The score is a function of the text alone; a text without a line (null, empty, white
-    space) counts as half good. Without training rows of both classes every score is
+    The score is a function of the text alone and of the labelled rows, whatever the
+    partitions; every text is read whole, in memory that grows with its lines. Repeated
+    rows each give their own. A text without a line (null, empty, white space) counts as
+    half good. Without training rows of both classes every score is
     0.5. Null ids are kept. Other columns are ignored.
     """
     model = model or fit(docs, labels, id_col, text_col, label_col)
