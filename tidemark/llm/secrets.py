@@ -1,16 +1,22 @@
 """Secrets by rule and by inferred formats.
 
-Grammar inference: the labelled credentials of a format make a prefix tree; states
-that are statistically compatible (Hoeffding bound, as in ALERGIA) are merged to a
-deterministic probabilistic automaton. Every run of credential characters is a
-candidate; its score is the largest log-likelihood of a format less that of ordinary
-strings (a smoothed chain of character classes). Base spans always stay.
+Grammar inference: the labelled credentials of a format make a prefix tree. As long as
+few characters follow a state they are told apart (``ghp_``); from the first state that
+any character may follow, letters and digits are one symbol with a distribution of
+classes, and only joints are told apart. States that are statistically compatible
+(Hoeffding bound, as in ALERGIA) in ends, symbols, classes and all that follows are
+merged to a deterministic probabilistic automaton, the nearest in depth first, so fixed
+lengths stay and free ones become loops. Every run of credential characters, and every
+part of it between slashes and equal signs, is a candidate; its score is the largest
+log-likelihood of a format less that of ordinary strings (a smoothed chain of character
+classes). Base spans always stay.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +29,26 @@ from .spans import Span, any_in_text, apart, digest, longest_runs, secret_base,
 
 KINDS = ("assign", "access", "hex")
 EVERY = (*KINDS, "format")
-LEAST = 16  # of a candidate's characters
-HEAD = 4  # characters told apart one by one; later ones by class
-SAMPLES = 120
+SAMPLES = 400
+#: A state's next characters are told apart while at most FEW of them follow and at least SEEN strings do.
+FEW, SEEN = 4, 25
 ALPHA = 0.05
 MARGIN = 3.0
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 CHARACTERS = "".join(CLASSES)
-#: Symbols: the characters, the classes, and one for a string's end.
-SYMBOLS = len(CHARACTERS) + len(CLASSES)
+#: The class of each character, how many classes are of letters and digits, and the symbol of any of those.
+CLASS = np.repeat(np.arange(len(CLASSES)), [len(c) for c in CLASSES])
+PLAIN_CLASSES, ANY = 5, len(CHARACTERS)
+ORDINARY = ("", "ids")
 OTHER = "[redacted]"
 
 
-def symbol_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each byte as one of the first HEAD characters and as a later one; -1 if it is none."""
-    head, tail = np.full(256, -1), np.full(256, -1)
-    for i, c in enumerate(CHARACTERS):
-        head[ord(c)] = i
-    for i, own in enumerate(CLASSES):
-        for c in own:
-            tail[ord(c)] = len(CHARACTERS) + i
-    return head, tail
-
-
 def labelled_strings(seed: int = 7, samples: int = SAMPLES) -> dict[str, list[str]]:
-    """The labelled table, made by rule from a seed: strings of public credential formats, and ordinary ones under ''."""
+    """The labelled table, made by rule from a seed: strings of public credential formats, and ordinary ones under '' (words and numbers) and 'ids' (random identifiers).
+
+    A credential without a fixed part, such as 40 random characters, is not in it:
+    nothing but its context tells it from an identifier.
+    """
     r = random.Random(seed)
     some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     digit, low, up = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -59,8 +60,12 @@ def labelled_strings(seed: int = 7, samples: int = SAMPLES) -> dict[str, list[st
         "live": lambda: r.choice(["sk_live_", "rk_live_", "sk_test_"]) + some(every, 24),
         "chat": lambda: f"xox{r.choice('bap')}-{some(digit, 12)}-{some(digit, 12)}-{some(every, 24)}",
         "signed": lambda: f"eyJ{some(every, r.randint(17, 40))}.eyJ{some(every + '_-', r.randint(30, 90))}.{some(every + '_-', 43)}",
-        "base64": lambda: some(every + "+/", 40),
         "maps": lambda: "AIza" + some(every + "_-", 35),
+        "forge": lambda: "glpat-" + some(every + "_-", 20),
+        "package": lambda: "npm_" + some(every, 36),
+        "fine": lambda: "github_pat_" + some(every, 22) + "_" + some(every, 59),
+        "mail": lambda: "SG." + some(every + "_-", 22) + "." + some(every + "_-", 43),
+        "index": lambda: "pypi-AgEIcHlwaS5vcmc" + some(every + "_-", r.randint(60, 150)),
     }
     word = lambda: some(low, r.randint(2, 12))
     plain = [
@@ -76,76 +81,102 @@ def labelled_strings(seed: int = 7, samples: int = SAMPLES) -> dict[str, list[st
         lambda: f"20{some(digit, 2)}-{some(digit, 2)}-{some(digit, 2)}-{some(digit, 6)}",
         lambda: f"{some(digit, 3)}.{some(digit, 3)}.{some(digit, 3)}.{some(digit, 3)}-{some(digit, 3)}",
     ]
+    ids = [
+        lambda: some(every, r.randint(16, 64)),
+        lambda: some(low + digit, r.randint(16, 48)),
+        lambda: some(up + digit, r.randint(16, 48)),
+        lambda: "-".join(some(low + digit, r.choice([4, 8, 12])) for _ in range(r.randint(3, 5))),
+        lambda: r.choice("_-").join(some(every, r.randint(6, 24)) for _ in range(r.randint(2, 3))),
+        lambda: some(every + "+/", r.randint(5, 40) * 4),
+    ]
     table = {name: [f() for _ in range(samples)] for name, f in make.items()}
-    table[""] = [r.choice(plain)() for _ in range(samples * 6)]
-    return table
+    return table | {"": [r.choice(plain)() for _ in range(samples * 6)], "ids": [r.choice(ids)() for _ in range(samples * 6)]}
 
 
 class Automaton:
-    """A probabilistic automaton: next state and log-probability of each state and symbol; the last column ends."""
+    """A probabilistic automaton: next state (-1: none) and log-probability of each state and character, and of ending in each state."""
 
     def __init__(self, strings: list[np.ndarray], alpha: float = ALPHA):
-        counts: list[dict[int, int]] = [{}]
-        after: list[dict[int, int]] = [{}]
-        ends = [0]
-        for s in strings:
-            at = 0
-            for c in s.tolist():
-                counts[at][c] = counts[at].get(c, 0) + 1
-                if c not in after[at]:
-                    after[at][c] = len(counts)
-                    counts.append({}), after.append({}), ends.append(0)
-                at = after[at][c]
-            ends[at] += 1
-        self.counts, self.after, self.ends = counts, after, ends
+        self.counts: list[dict[int, int]] = []
+        self.after: list[dict[int, int]] = []
+        self.ends: list[int] = []
+        self.kinds: list[list[int]] = []
+        self.depth: list[int] = []
+        self.size: list[int] = []
+        self.plant(strings)
         bound = np.sqrt(0.5 * np.log(2 / alpha))
-        red, blue = [0], sorted(after[0].values())
-        parent = {to: (0, c) for c, to in after[0].items()}
-        while blue:
-            b = blue.pop(0)
-            for r in red:
+        red = [0]
+        while blue := {to: (r, c) for r in red for c, to in self.after[r].items() if to not in red}:
+            # The state that most strings reach is decided first.
+            b = max(blue, key=lambda x: (self.size[x], -x))
+            for r in sorted(red, key=lambda x: (abs(self.depth[x] - self.depth[b]), x)):
                 if self.alike(r, b, bound):
-                    source, c = parent[b]
-                    after[source][c] = r
+                    source, c = blue[b]
+                    self.after[source][c] = r
                     self.fold(r, b)
                     break
             else:
                 red.append(b)
-            # The blue states are what red ones reach.
-            blue, parent = [], {}
-            for r in red:
-                for c, to in sorted(after[r].items()):
-                    if to not in red and to not in parent:
-                        parent[to] = (r, c)
-                        blue.append(to)
         number = {r: i for i, r in enumerate(red)}
-        self.next = np.zeros((len(red) + 1, SYMBOLS), np.int64)
-        self.next[:] = len(red)
-        total = np.zeros((len(red) + 1, SYMBOLS + 1))
-        for r in red:
-            for c, to in after[r].items():
-                self.next[number[r], c] = number[to]
-                total[number[r], c] = counts[r][c]
-            total[number[r], SYMBOLS] = ends[r]
-        total += 1e-3  # unseen symbols; the last state is where they lead
-        self.log = np.log(total / total.sum(axis=1, keepdims=True))
-
-    def size(self, s: int) -> int:
-        return sum(self.counts[s].values()) + self.ends[s]
+        self.next = np.full((len(red), ANY), -1)
+        self.log = np.full((len(red), ANY + 1), -np.inf)
+        within = np.array([len(c) for c in CLASSES])[CLASS]
+        for r, i in number.items():
+            total = self.size[r]
+            if ANY in self.after[r]:
+                plain = CLASS < PLAIN_CLASSES
+                share = np.array(self.kinds[r]) + 1e-3
+                share /= share.sum()
+                self.next[i, plain] = number[self.after[r][ANY]]
+                self.log[i, :-1][plain] = np.log(self.counts[r][ANY] / total * share[CLASS[plain]] / within[plain])
+            for c, to in self.after[r].items():
+                if c != ANY:
+                    self.next[i, c], self.log[i, c] = number[to], np.log(self.counts[r][c] / total)
+            if self.ends[r]:
+                self.log[i, ANY] = np.log(self.ends[r] / total)
+        self.steps, self.costs = self.next.tolist(), self.log.tolist()
+
+    def node(self, depth: int) -> int:
+        self.counts.append({}), self.after.append({}), self.ends.append(0), self.kinds.append([0] * PLAIN_CLASSES), self.depth.append(depth), self.size.append(0)
+        return len(self.ends) - 1
+
+    def plant(self, strings: list[np.ndarray]) -> None:
+        """The prefix tree of the strings."""
+        waiting = [(self.node(0), 0, [s.tolist() for s in strings], True)]
+        while waiting:
+            at, t, own, exact = waiting.pop()
+            self.size[at] = len(own)
+            exact = exact and len(own) >= SEEN and len({s[t] for s in own if len(s) > t}) <= FEW
+            below: dict[int, list[list[int]]] = {}
+            for s in own:
+                if len(s) == t:
+                    self.ends[at] += 1
+                    continue
+                c = s[t]
+                if not exact and CLASS[c] < PLAIN_CLASSES:
+                    self.kinds[at][CLASS[c]] += 1
+                    c = ANY
+                below.setdefault(c, []).append(s)
+            for c, some in sorted(below.items()):
+                to = self.node(t + 1)
+                self.counts[at][c], self.after[at][c] = len(some), to
+                waiting.append((to, t + 1, some, exact))
 
     def alike(self, a: int, b: int, bound: float) -> bool:
-        """Whether end and symbol rates of both states, and of the states below the second, are within the Hoeffding bound."""
+        """Whether the rates of ends, symbols and classes of both states, and of the states below the second, are within the Hoeffding bound."""
         waiting = [(a, b)]
         while waiting:
             x, y = waiting.pop()
-            n, m = self.size(x), self.size(y)
-            if n and m:
-                room = bound * (n**-0.5 + m**-0.5)
-                if abs(self.ends[x] / n - self.ends[y] / m) > room:
+            n, m = self.size[x], self.size[y]
+            room = bound * (n**-0.5 + m**-0.5)
+            if abs(self.ends[x] / n - self.ends[y] / m) > room:
+                return False
+            for c in self.counts[x].keys() | self.counts[y].keys():
+                if abs(self.counts[x].get(c, 0) / n - self.counts[y].get(c, 0) / m) > room:
                     return False
-                for c in self.counts[x].keys() | self.counts[y].keys():
-                    if abs(self.counts[x].get(c, 0) / n - self.counts[y].get(c, 0) / m) > room:
-                        return False
+            p, q = sum(self.kinds[x]), sum(self.kinds[y])
+            if p and q and max(abs(i / p - j / q) for i, j in zip(self.kinds[x], self.kinds[y], strict=True)) > bound * (p**-0.5 + q**-0.5):
+                return False
             waiting += [(self.after[x][c], to) for c, to in self.after[y].items() if c in self.after[x]]
         return True
 
@@ -154,7 +185,9 @@ class Automaton:
         waiting = [(a, b)]
         while waiting:
             x, y = waiting.pop()
+            self.size[x] += self.size[y]
             self.ends[x] += self.ends[y]
+            self.kinds[x] = [i + j for i, j in zip(self.kinds[x], self.kinds[y], strict=True)]
             for c, n in self.counts[y].items():
                 self.counts[x][c] = self.counts[x].get(c, 0) + n
             for c, to in self.after[y].items():
@@ -163,100 +196,102 @@ class Automaton:
                 else:
                     self.after[x][c] = to
 
-    def likelihood(self, symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Log-likelihoods of padded strings (batch, time)."""
-        state, total = np.zeros(len(symbols), np.int64), np.zeros(len(symbols))
-        for t in range(symbols.shape[1]):
-            on = np.flatnonzero(length > t)
-            c = symbols[on, t]
-            total[on] += self.log[state[on], c]
-            state[on] = self.next[state[on], c]
-        return total + self.log[state, SYMBOLS]
+    def likelihood(self, characters: list[int]) -> float:
+        """The log-likelihood of a string; it is left at the first character that cannot follow."""
+        state, total = 0, 0.0
+        for c in characters:
+            total += self.costs[state][c]
+            state = self.steps[state][c]
+            if state < 0:
+                return -np.inf
+        return total + self.costs[state][ANY]
 
 
 class Ordinary:
-    """A chain over the classes of a string's characters that looks ``BACK`` classes back; a character is as likely as others of its class."""
-
-    BACK = 2
+    """A chain over the classes of a string's characters that looks two classes back; a character is as likely as others of its class."""
 
     def __init__(self, strings: list[np.ndarray]):
         self.n = len(CLASSES) + 1  # the last one stands before a string and after it
-        self.of_symbol = np.r_[np.repeat(np.arange(len(CLASSES)), [len(c) for c in CLASSES]), np.arange(len(CLASSES))]
-        size = np.log([len(c) for c in CLASSES])
-        self.within = np.r_[size[self.of_symbol[: len(CHARACTERS)]], np.zeros(len(CLASSES))]
-        counts = np.full((self.n**self.BACK, self.n), 0.5)
+        self.within = np.log([len(c) for c in CLASSES])[CLASS]
+        counts = np.full((self.n**2, self.n), 0.5)
         for s in strings:
-            state = self.n**self.BACK - 1
-            for c in [*self.of_symbol[s].tolist(), self.n - 1]:
-                counts[state, c] += 1
-                state = (state * self.n + c) % self.n**self.BACK
+            np.add.at(counts, self.steps(s), 1)
         self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
 
-    def likelihood(self, symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
-        kind, total = self.of_symbol[symbols], np.zeros(len(symbols))
-        state = np.full(len(symbols), self.n**self.BACK - 1)
-        for t in range(symbols.shape[1]):
-            on = np.flatnonzero(length > t)
-            c = kind[on, t]
-            total[on] += self.log[state[on], c] - self.within[symbols[on, t]]
-            state[on] = (state[on] * self.n + c) % self.n**self.BACK
-        return total + self.log[state, self.n - 1]
+    def steps(self, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = self.n - 1
+        kind = np.r_[edge, edge, CLASS[characters], edge]
+        return kind[:-2] * self.n + kind[1:-1], kind[2:]
+
+    def likelihood(self, characters: np.ndarray) -> float:
+        return float(self.log[self.steps(characters)].sum() - self.within[characters].sum())
 
 
 class Formats:
     """The formats' automata and the chain of ordinary strings, with the score from which a candidate is a secret."""
 
     def __init__(self, table: dict[str, list[str]]):
-        self.head, self.tail = symbol_tables()
+        self.of_byte = np.full(256, -1)
+        self.of_byte[np.frombuffer(CHARACTERS.encode(), np.uint8)] = np.arange(ANY)
         coded = {name: [self.symbols(np.frombuffer(s.encode(), np.uint8)) for s in strings] for name, strings in table.items()}
-        self.formats = [Automaton(strings) for name, strings in coded.items() if name]
-        self.plain = Ordinary(coded[""])
+        self.formats = [Automaton(strings) for name, strings in coded.items() if name not in ORDINARY]
+        self.chains = [Ordinary(coded[name]) for name in ORDINARY]
+        #: No format accepts a string that is shorter than all labelled ones.
+        self.shortest = min(len(s) for name, strings in coded.items() if name not in ORDINARY for s in strings)
         # Ordinary strings of the table score below it, with a margin for those that are not in the table.
-        self.least = max(0.0, float(self.scores(coded[""]).max())) + MARGIN
+        self.least = max(0.0, *(float(self.scores(coded[name]).max()) for name in ORDINARY)) + MARGIN
 
     def symbols(self, data: np.ndarray) -> np.ndarray:
-        return np.r_[self.head[data[:HEAD]], self.tail[data[HEAD:]]]
+        return self.of_byte[data]
+
+    def score(self, characters: np.ndarray) -> float:
+        plain = characters.tolist()
+        best = max(a.likelihood(plain) for a in self.formats)
+        return best - self.plain(characters) if best > -np.inf else -np.inf
+
+    def plain(self, characters: np.ndarray) -> float:
+        """The log-likelihood of an ordinary string of any kind."""
+        return float(np.logaddexp.reduce([c.likelihood(characters) for c in self.chains]) - np.log(len(self.chains)))
 
     def scores(self, strings: list[np.ndarray]) -> np.ndarray:
-        found = np.zeros(len(strings))
-        length = np.array([len(s) for s in strings])
-        order = np.argsort(length, kind="stable")
-        at = 0
-        while at < len(order):
-            n = 1
-            while at + n < len(order) and (n + 1) * length[order[at + n]] <= 1 << 16:
-                n += 1
-            some = order[at : at + n]
-            padded = np.zeros((n, length[some[-1]]), np.int64)
-            for i, k in enumerate(some):
-                padded[i, : length[k]] = strings[k]
-            own = length[some]
-            found[some] = np.max([a.likelihood(padded, own) for a in self.formats], axis=0) - self.plain.likelihood(padded, own)
-            at += n
-        return found
-
-
-def format_spans(formats: Formats, data: np.ndarray, ends: np.ndarray, table: np.ndarray, loose: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Byte spans in each text of the candidates that score as a format. A candidate is a run of credential characters without dots, dashes and equal signs around it."""
+        return np.array([self.score(s) for s in strings])
+
+
+@lru_cache(maxsize=1)
+def known_formats() -> Formats:
+    return Formats(labelled_strings())
+
+
+def format_spans(formats: Formats, data: np.ndarray, ends: np.ndarray, table: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Spans (code points) in each text of the candidates that score as a format. A candidate is a run of credential characters without dots, dashes and equal signs around it, else any of its parts between slashes and equal signs."""
     starts, stops = runs(table[data], ends)
-    long = stops - starts >= LEAST
+    long = stops - starts >= formats.shortest
     starts, stops = starts[long], stops[long]
     found: dict[int, list[tuple[int, int]]] = {}
-    candidates = []
+    loose, cut = byte_table(*b".-="), byte_table(*b"/=")
+    # Code points before each byte: bytes that do not continue one.
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)] if len(starts) else None
+
+    def inner(a: int, b: int) -> tuple[int, int]:
+        """Without loose characters at the ends."""
+        firm = np.flatnonzero(~loose[data[a:b]])
+        return (a + int(firm[0]), a + int(firm[-1]) + 1) if len(firm) else (a, a)
+
+    def hit(a: int, b: int) -> bool:
+        if b - a < formats.shortest or formats.score(formats.symbols(data[a:b])) < formats.least:
+            return False
+        i = int(np.searchsorted(ends, a, "right")) - 1
+        found.setdefault(i, []).append((int(points[a] - points[ends[i]]), int(points[b] - points[ends[i]])))
+        return True
+
     for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        while b - a >= LEAST and loose[data[a]]:
-            a += 1
-        while b - a >= LEAST and loose[data[b - 1]]:
-            b -= 1
-        if b - a >= LEAST:
-            candidates.append((a, b))
-    if not candidates:
-        return found
-    scores = formats.scores([formats.symbols(data[a:b]) for a, b in candidates])
-    for (a, b), s in zip(candidates, scores, strict=True):
-        if s >= formats.least:
-            i = int(np.searchsorted(ends, a, "right")) - 1
-            found.setdefault(i, []).append((a - int(ends[i]), b - int(ends[i])))
+        if hit(*inner(a, b)):
+            continue
+        edge = np.flatnonzero(cut[data[a:b]]) + a
+        if len(edge):
+            for x, y in zip([a, *(edge + 1).tolist()], [*edge.tolist(), b], strict=True):
+                if y - x >= formats.shortest:
+                    hit(*inner(x, y))
     return found
 
 
@@ -267,18 +302,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     overlap no other span. Null and empty texts have none; every text is read whole. Null
     ids and repeated rows are kept; other columns are ignored.
     """
-    formats = Formats(labelled_strings())
+    formats = known_formats()
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     schema = T.StructType(rows.schema.fields + T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind: string, start: bigint, end: bigint>>").fields)
     none = sha256("")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, loose = byte_table(*CHARACTERS.encode()), byte_table(*b".-=")
+        table = byte_table(*CHARACTERS.encode())
         hexes, joins, upper = byte_table(*b"0123456789abcdef"), byte_table(*b":="), byte_table(range(65, 91), range(48, 58))
         for batch in batches:
             column = batch.column(1)
             for row, end, data, ends in text_slices(column):
-                more = format_spans(formats, data, ends, table, loose)
+                more = format_spans(formats, data, ends, table)
                 maybe = (any_in_text(joins[data], ends) > 0) | (longest_runs(hexes[data], ends) >= 16) | (longest_runs(upper[data], ends) >= 18)
                 out = []
                 for i in range(end - row):
@@ -289,9 +324,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         if maybe[i]:
                             own = secret_base(text)
                         if i in more:
-                            raw = text.encode()
-                            at = lambda n, raw=raw: len(raw[:n].decode())
-                            added = apart(own, [(at(a), at(b), "format") for a, b in more[i]])
+                            added = apart(own, [(a, b, "format") for a, b in more[i]])
                     every = sorted(own + added)
                     out.append((*(sum(s[2] == k for s in own) for k in KINDS), sha256(digest(own, EVERY)) if own else none, digest(every, EVERY), [{"kind": k, "start": a, "end": b} for a, b, k in every]))
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
