@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import EngineConfig, coerce
-from tidemark.operators.evaluation import explain_trace, nearest_rank
+from tidemark.operators.evaluation import conflict_metrics, explain_trace, nearest_ranks, place_in_group, summary
 from tidemark.plans.engine import Engine
 from tidemark.sources.corpus import append_traces, read_corpus, read_gold, read_traces, undated, write_chunks
 
@@ -119,8 +119,24 @@ def test_unknown_backend(engine, spark):
 
 
 def test_nearest_rank(spark):
-    got = spark.range(1, 16).agg(nearest_rank(F.col("id"), 95).alias("p95"), nearest_rank(F.col("id"), 50).alias("p50")).first()
-    assert (got.p95, got.p50) == (15, 8)
+    rows = spark.range(1, 16).select(F.lit("a").alias("g"), "id").unionByName(spark.range(5).select(F.lit(None).cast("string").alias("g"), F.lit(7).cast("long").alias("id"))).unionByName(spark.range(3).select(F.lit("b").alias("g"), F.lit(None).cast("long").alias("id")))
+    got = {r.g: (r.p95, r.p50) for r in nearest_ranks(rows.repartition(7), ["g"], "id", {"p95": 95, "p50": 50}).collect()}
+    assert got == {"a": (15, 8), None: (7, 7)}
+    placed = place_in_group(spark.range(1000).select((F.col("id") % 3).alias("g"), "id").repartition(9), ["g"], ["id"]).collect()
+    assert all(r.place == r.id // 3 and r.n == 334 - (r.g > 0) for r in placed)
+
+
+def test_summary_and_conflict_scores(spark):
+    """Ways up and down do not cancel; no relevant chunk is no promotion; unlabelled questions have no conflict."""
+    fields = "qid string, refusal_expected boolean, conflict_expected string, ndcg10 double, recall5 double, recall10 double, recall20_pool double, mrr double, source_recall double, source_precision double, gold_displacement int, promoted_into_top3 boolean, conflict_detected boolean, false_positive_conflict boolean, refusal_correct boolean, contains_ok boolean, excludes_ok boolean"
+    rows = [("a", False, "c1", 0.5, 1.0, 1.0, 1.0, 1.0, 1.0, 0.5, 4, True, True, False, True, True, True), ("b", False, None, 1.0, 0.0, 0.5, 0.5, 0.5, None, None, -2, False, False, True, True, False, True), ("c", False, "", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None, None, False, False, True, True, True), ("d", True, None, None, None, None, None, None, None, None, None, None, False, False, False, True, True)]
+    got = summary(spark.createDataFrame(rows, fields)).first()
+    assert (got.questions, got.ranked_questions, got.ndcg10, got.gold_displacement, got.promoted_into_top3) == (4, 3, 0.5, 3.0, 0.3333)
+    assert (got.conflict_detected, got.false_positive_conflict, got.refusal_correct, got.source_recall) == (1.0, 0.25, 0.75, 0.3333)
+    gold = spark.createDataFrame([("x", [], None, False), ("y", [("l", 2)], None, False), ("z", [], None, True)], "qid string, relevant array<struct<label: string, grade: int>>, expects_conflict string, expects_no_conflict boolean")
+    found = spark.createDataFrame([(q, "contradict") for q in "xyz"] + [("z", "complementary")], "qid string, relationship string")
+    made = spark.createDataFrame([(q, 1, "t", "contradict", "unresolved") for q in "xyz"], "qid string, finding int, topic string, relationship string, rule_fired string")
+    assert {r.qid: (r.conflict_detected, r.false_positive_conflict) for r in conflict_metrics(found, made, gold).collect()} == {"x": (False, False), "y": (False, True), "z": (False, False)}
 
 
 def test_a_stage_of_ones_own_and_its_fallback(engine, spark):

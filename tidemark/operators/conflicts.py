@@ -85,7 +85,6 @@ CLAIMS: dict[str, tuple[tuple[str, str | None], ...]] = {
 # Areas of the attributes; a documentation gap is judged by rank instead.
 ATTRIBUTE_AREAS = {
     "max_retries_default": ("retries",),
-    "backoff_strategy": ("retries",),
     "max_payload_bytes": ("payloads",),
     "visibility_timeout_default": ("concurrency", "timeouts", "idempotency"),
     "auth_header": ("auth", "migration"),
@@ -224,12 +223,13 @@ def findings(final: DataFrame, config: EngineConfig) -> DataFrame:
     pairs = pairs.withColumnRenamed("attribute_a", "attribute").join(observers, "qid", "left").withColumn("observers", F.coalesce("observers", F.array().cast("array<string>"))).withColumn("least_reports", F.lit(config.get("contradiction.empirical_override.min_independent_reports")))
     text = lambda s: F.concat(F.col("attribute"), F.lit(" = "), F.col(f"value_{s}"), F.lit(": "), F.substring(f"evidence_{s}", 1, 200))
     typed = pairs.withColumns({"kind": classify(), "topic": F.col("attribute"), "claim_a": text("a"), "claim_b": text("b"), "_pass": F.lit(1)})
-    gaps = sided(known, "a").join(sided(known, "b"), "qid").where("rank_after_a < rank_after_b").where((F.col("source_a") == "docs") != (F.col("source_b") == "docs")).where(topics_overlap())
-    other = lambda name: F.when(F.col("source_a") == "docs", F.col(f"{name}_b")).otherwise(F.col(f"{name}_a"))
-    gaps = gaps.where(other("undocumented") & other("staff")).join(typed.select("qid", "chunk_id_a", "chunk_id_b"), ["qid", "chunk_id_a", "chunk_id_b"], "left_anti")
-    gaps = gaps.withColumns({"kind": F.struct(F.lit("docs_gap").alias("relationship"), F.lit(True).alias("reconcilable"), F.lit(0.82).alias("confidence")), "topic": F.lit(GAP), "claim_a": F.lit("documentation does not cover this"), "claim_b": F.substring(other("display_text"), 1, 220), "_pass": F.lit(2)})
+    # The silent documentation is side a of a gap, whichever ranks first.
+    gaps = sided(known.where("source = 'docs'"), "a").join(sided(known.where("source <> 'docs' and undocumented and staff"), "b"), "qid").where(topics_overlap())
+    met = typed.select("qid", F.explode(F.array(F.struct("chunk_id_a", "chunk_id_b"), F.struct(F.col("chunk_id_b").alias("chunk_id_a"), F.col("chunk_id_a").alias("chunk_id_b")))).alias("p")).select("qid", "p.*").distinct()
+    gaps = gaps.join(met, ["qid", "chunk_id_a", "chunk_id_b"], "left_anti")
+    gaps = gaps.withColumns({"kind": F.struct(F.lit("docs_gap").alias("relationship"), F.lit(True).alias("reconcilable"), F.lit(0.82).alias("confidence")), "topic": F.lit(GAP), "claim_a": F.lit("documentation does not cover this"), "claim_b": F.substring("display_text_b", 1, 220), "_pass": F.lit(2)})
     both = typed.select(*gaps.columns).unionByName(gaps).select("*", "kind.*").drop("kind")
-    order = Window.partitionBy("qid").orderBy(F.desc("confidence"), (F.col("source_a") == F.col("source_b")).cast("int"), "_pass", "rank_after_a", "rank_after_b", "topic")
+    order = Window.partitionBy("qid").orderBy(F.desc("confidence"), (F.col("source_a") == F.col("source_b")).cast("int"), "_pass", F.least("rank_after_a", "rank_after_b"), F.greatest("rank_after_a", "rank_after_b"), "topic")
     return both.withColumn("finding", F.row_number().over(order)).where(F.col("finding") <= config.get("contradiction.pair_selection.max_pairs")).drop("_pass").withColumn("detector", F.lit("rules"))
 
 

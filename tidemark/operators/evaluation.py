@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import time
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def graded(rows: DataFrame, gold: DataFrame) -> DataFrame:
@@ -30,8 +32,6 @@ def gain(grade: Column, rank: Column) -> Column:
 
 def ranking_metrics(final: DataFrame, pool: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
     """EVL-2 to EVL-4: ndcg10, recall5, recall10, recall20_pool and mrr against the whole corpus; questions without labels are left out."""
-    from pyspark.sql.window import Window
-
     right = graded(chunks.select("chunk_id"), gold)
     ideal = right.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "chunk_id"))).groupBy("qid").agg(F.sum(F.when(F.col("r") <= 10, gain(F.col("grade"), F.col("r")))).alias("ideal"), F.count("*").alias("relevant_n"))
     hit = final.select("qid", "chunk_id", "rank_after").join(graded(final.select("qid", "chunk_id"), gold), ["qid", "chunk_id"])
@@ -57,16 +57,18 @@ def displacement(final: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def conflict_metrics(found: DataFrame, resolutions: DataFrame, gold: DataFrame) -> DataFrame:
-    """EVL-6."""
+    """EVL-6. A question without labels is not scored: nothing expected, nothing wrong."""
     seen = found.groupBy("qid").agg(F.max(F.col("relationship") == "complementary").alias("complementary"))
     made = resolutions.groupBy("qid").agg(F.count("*").alias("n"), F.max(F.col("topic") == "worker_concurrency_default").alias("workers"), F.max(F.col("relationship") == "contradict").alias("contradict"), F.min(F.struct("finding", "relationship", "rule_fired")).alias("first"))
     rows = gold.join(seen, "qid", "left").join(made, "qid", "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    expects = F.col("expects_conflict").isNotNull() & (F.col("expects_conflict") != "") & ~F.col("expects_no_conflict")
+    scored = F.size("relevant") > 0
+    expects = scored & F.col("expects_conflict").isNotNull() & (F.col("expects_conflict") != "") & ~F.col("expects_no_conflict")
+    rows = rows.withColumn("expects_no_conflict", F.col("expects_no_conflict") & scored)
     return rows.select(
         "qid", F.when(F.col("expects_no_conflict"), no("complementary")).when(expects, F.col("n").isNotNull()).otherwise(False).alias("conflict_detected"),
         F.when(F.col("expects_no_conflict"), F.when(no("complementary"), "complementary")).when(expects, F.col("first.relationship")).alias("conflict_relationship"), F.when(expects, F.col("first.rule_fired")).alias("conflict_rule"),
-        F.when(F.col("expects_no_conflict"), no("workers")).when(expects, False).otherwise(no("contradict")).alias("false_positive_conflict"),
+        F.when(F.col("expects_no_conflict"), no("workers")).when(expects | ~scored, False).otherwise(no("contradict")).alias("false_positive_conflict"),
     )
 
 
@@ -84,19 +86,35 @@ def evaluate(gold: DataFrame, pool: DataFrame, final: DataFrame, found: DataFram
 
 
 def summary(scores: DataFrame) -> DataFrame:
-    """EVL-7: one row; ranking means over the questions that have labels, the rest over all."""
-    mean = lambda c, when=None: F.bround(F.avg(F.when(when, F.col(c).cast("double")) if when is not None else F.col(c).cast("double")), 4).alias(c)
-    ranked, expects = F.col("ranked"), F.col("conflict_expected").isNotNull()
+    """EVL-7: one row. Ranking means run over the questions that expect no refusal, a metric that is not there counting 0; displacement is the mean way, up or down, of the best relevant chunk where there is one; conflicts count where one is expected and none is wrong."""
+    scored = ~F.col("refusal_expected")
+    expects = F.coalesce(F.col("conflict_expected"), F.lit("")) != ""
+    mean = lambda c, when=F.lit(True), digits=4: F.coalesce(F.bround(F.avg(F.when(when, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), digits), F.lit(0.0)).alias(c)
+    scores = scores.withColumn("moved", F.abs("gold_displacement"))
     return scores.agg(
-        F.count("*").alias("questions"), F.count(F.when(ranked, 1)).alias("ranked_questions"), *[mean(c, ranked) for c in ("ndcg10", "recall5", "recall10", "recall20_pool", "mrr", "source_recall", "source_precision", "gold_displacement", "promoted_into_top3")],
-        mean("conflict_detected", expects), mean("false_positive_conflict"), mean("refusal_correct"), mean("contains_ok"), mean("excludes_ok"),
+        F.count("*").alias("questions"), F.count(F.when(scored, 1)).alias("ranked_questions"), *[mean(c, scored) for c in ("ndcg10", "recall5", "recall10", "recall20_pool", "mrr", "source_recall", "source_precision", "promoted_into_top3")],
+        mean("moved", scored & F.col("moved").isNotNull(), 3).alias("gold_displacement"), mean("conflict_detected", expects & ~F.coalesce("false_positive_conflict", F.lit(False))), mean("false_positive_conflict"), mean("refusal_correct"), mean("contains_ok"), mean("excludes_ok"),
     )
 
 
-def nearest_rank(values: Column, percent: float) -> Column:
-    """EVL-8: the value at index floor(n * percent / 100) of a group's sorted values, the last at most."""
-    order = F.array_sort(F.collect_list(values))
-    return F.try_element_at(order, F.least(F.size(order), F.floor(F.size(order) * percent / 100).cast("int") + 1))
+def place_in_group(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Adds ``place`` (0, 1, ...) of each row in its group and ``n``, the group's size. No task sorts a whole group: rows are dealt by ranges of (group, order), and only a row for each range and group is summed up."""
+    from ..session import settle
+
+    dealt = settle(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
+    parts = dealt.groupBy("_part", *group).agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    w = Window.partitionBy(*group)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_rows").over(w))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_part", *group)]
+    joined = dealt.alias("r").join(parts.alias("p"), reduce(lambda x, y: x & y, same))
+    return joined.select("r.*", "p._first", "p._before", "p.n").withColumn("place", F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_part", "_first", "_before")
+
+
+def nearest_ranks(rows: DataFrame, group: list[str], value: str, percents: dict[str, float]) -> DataFrame:
+    """EVL-8: for each group and name, the value at index floor(n * percent / 100) of the sorted values, the last at most; nulls do not count."""
+    placed = place_in_group(rows.where(F.col(value).isNotNull()).select(*group, value), group, [value])
+    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100))
+    return placed.groupBy(*group).agg(*[F.max(F.when(F.col("place") == at(p), F.col(value))).alias(name) for name, p in percents.items()])
 
 
 def bootstrap_ci(values: list[float], samples: int = 1000, seed: int = 42) -> tuple[float, float]:

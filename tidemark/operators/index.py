@@ -58,13 +58,6 @@ def tfidf(posts: DataFrame, sources: DataFrame, min_df: int = 2, sublinear: bool
     return raw.join(length, ["source", "chunk_id"]).select("source", "chunk_id", "doc_pos", "term", (F.col("raw") / F.col("length")).alias("w"), "idf")
 
 
-def gram(weights: DataFrame) -> DataFrame:
-    """IDX-6: (source, a, b, g), a <= b: inner products of chunks that share a term."""
-    left = weights.select("source", "term", F.col("chunk_id").alias("a"), F.col("w").alias("wa"))
-    right = weights.select("source", "term", F.col("chunk_id").alias("b"), F.col("w").alias("wb"))
-    return left.join(right, ["source", "term"]).where("a <= b").groupBy("source", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("g"))
-
-
 def lsa(weights: DataFrame, dims: int = 256) -> DataFrame:
     """IDX-7, IDX-8: (source, kind, key, vector): the term-space projections that both sides share.
 

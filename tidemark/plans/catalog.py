@@ -18,7 +18,7 @@ from ..functions import text as tx
 from ..operators import index as ix
 from ..operators import questions as rules
 from ..operators.chunking import chunk
-from ..operators.evaluation import gain, nearest_rank
+from ..operators.evaluation import gain, nearest_ranks
 from ..operators.questions import analyse
 from ..operators.rerank import min_max, mmr_order, quota_pick
 from ..operators.retrieval import bm25, fuse, phrasings
@@ -160,7 +160,7 @@ def ranking_quality(spark, sf_dir):
 
 
 def nearest_rank_percentile(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(nearest_rank(F.col("value"), 50).alias("p50"), nearest_rank(F.col("value"), 95).alias("p95"))
+    return nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 50, "p95": 95})
 
 
 def intent_classify(spark, sf_dir):

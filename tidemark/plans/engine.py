@@ -6,6 +6,7 @@ import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from ..config import VARIANTS, EngineConfig
@@ -37,11 +38,11 @@ class Run:
 
 
 def or_rules(stage, rules, *args) -> DataFrame:
-    """The written result of ``stage``, or of ``rules`` where there is no stage or it raises."""
+    """The written result of ``stage``, or of ``rules`` where there is no stage, it raises, or its own Python code fails in a job. Failures of the cluster or of the tables are raised."""
     if stage is not None:
         try:
             return settle(stage(*args))
-        except Exception as error:
+        except (PythonException, OSError, RuntimeError, ValueError, LookupError, TypeError) as error:
             warnings.warn(f"{rules.__name__}: {error!r}; the rules are used", stacklevel=2)
     return settle(rules(*args))
 

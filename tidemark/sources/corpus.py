@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.evaluation import place_in_group
+
+#: Names that a warning shows.
+SHOWN = 5
 POSTS = "array<struct<post_id: string, author_role: string, author: string, created_at: string, votes: bigint, is_accepted: boolean, parent_post_id: string, body: string>>"
 THREADS = f"threads array<struct<thread_id: string, title: string, tags: array<string>, product_version_mentioned: string, status: string, views: bigint, created_at: string, posts: {POSTS}>>"
 ARTICLES = "posts array<struct<post_id: string, title: string, author: string, author_role: string, published_at: string, product_version_at_time: string, tags: array<string>, url: string, body: string>>"
@@ -42,7 +47,15 @@ def read_forum(spark: SparkSession, path: str) -> DataFrame:
 def read_blog(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: articles."""
     posts = spark.read.schema(ARTICLES).json(path, multiLine=True).select(F.posexplode("posts").alias("at", "p")).select("at", "p.*")
-    return numbered(posts.withColumnRenamed("post_id", "doc_id"), "at").drop("at")
+    return warn_undated(numbered(posts.withColumnRenamed("post_id", "doc_id"), "at").drop("at"))
+
+
+def warn_undated(articles: DataFrame) -> DataFrame:
+    """SRC-4: ``articles``, with a warning that names the first of those without a date."""
+    names = [r.doc_id for r in undated(articles).limit(SHOWN).collect()]
+    if names:
+        warnings.warn(f"articles without published_at, the first of them: {names}", stacklevel=2)
+    return articles
 
 
 def undated(articles: DataFrame) -> DataFrame:
@@ -51,8 +64,8 @@ def undated(articles: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds ``doc_pos`` in the order of the source's files. File lists are small; large tables bring a doc_pos of their own."""
-    return rows.withColumn("doc_pos", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    """Adds ``doc_pos`` (0, 1, ...) in the order of the columns. No task holds all rows: they are dealt by ranges, and only the ranges are summed up."""
+    return place_in_group(rows.withColumn("_all", F.lit(0)), ["_all"], list(order)).withColumnRenamed("place", "doc_pos").drop("n", "_all")
 
 
 def read_corpus(spark: SparkSession, docs: str, forum: str, blog: str) -> dict[str, DataFrame]:
