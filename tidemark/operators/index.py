@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-
-#: Cells of a source's term matrix that one task may hold; beyond it, LSA runs as a distributed SVD.
-LSA_CELLS = 10_000_000
+from .lsa import lsa
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
@@ -22,8 +20,8 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """IDX-1, IDX-4: (source, term, chunk_id, doc_pos, tf)."""
-    return chunks.select("source", "chunk_id", "doc_pos", F.explode("tokens").alias("term")).groupBy("source", "term", "chunk_id", "doc_pos").agg(F.count("*").alias("tf"))
+    """IDX-1, IDX-4: (source, term, chunk_id, doc_pos, dl, tf); each posting carries its chunk's length, so a search joins no table of chunks."""
+    return chunks.select("source", "chunk_id", "doc_pos", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("source", "term", "chunk_id", "doc_pos", "dl").agg(F.count("*").alias("tf"))
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
@@ -58,59 +56,6 @@ def tfidf(posts: DataFrame, sources: DataFrame, min_df: int = 2, sublinear: bool
     return raw.join(length, ["source", "chunk_id"]).select("source", "chunk_id", "doc_pos", "term", (F.col("raw") / F.col("length")).alias("w"), "idf")
 
 
-def lsa(weights: DataFrame, dims: int = 256) -> DataFrame:
-    """IDX-7, IDX-8: (source, kind, key, vector): the term-space projections that both sides share.
-
-    kind ``term``: sqrt(s) * v_term, so the sum over a question's weights is its
-    coordinate; kind ``chunk``: u_chunk * sqrt(s), unit length. A source's matrix is
-    solved in one task while it has at most LSA_CELLS cells, by ``lsa_large`` otherwise.
-    """
-    schema = "source string, kind string, key string, vector array<double>"
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk, terms = pd.factorize(rows["chunk_id"], sort=True), pd.factorize(rows["term"], sort=True)
-        a = np.zeros((len(chunk[1]), len(terms[1])))
-        a[chunk[0], terms[0]] = rows["w"]
-        values, u = np.linalg.eigh(a @ a.T)
-        order = np.argsort(-values)[:dims]
-        order = order[values[order] > 1e-9]
-        s, u = np.sqrt(values[order]), u[:, order]
-        x = u * np.sqrt(s)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        v = (a.T @ u) / s * np.sqrt(s)
-        found = [(rows["source"].iloc[0], "chunk", k, r.tolist()) for k, r in zip(chunk[1], x, strict=True)]
-        found += [(rows["source"].iloc[0], "term", k, r.tolist()) for k, r in zip(terms[1], v, strict=True)]
-        return pd.DataFrame(found, columns=["source", "kind", "key", "vector"])
-
-    sizes = weights.groupBy("source").agg((F.countDistinct("chunk_id") * F.countDistinct("term")).alias("cells"))
-    big = [r.source for r in sizes.where(F.col("cells") > LSA_CELLS).collect()]
-    small = weights.where(~F.col("source").isin(big)) if big else weights
-    out = small.select("source", "chunk_id", "term", "w").groupBy("source").applyInPandas(solve, schema)
-    for source in big:
-        out = out.unionByName(lsa_large(weights.where(F.col("source") == source), source, dims))
-    return out
-
-
-def lsa_large(weights: DataFrame, source: str, dims: int) -> DataFrame:
-    """The same for a large source: a distributed SVD of sparse rows; the driver holds terms x dims numbers."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = weights.sparkSession
-    terms = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
-    number = spark.createDataFrame(list(enumerate(terms)), "col int, term string")
-    width = len(terms)
-    rows = weights.join(number, "term").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "w"))).alias("m"))
-    svd = RowMatrix(rows.select("m").rdd.map(lambda r: Vectors.sparse(width, r.m)), numCols=width).computeSVD(min(dims, width), computeU=False)
-    s = np.array(svd.s.toArray())
-    v = np.array(svd.V.toArray())[:, s > 1e-5]
-    s = s[s > 1e-5]
-    scaled = spark.createDataFrame([(t, (v[i] * np.sqrt(s)).tolist(), (v[i] / np.sqrt(s)).tolist()) for i, t in enumerate(terms)], "term string, vector array<double>, back array<double>")
-    chunks = weights.join(scaled.select("term", "back"), "term").groupBy("chunk_id").agg(weighted_sum("w", "back", len(s)).alias("vector"))
-    chunks = chunks.select(F.lit(source).alias("source"), F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), unit(F.col("vector")).alias("vector"))
-    return chunks.unionByName(scaled.select(F.lit(source).alias("source"), F.lit("term").alias("kind"), F.col("term").alias("key"), "vector"))
-
-
 def weighted_sum(weight: str, vector: str, dims: int | None = None):
     """The sum of weight * vector over a group."""
     rows = F.collect_list(F.struct(F.col(weight).alias("w"), F.col(vector).alias("v")))
@@ -130,9 +75,9 @@ def encode(chunks: DataFrame, model, dims_col: str = "vector") -> DataFrame:
         for rows in batches:
             x = np.asarray(model(rows["text"].tolist()), float)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({"source": rows["source"], "kind": "chunk", "key": rows["chunk_id"], dims_col: list(x)})
+            yield pd.DataFrame({"source": rows["source"], "kind": "chunk", "key": rows["chunk_id"], dims_col: list(x), "idf": None})
 
-    return chunks.select("source", "chunk_id", "text").mapInPandas(run, f"source string, kind string, key string, {dims_col} array<double>")
+    return chunks.select("source", "chunk_id", "text").mapInPandas(run, f"source string, kind string, key string, {dims_col} array<double>, idf double")
 
 
 @dataclass(frozen=True)

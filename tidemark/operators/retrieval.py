@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import EngineConfig
-from ..functions.text import dot, iso_date, tokenize
+from ..functions.text import iso_date, tokenize
+from ..session import settle
 from .chunking import version_of
 from .index import Index, unit, weighted_sum
 
 SOURCES = ("docs", "forum", "blog")
+#: Bytes of question vectors that a task holds.
+QUESTION_BYTES = 32 << 20
 
 
 def phrasings(analysed: DataFrame) -> DataFrame:
@@ -28,24 +34,79 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(terms: DataFrame, posts: DataFrame, docs: DataFrame, sources: DataFrame, stats: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """RET-1: (qid, qi, source, chunk_id, doc_pos, score, rank). The postings are met by term, so only chunks with a term of the question are touched."""
-    met = terms.join(posts, "term").join(stats.select("source", "term", "idf"), ["source", "term"]).join(docs.select("source", "chunk_id", "dl"), ["source", "chunk_id"]).join(sources, "source")
+def bm25(terms: DataFrame, posts: DataFrame, sources: DataFrame, stats: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """RET-1: (qid, qi, source, chunk_id, doc_pos, score, rank).
+
+    The questions' terms get idf and average length first, a row for each source, and
+    meet the postings by (source, term) last: few enough for Spark's own size check to
+    broadcast them, in which case no posting is shuffled.
+    """
+    asked = terms.join(stats.select("source", "term", "idf"), "term").join(sources.select("source", "avgdl"), "source")
+    met = asked.join(posts, ["source", "term"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
     hits = met.groupBy("qid", "qi", "source", "chunk_id", "doc_pos").agg(F.sum(part).alias("score"))
     return ranked(hits, k).where("score > 0")
 
 
-def dense(terms: DataFrame, index: Index, k: int, sublinear: bool = True) -> DataFrame:
-    """RET-2, IDX-9: cosine of each question's coordinate with the chunks of every source, above 1e-6."""
+def question_vectors(terms: DataFrame, index: Index, sublinear: bool = True) -> DataFrame:
+    """IDX-9: (qid, qi, source, q): each phrasing's unit coordinate in every source's space."""
     tf = 1 + F.log(F.col("qtf").cast("double")) if sublinear else F.col("qtf").cast("double")
-    idf = index.weights.select("source", "term", "idf").distinct()
-    space = index.vectors.where("kind = 'term'").select("source", F.col("key").alias("term"), F.col("vector").alias("v"))
-    at = terms.join(idf, "term").join(space, ["source", "term"]).withColumn("w", tf * F.col("idf"))
-    asked = at.groupBy("qid", "qi", "source").agg(weighted_sum("w", "v").alias("q")).select("qid", "qi", "source", unit(F.col("q")).alias("q"))
+    space = index.vectors.where("kind = 'term'").select("source", F.col("key").alias("term"), F.col("vector").alias("v"), "idf")
+    at = terms.join(space, "term").withColumn("w", tf * F.col("idf"))
+    return at.groupBy("qid", "qi", "source").agg(weighted_sum("w", "v").alias("q")).select("qid", "qi", "source", unit(F.col("q")).alias("q"))
+
+
+def dense(terms: DataFrame, index: Index, k: int, sublinear: bool = True) -> DataFrame:
+    """RET-2: cosine of each phrasing's coordinate with the chunks of every source, above 1e-6."""
     chunks = index.vectors.where("kind = 'chunk'").select("source", F.col("key").alias("chunk_id"), F.col("vector").alias("x")).join(index.chunks.select("chunk_id", "doc_pos"), "chunk_id")
-    hits = asked.join(chunks, "source").select("qid", "qi", "source", "chunk_id", "doc_pos", dot(F.col("q"), F.col("x")).alias("score")).where("score > 1e-6")
-    return ranked(hits, k)
+    return nearest(settle(question_vectors(terms, index, sublinear)), chunks, k)
+
+
+def nearest(asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best chunks (source, chunk_id, doc_pos, x) of each question (qid, qi, source, q) by dot product, over 1e-6.
+
+    A stated set of questions against all rows: the questions go to the tasks in parts
+    of at most QUESTION_BYTES, each a pass over the chunks, which stay where they are;
+    of a batch of chunks only those that may be among the k best leave the task.
+    """
+    size = asked.agg(F.coalesce(F.sum(F.size("q") * 8 + F.octet_length("qid") + 64), F.lit(0))).first()[0]
+    parts = max(1, -(-size // QUESTION_BYTES))
+    out = None
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("qid", "qi", "source"), F.lit(parts)) == part) if parts > 1 else asked
+        one = chunks.select("source", "chunk_id", "doc_pos", "x").mapInArrow(scores_of(own.collect(), k), "qid string, qi int, source string, chunk_id string, doc_pos long, score double")
+        one = settle(one) if parts > 1 else one
+        out = one if out is None else out.unionByName(one)
+    return ranked(out.withColumn("qid", F.col("qid").cast(asked.schema["qid"].dataType)), k)
+
+
+def scores_of(rows: list, k: int):
+    """For a worker: batches of chunks to (qid, qi, source, chunk_id, doc_pos, score) of each question's k best and their equals."""
+    by_source: dict[str, tuple[list, np.ndarray]] = {}
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        by_source[source] = [(str(r.qid), r.qi) for r in own], np.array([r.q for r in own], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources = np.array(batch.column(0).to_pylist(), object)
+            for source in set(sources.tolist()) & set(by_source):
+                names, q = by_source[source]
+                at = np.flatnonzero(sources == source)
+                x = np.array([v for v in batch.column(3).take(pa.array(at)).to_pylist()], float)
+                score = x @ q.T
+                near = np.round(score, 9)
+                if len(at) > k:
+                    least = np.partition(near, len(at) - k, axis=0)[len(at) - k]
+                    hit = (near >= least) & (score > 1e-6)
+                else:
+                    hit = score > 1e-6
+                i, j = np.nonzero(hit)
+                if len(i):
+                    chosen = pa.array(at[i])
+                    yield pa.record_batch([pa.array([names[n][0] for n in j]), pa.array([names[n][1] for n in j], pa.int32()), pa.array([source] * len(i)), batch.column(1).take(chosen), batch.column(2).take(chosen), pa.array(score[i, j])], ["qid", "qi", "source", "chunk_id", "doc_pos", "score"])
+
+    return run
 
 
 def fuse(lists: DataFrame, k: int = 60, expansion: float = 0.35) -> DataFrame:
@@ -121,7 +182,7 @@ def search_lists(analysed: DataFrame, index: Index, config: EngineConfig) -> Dat
     k = config.get("retrieval.top_k_per_source")
     arms = []
     if config.get("index.bm25.enabled"):
-        arms.append(bm25(terms, index.postings, index.doc_stats, index.source_stats, index.term_stats, k, config.get("index.bm25.k1"), config.get("index.bm25.b")).withColumn("arm", F.lit("bm25")))
+        arms.append(bm25(terms, index.postings, index.source_stats, index.term_stats, k, config.get("index.bm25.k1"), config.get("index.bm25.b")).withColumn("arm", F.lit("bm25")))
     if config.get("index.dense.enabled") and index.vectors is not None:
         arms.append(dense(terms, index, k, config.get("index.dense.sublinear_tf")).withColumn("arm", F.lit("dense")))
     return reduce(DataFrame.unionByName, arms)

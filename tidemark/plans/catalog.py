@@ -78,7 +78,7 @@ def searched(spark, sf_dir, k=10) -> DataFrame:
     rows, posts = indexed(spark, sf_dir)
     sources = ix.source_stats(rows)
     asked = questions(spark, sf_dir).select("qid", F.array("query").alias("all_queries"))
-    return bm25(phrasings(asked), posts, ix.doc_stats(rows), sources, ix.term_stats(posts, sources), k)
+    return bm25(phrasings(asked), posts, sources, ix.term_stats(posts, sources), k)
 
 
 def bm25_topk(spark, sf_dir):
