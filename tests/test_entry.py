@@ -7,14 +7,16 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidemark.plans import catalog
+from tidemark.plans import catalog, engine_rows, engine_sql
 
+QUERIES = catalog.QUERIES | engine_rows.QUERIES
+ORACLES = catalog.ORACLES | engine_sql.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def test_names():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_without_the_corpus_operators():
@@ -30,13 +32,13 @@ def sql():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_like_sql(spark, sql, name):
-    frame = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    frame = QUERIES[name](spark, "/root/testdata/sf0.001")
     columns = sorted(frame.columns)
     got = sorted(repr(tuple(r)) for r in frame.select(*columns).collect())
     assert got
-    if name in catalog.ORACLES:
-        found = sql.execute(catalog.ORACLES[name])
+    if name in ORACLES:
+        found = sql.execute(ORACLES[name])
         names = [d[0] for d in found.description]
         assert got == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())

@@ -18,7 +18,7 @@ from ..functions import text as tx
 from ..operators import index as ix
 from ..operators import questions as rules
 from ..operators.chunking import chunk
-from ..operators.evaluation import gain, nearest_ranks
+from ..operators.evaluation import nearest_ranks
 from ..operators.questions import analyse
 from ..operators.rerank import min_max, mmr_order, quota_pick
 from ..operators.retrieval import bm25, fuse, phrasings
@@ -149,16 +149,6 @@ def dense_topk(spark, sf_dir):
     return compared(spark, sf_dir).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def ranking_quality(spark, sf_dir):
-    """nDCG@10, recall@10 and MRR of the dense lists; vectors of the same label are relevant."""
-    hit = (F.col("label") == F.col("q_label")).cast("int")
-    got = compared(spark, sf_dir).groupBy("qid", "q_label").agg(F.sum(hit * gain(F.lit(1), F.col("rank"))).alias("dcg"), F.sum(hit).alias("hits"), F.min(F.when(hit == 1, F.col("rank"))).alias("first"))
-    sizes = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("q_label")).agg((F.count("*") - 1).alias("n"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, r: s + gain(F.lit(1), r))
-    rows = got.join(sizes, "q_label")
-    return rows.select("qid", F.round(F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg10"), F.round(F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0), 6).alias("recall10"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
-
-
 def nearest_rank_percentile(spark, sf_dir):
     return nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 50, "p95": 95})
 
@@ -176,20 +166,6 @@ def entities(spark, sf_dir):
     return q.select(F.col("qid").alias("doc_id"), F.array_join(found(F.col("query"), "product"), "|").alias("entities"))
 
 
-def claim_pairs(spark, sf_dir):
-    """Orders as claims: pairs of a customer's orders of one priority with different states, the earlier first."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("attribute"), F.col("o_orderstatus").alias("value"), "o_orderkey")
-    a, b = o.select("o_custkey", "attribute", F.col("value").alias("value_a"), F.col("o_orderkey").alias("a")), o.select("o_custkey", "attribute", F.col("value").alias("value_b"), F.col("o_orderkey").alias("b"))
-    return a.join(b, ["o_custkey", "attribute"]).where("a < b and value_a <> value_b").select("o_custkey", "attribute", "a", "b", "value_a", "value_b")
-
-
-def alpha_sweep(spark, sf_dir):
-    """The best customer of each nation at eleven blends of balance and key."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("qid"), "c_custkey", min_max(F.col("c_acctbal"), "c_nationkey").alias("x"), min_max(F.col("c_custkey").cast("double"), "c_nationkey").alias("y"))
-    rows = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("step")).withColumn("score", F.round(F.col("step") / 10 * F.col("x") + (1 - F.col("step") / 10) * F.col("y"), 9))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("step", "qid").orderBy(F.desc("score"), "c_custkey"))).where("r = 1").select(F.col("step").cast("long").alias("step"), "qid", "c_custkey", F.round("score", 6).alias("score"))
-
-
 def best_lists(spark, sf_dir) -> DataFrame:
     hits = searched(spark, sf_dir)
     words = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc"), F.array_distinct(tx.tokenize(F.col("text"))).alias("display_tokens"))
@@ -211,7 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bm25_topk, tokenize_tokens, term_freq, doc_freq_idf, source_stats, vocabulary, tfidf_top_terms, minmax_norm, rrf_fused, estimate_tokens, sentence_split, slugify_pages, uniform_chunks, sliding_windows, qa_pairs, unanswered,
-        dense_topk, ranking_quality, nearest_rank_percentile, intent_classify, entities, claim_pairs, alpha_sweep, quota_select, mmr_select,
+        dense_topk, nearest_rank_percentile, intent_classify, entities, quota_select, mmr_select,
     )
 }
 
@@ -274,12 +250,7 @@ ORACLES: dict[str, str] = {
     "qa_pairs": "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'",
     "unanswered": "SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE role = 'user' AND next_role = 'assistant')",
     "dense_topk": f"{DENSE} SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best",
-    "ranking_quality": f"{DENSE}, g AS (SELECT qid, q_label, sum(CASE WHEN label = q_label THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN label = q_label THEN 1 ELSE 0 END) AS hits, min(CASE WHEN label = q_label THEN rank END) AS first FROM best GROUP BY qid, q_label), n AS (SELECT label AS q_label, count(*) - 1 AS n FROM embeddings GROUP BY label) "
-    "SELECT qid, round(CASE WHEN n > 0 THEN dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n) ELSE 0 END, 6) AS ndcg10, round(CASE WHEN n > 0 THEN CAST(hits AS DOUBLE) / n ELSE 0 END, 6) AS recall10, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr FROM g JOIN n USING (q_label)",
     "nearest_rank_percentile": "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, v[least(len(v), CAST(floor(len(v) * 50 / 100.0) AS BIGINT) + 1)] AS p50, v[least(len(v), CAST(floor(len(v) * 95 / 100.0) AS BIGINT) + 1)] AS p95 FROM s",
-    "claim_pairs": "SELECT a.o_custkey, a.o_orderpriority AS attribute, a.o_orderkey AS a, b.o_orderkey AS b, a.o_orderstatus AS value_a, b.o_orderstatus AS value_b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey AND a.o_orderstatus <> b.o_orderstatus",
-    "alpha_sweep": "WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS qid, c_custkey, CASE WHEN max(c_acctbal) OVER w - min(c_acctbal) OVER w < 1e-12 THEN 0.5 ELSE (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) END AS x, CASE WHEN max(c_custkey) OVER w - min(c_custkey) OVER w < 1 THEN 0.5::DOUBLE ELSE CAST(c_custkey - min(c_custkey) OVER w AS DOUBLE) / (max(c_custkey) OVER w - min(c_custkey) OVER w) END AS y FROM customer WINDOW w AS (PARTITION BY c_nationkey)), "
-    "s AS (SELECT qid, c_custkey, step, round(step / 10.0::DOUBLE * x + (1 - step / 10.0::DOUBLE) * y, 9) AS score FROM c, range(0, 11) t(step)) SELECT step, qid, c_custkey, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY step, qid ORDER BY score DESC, c_custkey) AS r FROM s) WHERE r = 1",
 }
 
 
