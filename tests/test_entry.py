@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidemark.plans import catalog, engine_rows, engine_sql
+from tidemark.plans import catalog, engine_rows, engine_sql, more_rows, more_sql
 
-QUERIES = catalog.QUERIES | engine_rows.QUERIES
-ORACLES = catalog.ORACLES | engine_sql.ORACLES
+QUERIES = catalog.QUERIES | engine_rows.QUERIES | more_rows.QUERIES
+ORACLES = catalog.ORACLES | engine_sql.ORACLES | more_sql.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.pytext import estimate_tokens
 from tidemark.operators.chunking import heading_sections, merge_small, semantic_windows, sliding_windows, split_long
 from tidemark.operators.rerank import mmr_order, quota_pick
-from tidemark.plans import catalog
 
 
 def quota(rows, k, per_source, per_doc):
@@ -68,10 +67,9 @@ def test_windows():
     assert [s for w in cut for s in w] == ["a b c", "a b c", "x y z", "x y z"] * 3 and len(cut) > 1
 
 
-def test_mmr_select_reads_whole_texts(spark, tmp_path):
+def test_mmr_reads_whole_texts(spark):
     """Three texts with the same first words: a copy of the best goes behind one that ends otherwise."""
-    start = " ".join(["kiwi", *(f"alpha{i}" for i in range(220))])
-    texts = [start, start, " ".join([start, *(f"gamma{i}" for i in range(700))])]
-    spark.createDataFrame([(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(7, "kiwi")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert [r.chunk_id for r in catalog.mmr_select(spark, str(tmp_path)).orderBy("place").collect()] == ["1", "3", "2"]
+    start = ["kiwi", *(f"alpha{i}" for i in range(220))]
+    texts = [start, start, [*start, *(f"gamma{i}" for i in range(700))]]
+    frame = spark.createDataFrame([(0, [{"final_score": 1.0 - i / 100, "display_tokens": t} for i, t in enumerate(texts)])], "g int, items array<struct<final_score: double, display_tokens: array<string>>>")
+    assert frame.select(mmr_order(F.col("items"), 8, 0.7).alias("p")).first().p == [0, 2, 1]

@@ -264,7 +264,7 @@ def uniform_chunks(source: str, config: EngineConfig) -> Callable[[dict], Iterat
 
 
 def chunk(documents: DataFrame, source: str, config: EngineConfig) -> DataFrame:
-    """CHK-12: the chunks of one source's documents by the configured strategy. ``doc_pos`` orders the source's chunks."""
+    """CHK-12: the chunks of one source's documents by the configured strategy. ``doc_pos`` orders the source's chunks: the document's place (under 2^32), then the chunk's (under 2^31, as a text has no more characters)."""
     makers = {"docs": docs_chunks, "forum": thread_chunks, "blog": article_chunks}
     make = uniform_chunks(source, config) if config.get("chunking.strategy") == "uniform" else makers[source](config)
     schema: StructType = _parse_datatype_string(CHUNK)
@@ -278,7 +278,7 @@ def chunk(documents: DataFrame, source: str, config: EngineConfig) -> DataFrame:
                 for i, c in enumerate(make(doc)):
                     body = c["display_text"].strip()
                     text = f"{c['context_header']}\n\n{body}" if c["context_header"] else body
-                    row = {k: doc.get(k) for k in names} | c | {"source": source, "doc_pos": (doc.get("doc_pos") or 0) * 100_000 + i, "text": text, "display_text": body, "token_count": estimate_tokens(text)}
+                    row = {k: doc.get(k) for k in names} | c | {"source": source, "doc_pos": ((doc.get("doc_pos") or 0) << 31) + i, "text": text, "display_text": body, "token_count": estimate_tokens(text)}
                     rows.append({k: row.get(k) for k in names})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 

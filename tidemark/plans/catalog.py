@@ -1,8 +1,8 @@
 """Registered queries of the engine's operators over the driver's tables, with their SQL.
 
-The tables play the roles of the corpus: documents are chunks with their language as
-the source, first sentences of benchmark passages are questions, embeddings are the
-dense arm, conversations are threads.
+Documents are chunks with their language as the source, first sentences of benchmark
+passages are questions. ``engine_rows`` and ``more_rows`` have the stages behind search,
+the chunkers and the scans.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..operators import questions as rules
 from ..operators.chunking import chunk
 from ..operators.evaluation import nearest_ranks
 from ..operators.questions import analyse
-from ..operators.rerank import min_max, mmr_order, quota_pick
+from ..operators.rerank import min_max
 from ..operators.retrieval import bm25, fuse, phrasings
 from ..session import settle, spread
 
@@ -91,7 +91,7 @@ def minmax_norm(spark, sf_dir):
 
 
 def rrf_fused(spark, sf_dir):
-    """Two lists of each question and source: by BM25 and by document length of the same hits."""
+    """Two lists of each question and source: by BM25 and by the documents' order."""
     hits = searched(spark, sf_dir)
     by_id = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "source").orderBy("doc_pos")))
     lists = hits.withColumn("arm", F.lit("bm25")).unionByName(by_id.withColumn("arm", F.lit("dense")).withColumn("qi", F.lit(1)))
@@ -122,33 +122,6 @@ def sliding_windows(spark, sf_dir):
     return chunk(spread(d), "blog", EngineConfig()).select("chunk_id", "window_index", "window_count", "token_count")
 
 
-def qa_pairs(spark, sf_dir):
-    """A user's turn with the assistant's turn right after it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("answer"))
-    return rows.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
-
-
-def unanswered(spark, sf_dir):
-    """Conversations in which no user's turn is followed by an assistant's."""
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return c.join(qa_pairs(spark, sf_dir).select("conv_id"), "conv_id", "left_anti")
-
-
-def compared(spark, sf_dir) -> DataFrame:
-    """Every vector whose id is divisible by 50 against all others: the best ten."""
-    e = spread(table(spark, sf_dir, "embeddings"))
-    unit = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    asked = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), F.col("v").alias("q"))
-    scored = unit.join(asked, F.col("vec_id") != F.col("qid")).select("qid", "q_label", "vec_id", "label", tx.cosine(F.col("q"), F.col("v")).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-
-
-def dense_topk(spark, sf_dir):
-    return compared(spark, sf_dir).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
-
-
 def nearest_rank_percentile(spark, sf_dir):
     return nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 50, "p95": 95})
 
@@ -166,28 +139,11 @@ def entities(spark, sf_dir):
     return q.select(F.col("qid").alias("doc_id"), F.array_join(found(F.col("query"), "product"), "|").alias("entities"))
 
 
-def best_lists(spark, sf_dir) -> DataFrame:
-    hits = searched(spark, sf_dir)
-    words = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc"), F.array_distinct(tx.tokenize(F.col("text"))).alias("display_tokens"))
-    item = F.struct((-F.round("score", 9)).alias("order"), "chunk_id", "source", "doc", F.round("score", 9).alias("final_score"), "display_tokens")
-    return hits.join(words, "chunk_id").groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-
-def quota_select(spark, sf_dir):
-    rows = best_lists(spark, sf_dir).select("qid", "items", F.posexplode(quota_pick(F.col("items"), 8, 5, 3)).alias("place", "i"))
-    return rows.select("qid", "place", F.element_at("items", F.col("i") + 1)["chunk_id"].alias("chunk_id"))
-
-
-def mmr_select(spark, sf_dir):
-    rows = best_lists(spark, sf_dir).withColumn("items", F.slice("items", 1, 8))
-    return rows.select("qid", "items", F.posexplode(mmr_order(F.col("items"), 8, 0.7)).alias("place", "i")).select("qid", "place", F.element_at("items", F.col("i") + 1)["chunk_id"].alias("chunk_id"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        bm25_topk, tokenize_tokens, term_freq, doc_freq_idf, source_stats, vocabulary, tfidf_top_terms, minmax_norm, rrf_fused, estimate_tokens, sentence_split, slugify_pages, uniform_chunks, sliding_windows, qa_pairs, unanswered,
-        dense_topk, nearest_rank_percentile, intent_classify, entities, quota_select, mmr_select,
+        bm25_topk, tokenize_tokens, term_freq, doc_freq_idf, source_stats, vocabulary, tfidf_top_terms, minmax_norm, rrf_fused, estimate_tokens, sentence_split, slugify_pages, uniform_chunks, sliding_windows,
+        nearest_rank_percentile, intent_classify, entities,
     )
 }
 
@@ -226,10 +182,6 @@ HITS = (
     "hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY round(score, 9) DESC, doc_pos, chunk_id) AS rank FROM scored) WHERE rank <= 10 AND score > 0)"
 )
 SEARCH = f"WITH {CHUNKS}, {POSTS}, {STATS}, {TERMS}, {ASKED}, {HITS}"
-DENSE = (
-    "WITH pairs AS (SELECT q.vec_id AS qid, q.label AS q_label, e.vec_id, e.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0), "
-    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10)"
-)
 
 ORACLES: dict[str, str] = {
     "tokenize_tokens": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",
@@ -247,9 +199,6 @@ ORACLES: dict[str, str] = {
     "sentence_split": f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM (SELECT doc_id, {sentences_sql('text')} AS s FROM documents)",
     "slugify_pages": f"WITH s AS (SELECT page_id, regexp_replace(regexp_replace({FOLDED.format(x="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS g FROM pages) SELECT page_id, CASE WHEN length(g) <= 60 THEN g WHEN length(regexp_replace(left(g, 60), '-[^-]*$', '')) > 0 THEN regexp_replace(left(g, 60), '-[^-]*$', '') ELSE left(g, 60) END AS slug FROM s",
     "uniform_chunks": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(source || chr(10) || chr(10) || text, '\\s+'), lambda x: length(x) > 0) AS w FROM documents), i AS (SELECT doc_id, w, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - 769) / 616.0) AS BIGINT)))) AS k FROM w) SELECT 'blog:' || doc_id || ':u' || k AS chunk_id, k AS window_index, md5(array_to_string(list_slice(w, k * 616 + 1, k * 616 + 769), ' ')) AS text_md5 FROM i",
-    "qa_pairs": "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'",
-    "unanswered": "SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE role = 'user' AND next_role = 'assistant')",
-    "dense_topk": f"{DENSE} SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best",
     "nearest_rank_percentile": "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, v[least(len(v), CAST(floor(len(v) * 50 / 100.0) AS BIGINT) + 1)] AS p50, v[least(len(v), CAST(floor(len(v) * 95 / 100.0) AS BIGINT) + 1)] AS p95 FROM s",
 }
 
