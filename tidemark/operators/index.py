@@ -16,7 +16,10 @@ from .lsa import lsa
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
     """Tokens of the indexed and of the displayed text, once, for all later stages."""
-    return chunks.withColumn("tokens", tokenize(F.col("text"))).withColumn("display_tokens", tokenize(F.col("display_text")))
+    rows = chunks.withColumn("display_tokens", tokenize(F.col("display_text")))
+    # A header stands on a line of its own, so its tokens come before those of the rest.
+    headed = F.col("text") == F.concat_ws("\n\n", "context_header", "display_text")
+    return rows.withColumn("tokens", F.when(F.col("text") == F.col("display_text"), F.col("display_tokens")).when(headed, F.concat(tokenize(F.col("context_header")), "display_tokens")).otherwise(tokenize(F.col("text"))))
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 #: Matrix entries and rows of sums that a task holds at a time.
-ENTRIES, HELD = 1 << 14, 1 << 14
+ENTRIES, HELD = 1 << 15, 1 << 15
 SUMS = "source string, key string, v binary"
 
 
@@ -23,13 +23,13 @@ def lsa(weights: DataFrame, dims: int = 256, width: int | None = None) -> DataFr
     coordinate; kind ``chunk``: u_chunk * sqrt(s), unit length (idf null).
 
     Every chunk's sum of random sign vectors of its terms spans the space: exactly, where
-    a source has at most ``width`` (twice ``dims``) chunks or terms, else its strongest
+    a source has at most ``width`` (``dims`` and a quarter, 64 more at least) chunks or terms, else its strongest
     directions. Made orthonormal by its Gram matrix, that is a basis; the matrix is the
     basis times a row for each term, and the decomposition of those rows' Gram matrix
     gives the singular values. Chunks and terms stay tables; only sums for each task and
     term are shuffled, and the driver holds width * width numbers for each source.
     """
-    width = width or 2 * dims
+    width = width or dims + max(64, dims // 4)
     entry = F.struct("term", F.xxhash64("term").alias("h"), "w")
     rows = weights.groupBy("source", "chunk_id").agg(F.collect_list(entry).alias("e"))
     rows = rows.select("source", "chunk_id", F.col("e.term").alias("terms"), F.col("e.h").alias("h"), F.col("e.w").alias("w"))
@@ -126,23 +126,30 @@ def unpacked(column: pa.Array) -> np.ndarray:
 
 
 class Sums:
-    """Sums of vectors by (source, key)."""
+    """Sums of vectors by source and key, in one growing matrix for each source."""
 
     def __init__(self):
-        self.sums: dict[tuple[str, str], np.ndarray] = {}
+        self.rows: dict[str, dict[str, int]] = {}
+        self.sums: dict[str, np.ndarray] = {}
 
     def add(self, source: str, keys: list[str], x: np.ndarray) -> None:
-        for key, v in zip(keys, x, strict=True):
-            if (source, key) in self.sums:
-                self.sums[source, key] += v
-            else:
-                self.sums[source, key] = v
+        """Add a vector for each key; keys are distinct."""
+        rows = self.rows.setdefault(source, {})
+        at = np.array([rows.setdefault(key, len(rows)) for key in keys])
+        sums = self.sums.get(source)
+        if sums is None or len(rows) > len(sums):
+            grown = np.zeros((max(64, 2 * len(rows)), x.shape[1]))
+            if sums is not None:
+                grown[: len(sums)] = sums
+            self.sums[source] = sums = grown
+        sums[at] += x
 
     def over(self, most: int) -> Iterator[pa.RecordBatch]:
-        """What is held, when it is more than ``most``."""
-        if len(self.sums) > most:
-            yield pa.record_batch([pa.array([k[0] for k in self.sums]), pa.array([k[1] for k in self.sums]), packed(self.sums.values())], ["source", "key", "v"])
-            self.sums = {}
+        """What is held, when it is more than ``most`` rows."""
+        if sum(map(len, self.rows.values())) > most:
+            for source, rows in self.rows.items():
+                yield pa.record_batch([pa.array([source] * len(rows)), pa.array(list(rows)), packed(self.sums[source][: len(rows)])], ["source", "key", "v"])
+            self.rows, self.sums = {}, {}
 
 
 def added(rows: DataFrame) -> DataFrame:
@@ -151,11 +158,20 @@ def added(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = Sums(), None
         for batch in batches:
-            for source, key, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (source, key) != last:
+            sources = batch.column(0).to_pylist()
+            at = 0
+            while at < len(sources):
+                end = min(at + 1024, len(sources))
+                while sources[end - 1] != sources[at]:
+                    end -= 1  # rows are sorted, and vectors of one source have one length
+                keys, x = batch.column(1).slice(at, end - at).to_pylist(), unpacked(batch.column(2).slice(at, end - at))
+                first = np.array([i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]])
+                # Keys stand together, so all but one that goes on from the rows before are new.
+                if (sources[at], keys[0]) != last:
                     yield from held.over(HELD)
-                held.add(source, [key], np.frombuffer(v)[None].copy())
-                last = source, key
+                held.add(sources[at], [keys[i] for i in first], np.add.reduceat(x, first, axis=0))
+                last = sources[at], keys[-1]
+                at = end
         yield from held.over(0)
 
     return rows.repartition("source", "key").sortWithinPartitions("source", "key").mapInArrow(run, SUMS)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions.text import jaccard, tokenize
+from ..session import settle
 
 # Weights of the features.
 WEIGHTS = {"coverage": 0.34, "proximity": 0.16, "phrase": 0.14, "identifier": 0.18, "position": 0.08, "version": 0.10}
@@ -18,6 +19,11 @@ def pair_up(tokens: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda x: x))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pool_idf(candidates: DataFrame) -> DataFrame:
     """RRK-1: (qid, idf map) over each question's candidates, for the question's terms that any of them has."""
     met = candidates.select("qid", F.explode(F.array_intersect("q_unique", "tokens")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("df"))
@@ -35,15 +41,17 @@ def features(candidates: DataFrame) -> DataFrame:
     found = F.array_intersect("q_unique", "tokens")
     n = F.size("tokens")
     first = F.transform(found, lambda t: F.array_position("tokens", t) - 1)
-    last = F.transform(found, lambda t: n - F.array_position(F.reverse("tokens"), t))
+    last = let(F.reverse("tokens"), lambda back: F.transform(found, lambda t: n - F.array_position(back, t)))
     span = F.array_max(last) - F.array_min(first) + 1
     bigrams = pair_up(F.col("q_tokens"))
+    # Tokens have no spaces, so a pair of neighbours is a part of the joined text.
+    spaced = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
     hits = F.size(F.filter("entities", lambda e: F.contains(F.lower("text"), F.lower(e))))
     major = lambda c: F.split(F.col(c), r"\.")[0]
     rows = (
         rows.withColumn("coverage", F.when(total(F.col("q_unique")) > 0, total(found) / total(F.col("q_unique"))).otherwise(0.0))
         .withColumn("proximity", F.when(F.size(found) == 0, 0.0).when(F.size(found) == 1, 1.0).otherwise(F.least(F.lit(1.0), F.size(found) / F.greatest(span, F.size(found)))))
-        .withColumn("phrase", F.when(F.size("q_tokens") < 2, 0.0).otherwise(F.size(F.array_intersect(bigrams, pair_up(F.col("tokens")))) / F.size(bigrams)))
+        .withColumn("phrase", F.when(F.size("q_tokens") < 2, 0.0).otherwise(F.size(let(spaced, lambda whole: F.filter(bigrams, lambda b: F.contains(whole, F.concat(F.lit(" "), b, F.lit(" ")))))) / F.size(bigrams)))
         .withColumn("identifier", F.when(F.size("entities") == 0, 0.0).otherwise(hits / F.size("entities")))
         .withColumn("position", F.when(F.size(found) == 0, 0.0).otherwise(1 - F.array_min(first) / n))
         .withColumn("version_match", F.when(F.col("version_mentioned").isNull() | F.col("version_own").isNull(), 0.5).when(major("version_mentioned") != major("version_own"), 0.0).when(F.col("version_mentioned") == F.col("version_own"), 1.0).otherwise(0.75))
@@ -132,7 +140,8 @@ def rerank(candidates: DataFrame, config: EngineConfig, scorer=None) -> tuple[Da
     if scorer is None and config.get("rerank.backend") not in BACKENDS:
         raise ValueError(f"unknown rerank backend {config.get('rerank.backend')!r}")
     scored = (scorer or features)(candidates.where(F.col("rank_before") <= config.get("rerank.rerank_top_n")))
-    blended = blend(scored, config.get("rerank.alpha"))
+    # Written once: selection and statistics read it three times.
+    blended = settle(blend(scored, config.get("rerank.alpha")))
     final = select(blended, config).withColumn("rank_delta", F.col("rank_before") - F.col("rank_after"))
     return final, statistics(blended, config)
 

@@ -54,6 +54,11 @@ def stage(make: Callable) -> Callable:
     return get
 
 
+def forget() -> None:
+    """Drop the stages' tables, so that the next query computes them anew (timings)."""
+    _made.clear()
+
+
 def pick(options: tuple, number) -> F.Column:
     return F.array(*[F.lit(x) for x in options])[number.cast("int")]
 
