@@ -84,6 +84,9 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     kept = one_of_each(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "node", "component"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [4, None, None]
+    several = [(9, f"{text} {k}", k, "x") for k in range(6)]
+    once = [one_of_each(spark.createDataFrame(several[k:] + several[:k], SCHEMA).repartition(k + 1)).collect() for k in range(3)]
+    assert once[0] == once[1] == once[2] and len(once[0]) == 1 and tuple(once[0][0]) in several
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).count() == 0 and one_of_each(empty).count() == 0
 

@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, the one with the smallest id; of rows that repeat an id one stays, rows with a null id all stay.
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest id; of rows that repeat an id the one with the smallest hash of its columns stays, rows with a null id all stay.
 
     Only ids that go or repeat are joined to the texts, so the texts are not shuffled while those are few.
     """
@@ -194,6 +194,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = docs.join(marks, F.col(id_col) == F.col("_marked"), "left").where("_gone is null or _gone = 0")
     if marks.where("_rows > 1").isEmpty():
         return rest.drop("_marked", "_gone", "_rows")
-    once = rest.where("_rows is null")
-    repeated = rest.where("_rows > 1").dropDuplicates(["_marked"])
-    return once.unionByName(repeated).drop("_marked", "_gone", "_rows")
+    once = rest.where("_rows is null").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    repeated = rest.where("_rows > 1").groupBy("_marked").agg(F.min_by(row, F.sha1(F.to_json(row))).alias("_row"))
+    return once.unionByName(repeated.select("_row.*"))
