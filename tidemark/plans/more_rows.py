@@ -40,13 +40,13 @@ def text_forms(spark, sf_dir):
 
 
 def text_values(spark, sf_dir):
-    """Sizes, greetings, dates, versions, likeness and free names."""
+    """Sizes, greetings, dates, versions, likeness and free names (for the digits of the text's hash, which repeat)."""
     d = documents(spark, sf_dir)
     i = F.col("doc_id")
     size = F.when(i % 7 == 0, F.lit("no size")).otherwise(F.concat((i * 37 % 2000).cast("string"), F.when(i % 2 == 0, F.lit(".5 ")).otherwise(F.lit(",000")), pick(UNITS, i % len(UNITS))))
     tokens = tx.tokenize(F.col("text"))
     first = tx.tokenize(F.coalesce(F.try_element_at(tx.sentences(F.col("text")), F.lit(1)), F.lit("")))
-    letters = F.transform(F.slice(tokens, 1, 30), lambda t: F.substring(t, 1, 1))
+    letters = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda at: F.substring(F.md5("text"), at, F.lit(1)))
     parts = F.array_join(F.transform(tx.version_parts(pick(VERSIONS, i % len(VERSIONS))), lambda p: p.cast("string")), "|")
     return d.select(
         "doc_id", tx.size_in_bytes(size).alias("bytes"), tx.is_small_talk(pick(GREETINGS, i % len(GREETINGS))).alias("greeting"), tx.iso_date(pick(DATES, i % len(DATES))).cast("string").alias("day"), parts.alias("parts"),

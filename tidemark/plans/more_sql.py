@@ -86,7 +86,7 @@ POSTS = (
 ORACLES: dict[str, str] = {
     "text_forms": f"WITH {D}, m AS (SELECT doc_id, text, {_marks} AS m FROM d) SELECT doc_id, md5({unquoted(f"('> said' || {N} || text || {N} || {N} || {N} || {N} || '> more' || {N} || 'end')")}) AS unquoted, md5({plain(f"('## Head' || {N} || text || ' ```code' || {N} || 'block``` and `inline` end')")}) AS plain, array_to_string(list_transform(m, lambda x, i: CASE WHEN x = 1 OR coalesce(list_sum(list_slice(m, 1, i - 1)), 0) % 2 = 1 THEN '1' ELSE '0' END), '') AS fenced FROM m",
     "text_values": (
-        f"WITH {D}, {S}, t AS (SELECT doc_id, {_bytes} AS bytes, round(list_cosine_similarity({_hex('text')}, {_hex('source')}), 6) AS cosine, {options(GREETINGS, f'doc_id % {len(GREETINGS)}')} AS g, {options(DATES, f'doc_id % {len(DATES)}')} AS x, {options(VERSIONS, f'doc_id % {len(VERSIONS)}')} AS v, {tokens_sql('text')} AS t, {tokens_sql("coalesce(s[1], '')")} AS f FROM s), l AS (SELECT *, list_transform(list_slice(t, 1, 30), lambda z: left(z, 1)) AS l FROM t) "
+        f"WITH {D}, {S}, t AS (SELECT doc_id, {_bytes} AS bytes, round(list_cosine_similarity({_hex('text')}, {_hex('source')}), 6) AS cosine, {options(GREETINGS, f'doc_id % {len(GREETINGS)}')} AS g, {options(DATES, f'doc_id % {len(DATES)}')} AS x, {options(VERSIONS, f'doc_id % {len(VERSIONS)}')} AS v, {tokens_sql('text')} AS t, {tokens_sql("coalesce(s[1], '')")} AS f, md5(text) AS h FROM s), l AS (SELECT *, list_transform(range(1, 33), lambda z: substr(h, z, 1)) AS l FROM t) "
         f"SELECT doc_id, bytes, cosine, len({_greeting}) BETWEEN 1 AND 6 AND len(list_filter({_greeting}, lambda w: NOT list_contains({_small}, w))) = 0 AS greeting, CAST(CASE WHEN regexp_matches(left(x, 10), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN TRY_CAST(left(x, 10) AS DATE) END AS VARCHAR) AS day, array_to_string(list_transform(list_filter(string_split(coalesce(v, '0'), '.'), lambda p: regexp_matches(p, '^[0-9]+$')), lambda p: CAST(CAST(p AS INTEGER) AS VARCHAR)), '|') AS parts, "
         f"round({_sets('list_distinct(t)', 'list_distinct(f)')}, 6) AS likeness, array_to_string(list_transform(l, lambda z, i: z || CASE WHEN len(list_filter(list_slice(l, 1, i), lambda y: y = z)) > 1 THEN '-' || len(list_filter(list_slice(l, 1, i), lambda y: y = z)) ELSE '' END), '|') AS names FROM l"
     ),
