@@ -3,7 +3,8 @@
 Every paragraph gives points for its length and commas, less for its share of link
 text, to its ancestors, less with each level. The container with the most points and its
 siblings that read like it are kept, without menus, forms, adverts, notices and
-readers' comments. Names of classes alone leave out nothing that may be text.
+readers' comments. A class or id made of an everyday word (discussion, side, menu) leaves
+out nothing that reads as text: only links, or words without a sentence.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 #: Elements whose content is never part of the text.
-LEFT_OUT = frozenset("script style title textarea iframe noembed noframes head noscript template nav footer aside form button select datalist object svg canvas video audio menu dialog search math".split())
+LEFT_OUT = frozenset("script style title textarea iframe noembed noframes head noscript template nav footer aside form button select datalist object svg canvas video audio menu dialog annotation annotation-xml".split())
 #: An opening tag closes open elements of these names, up to one of the second set.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -41,6 +42,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NOT_TEXT = frozenset("ad ads adv adbox adslot banner nav menu masthead footer side rail widget consent gdpr notice notices notification alert modal overlay signup login respond replies discussion share related recommended pagination pager toolbar form search copyright skip outbrain taboola trending popular paywall toc tags".split())
 NOT_TEXT_STARTS = ("sponsor", "promo", "cookie", "subscri", "navigation", "popup", "social", "sharing", "recommend")
 BESIDE = frozenset("area articles bar block body bottom box btn button buttons by card cards center column container content count field group head heading header holder icon icons inline inner item items js label large left link links list main mini module more now page panel post posts reader readers right row section site slot small stories sticky text this to tool tools top unit us user users view widgets with wrap wrapper you your zone".split())
+#: Words of NOT_TEXT that articles use too: alone, or with words of structure, they leave out only what does not read as text.
+EVERYDAY = frozenset("side menu rail widget discussion related recommended search form copyright popular trending toc tags paywall".split())
+STRUCTURE = frozenset("area article block body container content heading inner main page section text wrap wrapper".split())
+#: What ends a sentence, and how long text without it must be to read as text.
+STOPS, SENTENCE, PROSE = (".", "!", "?", "\u2026", "\u3002", ":", '."', ".\u201d"), 15, 60
 #: Beginnings that cast no doubt, but for the words in the second list.
 UNMISTAKABLE = ("comment", "sidebar", "advert", "newsletter", "breadcrumb", "navbar", "navmenu", "disqus", "sitefooter", "siteheader", "sitenav")
 MISTAKABLE = ("commentar", "advertent")
@@ -60,12 +66,12 @@ WANTED = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden", "it
 class Node:
     """An element at block level; ``parts`` holds text pieces as (text, in a link) and nodes, in page order."""
 
-    __slots__ = ("name", "label", "parent", "parts", "other", "doubt", "positive", "points", "size", "linked", "links", "marks", "holds")
+    __slots__ = ("name", "label", "parent", "parts", "other", "doubt", "weak", "positive", "points", "size", "linked", "links", "marks", "holds")
 
     def __init__(self, name: str, parent: Node | None, label: str = ""):
         self.name, self.label, self.parent = name, label, parent
         self.parts: list = []
-        self.other = self.doubt = self.positive = False
+        self.other = self.doubt = self.weak = self.positive = False
         self.points = 0.0
         self.size = self.linked = self.links = self.marks = 0
         self.holds = False
@@ -80,6 +86,11 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
+def is_everyday(words: list[str]) -> bool:
+    """Whether a label is an everyday word of NOT_TEXT, alone or with words of structure."""
+    return any(w in EVERYDAY for w in words) and all(w in EVERYDAY or w in STRUCTURE or w.isdigit() for w in words)
+
+
 def names_other(words: list[str]) -> bool | None:
     """Whether a label's words name something else than text; None where they may."""
     if any(w.startswith(UNMISTAKABLE) and not w.startswith(MISTAKABLE) for w in [*words, "".join(words)]):
@@ -90,23 +101,28 @@ def names_other(words: list[str]) -> bool | None:
     return True if all(h or w in BESIDE or w.isdigit() for h, w in zip(hit, words, strict=True)) else None
 
 
-def kind_of(name: str, has: dict[str, str], in_text: bool) -> tuple[bool, bool, bool]:
-    """(names something else than text, may do so, names text) by role, visibility, class and id."""
+def kind_of(name: str, has: dict[str, str], in_text: bool) -> tuple[bool, bool, bool, bool]:
+    """(names something else than text, may do so, does so unless it reads as text, names text) by role, visibility, class and id."""
     if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I):
-        return True, False, False
+        return True, False, False, False
     if has.get("role", "").lower() in ROLES:
-        return True, False, False
-    other = doubt = positive = False
+        return True, False, False, False
+    other = doubt = weak = positive = False
+    # Where nothing marks the article, such a name on a mere box still says more than its text.
+    may_read = in_text or name not in ("div", "ul", "ol", "table", "td")
     for label in f"{has.get('class', '')} {has.get('id', '')}".split():
         words = [w.lower() for w in WORDS.findall(label)]
         if words and words[0] in NEGATED:
             continue
         positive |= any(w in TEXT for w in words)
+        if may_read and is_everyday(words):
+            weak = True
+            continue
         named = names_other(words)
         other |= named is True
         doubt |= named is None
         other |= words in (["header"], ["page", "header"], ["top", "header"], ["site", "header"]) and not in_text
-    return other, doubt and not other, positive or "articlebody" in has.get("itemprop", "").lower()
+    return other, doubt and not other, weak and not other, positive or "articlebody" in has.get("itemprop", "").lower()
 
 
 def tag_end(html: str, at: int) -> int:
@@ -214,13 +230,13 @@ def parse(html: str, left_out: frozenset[str]) -> Node:
             at = html.find(">", close.start()) + 1 or n
             continue
         has = attributes(source) if "=" in source or "hidden" in source else {}
-        other, doubt, positive = kind_of(name, has, holders > 0) if has else (False, False, False)
+        other, doubt, weak, positive = kind_of(name, has, holders > 0) if has else (False, False, False, False)
         if name == "header" and not holders:
             dropped = True
         dropped = dropped or name in left_out
         if name in BLOCK:
             node = Node(name, above, has.get("class", ""))
-            node.positive, node.doubt = positive, doubt
+            node.positive, node.doubt, node.weak = positive, doubt, weak
             node.other = other and name not in ("html", "body")
             above.parts.append(node)
             if name == "hr":
@@ -268,9 +284,32 @@ def nodes_of(root: Node) -> list[Node]:
     return found
 
 
+def judge_weak(every: list[Node]) -> None:
+    """Nodes with an everyday name are other things if they do not read as text: links for the most part, or without a sentence."""
+    if not any(node.weak for node in every):
+        return
+    sizes: dict[int, list] = {}  # characters, those in links, whether something reads as a sentence
+    for node in reversed(every):
+        own = sizes.setdefault(id(node), [0, 0, False])
+        for run in pieces(node):
+            line = flat(run)
+            linked = min(len(line), sum(len(t) for t, link in run if link))
+            own[0] += len(line)
+            own[1] += linked
+            said = len(line) >= PROSE or len(line) >= SENTENCE and line.endswith(STOPS)
+            own[2] |= said and 2 * linked < len(line) and not (len(line) < 3 * PROSE and RIGHTS.search(line))
+        if node.weak:
+            reads = own[2] and 2 * own[1] < own[0]
+            node.other, node.doubt = node.other or not reads, node.doubt or reads
+        if node.parent is not None:
+            above = sizes.setdefault(id(node.parent), [0, 0, False])
+            above[0], above[1], above[2] = above[0] + own[0], above[1] + own[1], above[2] or own[2]
+
+
 def score(root: Node) -> list[Node]:
     """Fill in sizes and points; returns the nodes that count, without those that name something else and hold no article of their own."""
     every = nodes_of(root)
+    judge_weak(every)
     for node in reversed(every):
         node.holds = node.holds or (node.name in HOLDERS or node.name == "h1") and not node.other
         if node.parent is not None and node.holds and not node.other:
@@ -413,7 +452,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A paragraph's points go to LEVELS ancestors. What a class or id names is left out
     where the name is unmistakable (comments, share-buttons); a name that may be text
-    (side-effects, form-of-government) only discounts points.
+    (side-effects, form-of-government) only discounts points, and so does one of an
+    everyday word (discussion, search-section, side) whose element reads as text: a
+    sentence, or a long paragraph, and links for less than half. Outside article and main
+    a div or list of such a name is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
