@@ -3,6 +3,9 @@
 Stages take and return documents (doc_id, text, lang, source, n_chars); the last one
 adds size, source_size, target and taken. Every stage's result is written as Parquet
 to the shared folder and read again, so a lost executor never costs an earlier stage.
+
+In every stage a null text counts as empty, texts are read whole, other columns are
+carried along whatever their names, and a table without rows gives one without rows.
 """
 
 from __future__ import annotations
@@ -21,28 +24,28 @@ from tidemark.session import shared_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the passage search rejects go. It learns from the labelled rows of ``docs``."""
+    """Documents that the passage search rejects go. It learns from the labelled rows of ``docs``; without such rows of both classes none go. Null ids, and null and empty texts, are scored like others; repeated rows alike."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.80 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.80 or more. It is the one with the smallest id; null ids, and texts without words, stay; of rows that repeat an id one stays."""
     return one_of_each(docs, similar=80, symbols=40, chunks=10)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go, with all rows of their id; null ids stay. An empty benchmark takes none."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced; every document stays, n_chars is counted anew."""
+    """Secrets in the texts are replaced; every document stays, n_chars is counted anew (null for a null text)."""
     found = redact(docs)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in found.columns else found
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix of sources takes words of, with the words taken."""
+    """The documents that the mix of sources takes words of, with the words taken. Documents without words go; null sources are one source, null ids one document's."""
     return mixed(docs)
 
 
