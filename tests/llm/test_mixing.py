@@ -82,6 +82,40 @@ def test_odd_tables(spark):
     assert [(x.size, x.source_size, x.target, x.taken) for x in silent] == [(0, 0, 0.0, 0)]
 
 
+def test_no_shard_has_a_whole_source(spark, monkeypatch):
+    """Empty texts are in no shard; null ids, repeated ids and copies are spread over the shards, and copies over the tasks that number them."""
+    monkeypatch.setattr(module, "SHARD_TOKENS", 1 << 8)
+    monkeypatch.setattr(module, "EQUAL_ROWS", 64)
+    parts = [spark.range(4000).selectExpr("id as doc_id", "'' as text"), spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('w', id) as text"), spark.range(4000).selectExpr("7 as doc_id", "'w' as text")]
+    frame = parts[0].union(parts[1]).union(parts[2]).withColumn("source", F.lit("s"))
+    seen = {}
+
+    def quotas(shards, real=module.shard_quotas):
+        seen["shards"] = [r.shard_size for r in shards.collect()]
+        return real(shards)
+
+    monkeypatch.setattr(module, "shard_quotas", quotas)
+    got = mix(frame).collect()
+    assert len(got) == 12000 and sum(r.taken for r in got) == 8000 and {r.taken for r in got if not r.size} == {0}
+    assert len(seen["shards"]) > 25 and max(seen["shards"]) < 450
+    sized = frame.selectExpr("source as key", "doc_id as id", "size(split(text, ' ')) * int(text <> '') as size", "xxhash64(text) as tag")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = module.numbered(sized.where("id = 7")).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in tasks) == 4000 and max(r["count"] for r in tasks) < 3000
+    assert sorted(r.copy for r in module.numbered(sized.where("id = 7")).collect()) == list(range(4000))
+    again = sorted((r.taken, r.size, str(r.doc_id)) for r in mix(frame.repartition(9)).collect())
+    assert again == sorted((r.taken, r.size, str(r.doc_id)) for r in got)
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "w " * 50, "ab"[i % 2], 1, 2, 3, 4) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, mixed int, mix int, `_mix` int, taken int")
+    kept = mixed(frame)
+    assert kept.columns == ["doc_id", "text", "source", "mixed", "mix", "_mix", "size", "source_size", "target", "taken"]
+    assert all((r.mixed, r.mix, r._mix) == (1, 2, 3) and r.taken <= 150 for r in kept.collect())
+
+
 def test_groups_of_shards_and_seeded_blocks(spark, monkeypatch):
     """Many small shards in groups: sources still meet their targets, and blocks are not the first of an order."""
     monkeypatch.setattr(module, "SHARD_TOKENS", 640)

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from ..session import Scratch, settle
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, with underscores in front while a column of ``rows`` has it."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); the component is its smallest node.
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle, stored
 from .arrays import Shingler, components_of, mix, odd_numbers, set_print, text_slices
-from .graph import by_group, connected_components, hub_groups, in_blocks, with_group
+from .graph import by_group, connected_components, free_name, hub_groups, in_blocks, with_group
 
 SYMBOLS, CHUNKS = 28, 7
 #: Rows of a group that meet another block's rows in one task; a task holds two blocks.
@@ -189,12 +189,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only ids that go or repeat are joined to the texts, so the texts are not shuffled while those are few.
     """
     found = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
-    marks = found.groupBy(F.col(id_col).alias("_marked")).agg(F.max(F.when(F.col("kept"), 0).otherwise(1)).alias("_gone"), F.count("*").alias("_rows"))
-    marks = stored(marks.where("_gone = 1 or _rows > 1"))
-    rest = docs.join(marks, F.col(id_col) == F.col("_marked"), "left").where("_gone is null or _gone = 0")
-    if marks.where("_rows > 1").isEmpty():
-        return rest.drop("_marked", "_gone", "_rows")
-    once = rest.where("_rows is null").select(*docs.columns)
-    row = F.struct(*docs.columns)
-    repeated = rest.where("_rows > 1").groupBy("_marked").agg(F.min_by(row, F.sha1(F.to_json(row))).alias("_row"))
-    return once.unionByName(repeated.select("_row.*"))
+    mark, gone, rows, row = (free_name(docs, n) for n in ("marked", "gone", "rows", "row"))
+    marks = found.groupBy(F.col(id_col).alias(mark)).agg(F.max(F.when(F.col("kept"), 0).otherwise(1)).alias(gone), F.count("*").alias(rows))
+    marks = stored(marks.where(f"{gone} = 1 or {rows} > 1"))
+    names = [f"`{c}`" for c in docs.columns]
+    rest = docs.join(marks, F.col(f"`{id_col}`") == F.col(mark), "left").where(f"{gone} is null or {gone} = 0")
+    if marks.where(f"{rows} > 1").isEmpty():
+        return rest.select(*names)
+    once = rest.where(f"{rows} is null").select(*names)
+    whole = F.struct(*names)
+    repeated = rest.where(f"{rows} > 1").groupBy(mark).agg(F.min_by(whole, F.sha1(F.to_json(whole))).alias(row))
+    return once.unionByName(repeated.select(f"{row}.*"))

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import settle
+from .graph import free_name
 
 BLOCK_TOKENS = 64
+#: Equal rows that a task numbers; more go to several tasks.
+EQUAL_ROWS = 4096
 #: Tokens of a shard, and the shards of a group; a source's blocks go to its groups first, then to their shards.
 SHARD_TOKENS, GROUP_SHARDS = 1 << 17, 4096
 #: A prime: block numbers are put in a seeded order by a * number + c modulo it.
@@ -151,6 +154,16 @@ def chosen_words(before: Column, size: Column, block: int) -> Column:
     return F.when((size == 0) | (F.col("limit") < 0), F.lit(0).cast("long")).otherwise(F.aggregate(numbers, F.lit(0).cast("long"), lambda total, n: total + words(n)))
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """The rows that have words, equal ones (key, id, tag, size) numbered by ``copy`` (0, 1, ...). Equal rows are counted first, so no task meets them all."""
+    groups = sized.where("size > 0").groupBy("key", "id", "tag", "size").agg(F.count("*").alias("n"))
+    groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EQUAL_ROWS))))
+    # The rows of a part are made where the part is dealt to.
+    first = F.col("part") * EQUAL_ROWS
+    copy = F.explode(F.sequence(first, F.least(F.col("n"), first + EQUAL_ROWS) - 1)).alias("copy")
+    return groups.repartition("key", "id", "tag", "part").select("key", "id", "tag", "size", copy)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target and taken.
 
@@ -161,13 +174,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     stand in an order given by a hash of the id and the seed and are cut into blocks; the
     blocks taken are chosen by the seed, all of them over and over where the quota is
     larger than the shard, at most three times. taken counts a row's words in them.
-    Reruns agree. Texts are counted whole, however long. Repeated rows each count; rows
-    that are equal in id and size may swap. No rows give no rows.
+    Reruns agree. Texts are counted whole, however long. Rows are dealt to shards by a
+    hash of id, text and number among equal rows, so neither null nor repeated ids, nor
+    copies, come together; rows without words take part in no shard. Repeated rows each
+    count; equal ones may swap. Null ids are kept. No rows give no rows. Other columns
+    are ignored.
     """
     sized = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.concat(F.when(F.col(source_col).isNull(), "n").otherwise("a"), F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("key"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("tag"),
     )
     sized = settle(sized)
     sources = global_rank(sized.groupBy("key").agg(F.sum("size").alias("source_size")), "key")
@@ -178,20 +195,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = sources.withColumn("target", F.least(REPEATS * F.col("source_size").cast("double"), F.lit(level) * F.col("weight")))
     sources = settle(source_quotas(settle(sources), round(total / block), float(total), count))
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_TOKENS))
-    dealt = sized.join(sources.select("key", "source_size", "target", "quota"), "key")
-    dealt = settle(dealt.withColumn("turn", F.xxhash64("id", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed + 1)), n_shards).cast("long")))
+    named = sources.select("key", "source_size", "target", "quota")
+    identity = ("id", "tag", "copy")
+    dealt = numbered(sized).join(named, "key")
+    dealt = settle(dealt.withColumn("turn", F.xxhash64(*identity, F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64(*identity, F.lit(seed + 1)), n_shards).cast("long")))
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     placed = dealt.drop("quota").join(block_choice(shard_quotas(shards), block, seed), ["key", "shard"])
-    order = Window.partitionBy("key", "shard").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key", "shard").orderBy("turn", *identity, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     taken = F.col("passes") * F.col("size") + chosen_words(F.col("before"), F.col("size"), block)
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    silent = sized.where("size = 0").join(named, "key").withColumn("taken", F.lit(0).cast("long"))
+    out = ("size", "source_size", "target", "taken")
+    return placed.withColumn("taken", taken.cast("long")).select(F.col("id").alias(id_col), *out).unionByName(silent.select(F.col("id").alias(id_col), *out))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes words of, with size, source_size, target and taken. Rows with equal ids have the same numbers, those of one of them."""
+    """The rows of ``docs`` that the mix takes words of, with size, source_size, target and taken, in place of columns of those names. Rows with equal ids have the same numbers, those of the one with the most taken; columns of any other names stay."""
     found = mix(docs, id_col, text_col, source_col, **options)
-    found = found.groupBy(F.col(id_col).alias("_mixed")).agg(F.max(F.struct("taken", "size", "source_size", "target")).alias("_mix"))
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_mixed"))).where("_mix.taken > 0")
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return rows.select(*names, "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+    key, numbers = free_name(docs, "mixed"), free_name(docs, "mix")
+    found = found.where("taken > 0").groupBy(F.col(id_col).alias(key)).agg(F.max(F.struct("taken", "size", "source_size", "target")).alias(numbers))
+    rows = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(key)))
+    names = [f"`{c}`" for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return rows.select(*names, *[f"{numbers}.{c}" for c in ("size", "source_size", "target", "taken")])
