@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCALE = 64
-#: A row takes part only if its squared length is below this, so every inner product fits a long.
-MOST_SQUARED = float(1 << 62)
+#: With a squared length below this every inner product fits a long.
+PRODUCTS_FIT = 2.0**62
+#: With a squared length below this every component is a whole number that a double holds.
+COMPONENTS_FIT = 2.0**104
 
 
-def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, below: float = PRODUCTS_FIT) -> DataFrame:
     """(node, x, width): x holds floor(64 * c) of every component as 8-byte integers.
 
-    x is null where a vector is null, holds a null or non-finite component, or is so
-    long that inner products need not fit a long (squared length of 2^62 or more). An
-    empty vector has an x without bytes.
+    x is null where a vector is null, holds a null or non-finite component, or has a
+    squared length that is not ``below`` the bound. An empty vector has an x without bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,9 +33,9 @@ def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
             value = np.floor(SCALE * np.where(flat.is_null().to_numpy(zero_copy_only=False), np.nan, value))
             end = size.cumsum()
             with np.errstate(over="ignore", invalid="ignore"):
-                squared = np.concatenate([[0.0], np.cumsum(value * value)]) if not len(value) or np.isfinite(value).all() and (value * value).sum() < MOST_SQUARED else None
-                fits = there if squared is not None else there & np.array([bool((value[e - n : e] @ value[e - n : e]) < MOST_SQUARED) for e, n in zip(end, size, strict=True)], bool)
-            found = [value[e - n : e].astype(np.int64).tobytes() if ok else None for e, n, ok in zip(end, size, fits, strict=True)]
+                if not np.isfinite(total := float(value @ value)) or total >= below:
+                    there = there & np.array([bool(value[e - n : e] @ value[e - n : e] < below) for e, n in zip(end, size, strict=True)], bool)
+            found = [value[e - n : e].astype(np.int64).tobytes() if ok else None for e, n, ok in zip(end, size, there, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pa.array(size, pa.int32())], ["node", "x", "width"])
 
     source = vectors.select(F.col(id_col).cast("long").alias("node"), F.col(vector_col).alias("vector"))

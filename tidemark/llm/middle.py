@@ -1,7 +1,7 @@
 """Fill-in-the-middle by a distinct-text index.
 
-Identical texts are grouped by their SHA-256, and each group's contents are compared:
-its smallest and its largest text must be the same. Each distinct text is cut into
+Identical texts are grouped by their SHA-256, and each group's contents are compared: its
+set of texts must have one member. Each distinct text is cut into
 tokens once; the ends of its tokens (in code points) are kept as an Elias-Fano list. The
 index (digest, n, marked, ends) is joined back to the documents, each selects the two
 ends of its seeded cut from the list, and the cut meets the one stored text of its group,
@@ -137,8 +137,8 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = settle(own)
     many = own.groupBy("digest").agg(F.count("*").alias("asks"), F.sum("rows").alias("copies"))
     many = settle(many.where(F.col("copies") > GROUP).select("digest", "copies"))
-    grouped = texts.groupBy("digest").agg(F.min("text").alias("text"), F.max("text").alias("last"), F.count("*").alias("copies"))
-    same = F.when(F.col("text") == F.col("last"), F.col("text")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
+    grouped = texts.groupBy("digest").agg(F.collect_set("text").alias("texts"), F.count("*").alias("copies"))
+    same = F.when(F.size("texts") == 1, F.element_at("texts", 1)).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
     distinct = grouped.select("digest", same.alias("text"), "copies")
     marked = F.lit(False)
     for mark in MARKS:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, stored
-from .lattice import matrix, whole_vectors
+from .lattice import COMPONENTS_FIT, matrix, whole_vectors
 
 OFFSET = 1_000_000
 #: Vectors that a partition takes into its summary at once.
@@ -112,9 +112,11 @@ class Model:
 
 def fit(vectors: DataFrame, width: int, most: int) -> Model | None:
     """The model of the distinct x of ``vectors``, verified by a second pass over them."""
+    if not width:
+        return None
     distinct = stored(spread(vectors.select("x").distinct()))
     found = summarised(distinct, width)
-    if found is None or not width:
+    if found is None:
         return None
     model = Model(found, most)
     there = np.flatnonzero(model.there)
@@ -136,13 +138,13 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     distinct vectors and the identity.
 
     Rows whose vector is null, holds a null or non-finite component, or has a squared
-    length (in 64ths) of 2^62 or more are dropped. A shorter vector counts as filled up
+    length (in 64ths) of 2^104 or more are dropped. A shorter vector counts as filled up
     with components of 0. A component without variance (fewer distinct vectors than
     dimensions, constant dimensions) has a null whitened and does not count for
     identity_error; a deviation that does not fit a long is null. Repeated rows and null
     ids keep their rows. No rows, or none with a component, give no rows.
     """
-    rows = stored(whole_vectors(vectors, id_col, vector_col).where("x is not null"))
+    rows = stored(whole_vectors(vectors, id_col, vector_col, COMPONENTS_FIT).where("x is not null"))
     width = rows.agg(F.coalesce(F.max("width"), F.lit(0))).first()[0]
     model = fit(rows, width, most)
     schema = f"{id_col} long, component int, n long, deviation long, whitened double, explained double, identity_error double"
