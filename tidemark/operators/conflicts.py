@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..config import EngineConfig
 from ..functions.text import iso_date, jaccard, size_in_bytes, strip, tokenize, version_parts
+from ..session import settle
 
 # Attributes with ordered patterns; the value is group 1 (None), its size in bytes ("bytes") or the constant. {brand} is the configured product name.
 CLAIMS: dict[str, tuple[tuple[str, str | None], ...]] = {
@@ -214,8 +215,9 @@ def topics_overlap() -> Column:
 
 def findings(final: DataFrame, config: EngineConfig) -> DataFrame:
     """CON-12, CON-16, CON-19: typed pairs of each question, the first max_pairs by confidence, those of two sources first."""
-    known = facts(final, config)
-    said = claims(known, config.get("brand"))
+    # Written once: both sides of the pairs, the observers and the gaps read them.
+    known = settle(facts(final, config))
+    said = settle(claims(known, config.get("brand")).drop("display_text", "display_tokens"))
     observers = known.where((F.col("source") == "forum") & F.col("observed")).groupBy("qid").agg(F.collect_set("doc").alias("observers"))
     pairs = sided(said, "a").join(sided(said.withColumnRenamed("attribute", "_attribute"), "b"), "qid").where("attribute_a = _attribute_b and rank_after_a < rank_after_b and value_a <> value_b")
     if config.get("contradiction.pair_selection.cross_source_only"):
@@ -227,7 +229,7 @@ def findings(final: DataFrame, config: EngineConfig) -> DataFrame:
     gaps = sided(known.where("source = 'docs'"), "a").join(sided(known.where("source <> 'docs' and undocumented and staff"), "b"), "qid").where(topics_overlap())
     met = typed.select("qid", F.explode(F.array(F.struct("chunk_id_a", "chunk_id_b"), F.struct(F.col("chunk_id_b").alias("chunk_id_a"), F.col("chunk_id_a").alias("chunk_id_b")))).alias("p")).select("qid", "p.*").distinct()
     gaps = gaps.join(met, ["qid", "chunk_id_a", "chunk_id_b"], "left_anti")
-    gaps = gaps.withColumns({"kind": F.struct(F.lit("docs_gap").alias("relationship"), F.lit(True).alias("reconcilable"), F.lit(0.82).alias("confidence")), "topic": F.lit(GAP), "claim_a": F.lit("documentation does not cover this"), "claim_b": F.substring("display_text_b", 1, 220), "_pass": F.lit(2)})
+    gaps = gaps.withColumns({"kind": F.struct(F.lit("docs_gap").alias("relationship"), F.lit(True).alias("reconcilable"), F.lit(0.82).alias("confidence")), "topic": F.lit(GAP), "claim_a": F.lit("documentation does not cover this"), "claim_b": F.substring("display_text_b", 1, 220), "_pass": F.lit(2)}).drop(*[f"display_{what}_{side}" for what in ("text", "tokens") for side in "ab"])
     both = typed.select(*gaps.columns).unionByName(gaps).select("*", "kind.*").drop("kind")
     order = Window.partitionBy("qid").orderBy(F.desc("confidence"), (F.col("source_a") == F.col("source_b")).cast("int"), "_pass", F.least("rank_after_a", "rank_after_b"), F.greatest("rank_after_a", "rank_after_b"), "topic")
     return both.withColumn("finding", F.row_number().over(order)).where(F.col("finding") <= config.get("contradiction.pair_selection.max_pairs")).drop("_pass").withColumn("detector", F.lit("rules"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .bounds import impact_blocks
+from .cells import Cells, build_cells
 from .lsa import lsa
 
 
@@ -95,6 +97,8 @@ class Index:
     vocabulary: DataFrame
     weights: DataFrame
     vectors: DataFrame | None
+    blocks: DataFrame | None = None
+    cells: Cells | None = None
 
     def get(self, chunk_id: str) -> DataFrame:
         """IDX-13."""
@@ -112,4 +116,12 @@ def build_index(chunks: DataFrame, config, keep=lambda df: df) -> Index:
     sources = keep(source_stats(chunks))
     weights = keep(tfidf(posts, sources, config.get("index.dense.min_df"), config.get("index.dense.sublinear_tf")))
     dense = config.get("index.dense.enabled")
-    return Index(chunks, posts, keep(doc_stats(chunks)), sources, keep(term_stats(posts, sources)), keep(vocabulary(posts)), weights, keep(lsa(weights, config.get("index.dense.dims"))) if dense else None)
+    vectors = keep(lsa(weights, config.get("index.dense.dims"))) if dense else None
+    blocks = keep(impact_blocks(posts, sources, config.get("index.bm25.k1"), config.get("index.bm25.b"))) if config.get("index.bm25.enabled") else None
+    return Index(chunks, posts, keep(doc_stats(chunks)), sources, keep(term_stats(posts, sources)), keep(vocabulary(posts)), weights, vectors, blocks, build_cells(chunk_vectors(chunks, vectors)) if dense else None)
+
+
+def chunk_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(source, chunk_id, doc_pos, x)."""
+    own = vectors.where("kind = 'chunk'").select("source", F.col("key").alias("chunk_id"), F.col("vector").alias("x"))
+    return own.join(chunks.select("chunk_id", "doc_pos"), "chunk_id").select("source", "chunk_id", "doc_pos", "x")

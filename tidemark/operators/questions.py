@@ -85,16 +85,17 @@ def product_area(query: Column, brand: str) -> Column:
     return F.when(best["n"] > 0, best["area"])
 
 
-def once(items: Column, key) -> Column:
-    """The first of each key, in order."""
-    return F.aggregate(items, F.array().cast("array<string>"), lambda done, t: F.when(F.exists(done, lambda d: key(d) == key(t)), done).otherwise(F.concat(done, F.array(t))))
+def once(items: Column, key, most: int | None = None) -> Column:
+    """The first of each key, in order; with ``most``, no more are looked for than that."""
+    full = lambda done: F.lit(False) if most is None else F.size(done) >= most
+    return F.aggregate(items, F.array().cast("array<string>"), lambda done, t: F.when(full(done), done).when(F.exists(done, lambda d: key(d) == key(t)), done).otherwise(F.concat(done, F.array(t))))
 
 
 def entities(query: Column, brand: str) -> Column:
     """QRY-4: tokens that look like identifiers, at most eight."""
     plain = F.array(*[F.lit(w.replace("{brand}", brand.lower())) for w in NO_ENTITIES])
     found = F.filter(F.regexp_extract_all(query, F.lit(r"[A-Za-z0-9][A-Za-z0-9._\-]*"), F.lit(0)), lambda t: ~F.array_contains(plain, F.lower(t)) & (t.rlike(r"^[0-9]+$") | t.rlike(r"[_.\-]") | t.rlike(r"^.+[A-Z]")))
-    return F.slice(once(found, F.lower), 1, 8)
+    return once(found, F.lower, 8)
 
 
 def expansions(query: Column, area: Column, most: int) -> Column:

@@ -92,20 +92,28 @@ def quota_pick(items: Column, k: int, per_source: int, per_document: int) -> Col
 
 
 def mmr_order(items: Column, k: int, weight: float) -> Column:
-    """RRK-14 on a sorted array of (final_score, display_tokens, ...): the first, then again and again the one with the best weight * score - (1 - weight) * largest similarity to those chosen; the first of equals. Positions from 0."""
-    none = F.array().cast("array<int>")
-    every = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(none)
+    """RRK-14 on a sorted array of (final_score, display_tokens, ...): the first, then again and again the one with the best weight * score - (1 - weight) * largest similarity to those chosen; the first of equals. Positions from 0.
+
+    The sets of words are made once, and the fold keeps each item's largest similarity so far, so a step compares each with the one chosen last.
+    """
+    sets = F.transform(items, lambda x: F.struct(x["final_score"].alias("final_score"), F.array_distinct(x["display_tokens"]).alias("words")))
+    return let(sets, lambda known: mmr_fold(known, k, weight))
+
+
+def mmr_fold(items: Column, k: int, weight: float) -> Column:
+    every = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
     if weight >= 1:
         return F.slice(every, 1, k)
-    set_of = lambda i: F.array_distinct(F.element_at(items, i + 1)["display_tokens"])
 
-    def add(chosen: Column, _: Column) -> Column:
-        value = lambda i: weight * F.element_at(items, i + 1)["final_score"] - (1 - weight) * F.coalesce(F.array_max(F.transform(chosen, lambda j: jaccard(set_of(i), set_of(j)))), F.lit(0.0))
-        left = F.filter(every, lambda i: ~F.array_contains(chosen, i))
-        best = F.array_max(F.transform(left, lambda i: F.struct(F.round(value(i), 12).alias("v"), (-i).alias("i"))))
-        return F.when(F.size(left) == 0, chosen).when(F.size(chosen) == 0, F.array(F.lit(0))).otherwise(F.concat(chosen, F.array(-best["i"])))
+    def add(state: Column, _: Column) -> Column:
+        last = F.element_at(items, F.element_at(state["chosen"], -1) + 1)["words"]
+        like = F.zip_with(state["like"], items, lambda m, x: F.greatest(m, jaccard(x["words"], last)))
+        value = lambda i, m: F.round(weight * F.element_at(items, i + 1)["final_score"] - (1 - weight) * m, 12)
+        left = F.filter(F.zip_with(every, like, lambda i, m: F.struct(value(i, m).alias("v"), (-i).alias("i"))), lambda x: ~F.array_contains(state["chosen"], -x["i"]))
+        return F.struct(F.concat(state["chosen"], F.array(-F.array_max(left)["i"])).alias("chosen"), like.alias("like"))
 
-    return F.aggregate(F.slice(every, 1, k), none, add)
+    start = F.struct(F.array(F.lit(0)).alias("chosen"), F.transform(items, lambda _: F.lit(0.0)).alias("like"))
+    return F.when(F.size(items) == 0, every).otherwise(F.aggregate(F.slice(every, 2, k - 1), start, add, lambda state: state["chosen"]))
 
 
 def select(blended: DataFrame, config: EngineConfig) -> DataFrame:

@@ -14,10 +14,14 @@ from pyspark.sql.window import Window
 from ..config import EngineConfig
 from ..functions.text import iso_date, tokenize
 from ..session import settle
+from .bounds import bounded_scores, pairs_asked
+from .cells import visited
 from .chunking import version_of
 from .index import Index, unit, weighted_sum
 
 SOURCES = ("docs", "forum", "blog")
+#: With more (question, posting) pairs than this, search leaves out postings by bounds; with fewer its steps cost more than the pairs. Results are the same.
+MOST_PAIRS = 1 << 25
 #: Bytes of question vectors that a task holds.
 QUESTION_BYTES = 32 << 20
 
@@ -48,6 +52,11 @@ def bm25(terms: DataFrame, posts: DataFrame, sources: DataFrame, stats: DataFram
     return ranked(hits, k).where("score > 0")
 
 
+def bm25_bounded(terms: DataFrame, posts: DataFrame, sources: DataFrame, stats: DataFrame, blocks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """RET-1 with upper bounds: what ``bm25`` gives, without scoring the postings that cannot matter."""
+    return ranked(bounded_scores(terms, posts, sources, stats, blocks, k, k1, b), k).where("score > 0")
+
+
 def question_vectors(terms: DataFrame, index: Index, sublinear: bool = True) -> DataFrame:
     """IDX-9: (qid, qi, source, q): each phrasing's unit coordinate in every source's space."""
     tf = 1 + F.log(F.col("qtf").cast("double")) if sublinear else F.col("qtf").cast("double")
@@ -57,7 +66,10 @@ def question_vectors(terms: DataFrame, index: Index, sublinear: bool = True) ->
 
 
 def dense(terms: DataFrame, index: Index, k: int, sublinear: bool = True) -> DataFrame:
-    """RET-2: cosine of each phrasing's coordinate with the chunks of every source, above 1e-6."""
+    """RET-2: cosine of each phrasing's coordinate with the chunks of every source, above 1e-6; by cells where the index has them."""
+    if index.cells is not None:
+        hits, _ = visited(settle(question_vectors(terms, index, sublinear)), index.cells, k)
+        return ranked(hits.withColumn("qid", F.col("qid").cast(terms.schema["qid"].dataType)), k)
     chunks = index.vectors.where("kind = 'chunk'").select("source", F.col("key").alias("chunk_id"), F.col("vector").alias("x")).join(index.chunks.select("chunk_id", "doc_pos"), "chunk_id")
     return nearest(settle(question_vectors(terms, index, sublinear)), chunks, k)
 
@@ -182,7 +194,12 @@ def search_lists(analysed: DataFrame, index: Index, config: EngineConfig) -> Dat
     k = config.get("retrieval.top_k_per_source")
     arms = []
     if config.get("index.bm25.enabled"):
-        arms.append(bm25(terms, index.postings, index.source_stats, index.term_stats, k, config.get("index.bm25.k1"), config.get("index.bm25.b")).withColumn("arm", F.lit("bm25")))
+        shape = (k, config.get("index.bm25.k1"), config.get("index.bm25.b"))
+        tables = (index.postings, index.source_stats, index.term_stats)
+        terms = settle(terms)
+        many = index.blocks is not None and pairs_asked(terms, index.blocks) > MOST_PAIRS
+        found = bm25_bounded(terms, *tables, index.blocks, *shape) if many else bm25(terms, *tables, *shape)
+        arms.append(found.withColumn("arm", F.lit("bm25")))
     if config.get("index.dense.enabled") and index.vectors is not None:
         arms.append(dense(terms, index, k, config.get("index.dense.sublinear_tf")).withColumn("arm", F.lit("dense")))
     return reduce(DataFrame.unionByName, arms)

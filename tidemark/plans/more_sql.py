@@ -83,6 +83,12 @@ POSTS = (
     "kept AS (SELECT a.*, q.q, coalesce(r.n, 0) AS n, coalesce(r.more, '') AS more FROM named a JOIN asked q USING (conv_id) LEFT JOIN replies r ON r.conv_id = a.conv_id AND r.parent = a.turn WHERE a.parent = 0 AND a.turn > 0 AND (a.accepted OR coalesce(a.role, '') = 'staff' OR a.votes >= 3))"
 )
 
+#: Folded questions and all their products, for vectors of terms and chunks that are given.
+DENSE = (
+        f"tv AS MATERIALIZED (SELECT source, term, {_hex('term')} AS v, 1 + length(term) / 10.0::DOUBLE AS idf FROM (SELECT DISTINCT source, term FROM posts)), cv AS MATERIALIZED (SELECT source, chunk_id, doc_id, {_hex('chunk_id')} AS x FROM ch), qv AS (SELECT qid, qi, source, d, sum((1 + ln(qtf)) * idf * v[d]) AS y FROM asked JOIN tv USING (term), (SELECT unnest(range(1, {DIMS + 1})) AS d) GROUP BY qid, qi, source, d), "
+        "qu_ AS MATERIALIZED (SELECT qid, qi, source, list(y ORDER BY d) AS q FROM qv GROUP BY qid, qi, source), sc AS (SELECT qid, qi, source, chunk_id, doc_id, list_inner_product(q, x) / greatest(sqrt(list_inner_product(q, q)), 1e-12) AS score FROM qu_ JOIN cv USING (source))"
+)
+
 ORACLES: dict[str, str] = {
     "text_forms": f"WITH {D}, m AS (SELECT doc_id, text, {_marks} AS m FROM d) SELECT doc_id, md5({unquoted(f"('> said' || {N} || text || {N} || {N} || {N} || {N} || '> more' || {N} || 'end')")}) AS unquoted, md5({plain(f"('## Head' || {N} || text || ' ```code' || {N} || 'block``` and `inline` end')")}) AS plain, array_to_string(list_transform(m, lambda x, i: CASE WHEN x = 1 OR coalesce(list_sum(list_slice(m, 1, i - 1)), 0) % 2 = 1 THEN '1' ELSE '0' END), '') AS fenced FROM m",
     "text_values": (
@@ -105,9 +111,5 @@ ORACLES: dict[str, str] = {
     "numbered_rows": f"WITH {D} SELECT doc_id, row_number() OVER (ORDER BY md5(text), doc_id) - 1 AS doc_pos FROM d",
     "chunk_dump": f"WITH {D}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(source || {N} || {N} || text, '\\s+'), lambda x: length(x) > 0) AS w FROM d), i AS (SELECT doc_id, w, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - 769) / 616.0) AS BIGINT)))) AS k FROM w) SELECT 'blog:' || doc_id || ':u' || k AS chunk_id, 'blog' AS source, 'blog:' || doc_id AS parent_id, 'uniform' AS chunker, md5(array_to_string(list_slice(w, k * 616 + 1, k * 616 + 769), ' ')) AS text_md5 FROM i",
     "trace_log": "SELECT 't' || lpad(CAST(item_id AS VARCHAR), 6, '0') AS trace_id, '2024-01-01T00:00:' || lpad(CAST(item_id % 60 AS VARCHAR), 2, '0') AS timestamp, 'About RETRIES' AS query FROM benchmark WHERE item_id % 2 = 0 ORDER BY timestamp DESC, trace_id DESC LIMIT 20",
-    "dense_lists": chain("asked", (
-        f", tv AS MATERIALIZED (SELECT source, term, {_hex('term')} AS v, 1 + length(term) / 10.0::DOUBLE AS idf FROM (SELECT DISTINCT source, term FROM posts)), cv AS MATERIALIZED (SELECT source, chunk_id, doc_id, {_hex('chunk_id')} AS x FROM ch), qv AS (SELECT qid, qi, source, d, sum((1 + ln(qtf)) * idf * v[d]) AS y FROM asked JOIN tv USING (term), (SELECT unnest(range(1, {DIMS + 1})) AS d) GROUP BY qid, qi, source, d), "
-        "qu_ AS MATERIALIZED (SELECT qid, qi, source, list(y ORDER BY d) AS q FROM qv GROUP BY qid, qi, source), sc AS (SELECT qid, qi, source, chunk_id, doc_id, list_inner_product(q, x) / greatest(sqrt(list_inner_product(q, q)), 1e-12) AS score FROM qu_ JOIN cv USING (source)) "
-        "SELECT qid, CAST(qi AS INTEGER) AS qi, source, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, qi, source ORDER BY round(score, 9) DESC, doc_id, chunk_id) AS rank FROM sc WHERE score > 1e-6) WHERE rank <= 10"
-    )),
+    "dense_lists": chain("asked", f", {DENSE} " "SELECT qid, CAST(qi AS INTEGER) AS qi, source, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, qi, source ORDER BY round(score, 9) DESC, doc_id, chunk_id) AS rank FROM sc WHERE score > 1e-6) WHERE rank <= 10"),
 }
