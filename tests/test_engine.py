@@ -139,18 +139,6 @@ def test_summary_and_conflict_scores(spark):
     assert {r.qid: (r.conflict_detected, r.false_positive_conflict) for r in conflict_metrics(found, made, gold).collect()} == {"x": (False, False), "y": (False, True), "z": (False, False)}
 
 
-def test_a_stage_of_ones_own_and_its_fallback(engine, spark):
-    def broken(final, config):
-        raise RuntimeError("no network")
-
-    from tidemark.operators.questions import analyse
-
-    other = Engine(engine.index, engine.config, analyser=lambda q, c: analyse(q, c).withColumn("intent", F.lit("opinion")), detector=broken)
-    with pytest.warns(UserWarning, match="no network"):
-        run = other.run(spark.createDataFrame([("q", "What is the maximum payload size?")], "qid string, query string"))
-    assert run.analysed.first().intent == "opinion" and run.resolutions.count() == 1
-
-
 def test_without_reranking_every_question_is_refused(engine, spark):
     from tidemark.config import VARIANTS
 

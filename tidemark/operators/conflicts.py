@@ -231,8 +231,25 @@ def findings(final: DataFrame, config: EngineConfig) -> DataFrame:
     gaps = gaps.join(met, ["qid", "chunk_id_a", "chunk_id_b"], "left_anti")
     gaps = gaps.withColumns({"kind": F.struct(F.lit("docs_gap").alias("relationship"), F.lit(True).alias("reconcilable"), F.lit(0.82).alias("confidence")), "topic": F.lit(GAP), "claim_a": F.lit("documentation does not cover this"), "claim_b": F.substring("display_text_b", 1, 220), "_pass": F.lit(2)}).drop(*[f"display_{what}_{side}" for what in ("text", "tokens") for side in "ab"])
     both = typed.select(*gaps.columns).unionByName(gaps).select("*", "kind.*").drop("kind")
+    return numbered(both, config, "rules")
+
+
+def numbered(both: DataFrame, config: EngineConfig, detector: str) -> DataFrame:
+    """CON-19: the first max_pairs of each question by confidence, those of two sources first."""
     order = Window.partitionBy("qid").orderBy(F.desc("confidence"), (F.col("source_a") == F.col("source_b")).cast("int"), "_pass", F.least("rank_after_a", "rank_after_b"), F.greatest("rank_after_a", "rank_after_b"), "topic")
-    return both.withColumn("finding", F.row_number().over(order)).where(F.col("finding") <= config.get("contradiction.pair_selection.max_pairs")).drop("_pass").withColumn("detector", F.lit("rules"))
+    return both.withColumn("finding", F.row_number().over(order)).where(F.col("finding") <= config.get("contradiction.pair_selection.max_pairs")).drop("_pass").withColumn("detector", F.lit(detector))
+
+
+#: What a hosted detector gives for a question (EXT-3).
+PAIRS = "chunk_id_a string, chunk_id_b string, topic string, relationship string, reconcilable boolean, confidence double, claim_a string, claim_b string"
+
+
+def hosted_findings(final: DataFrame, given: DataFrame, config: EngineConfig) -> DataFrame:
+    """``given`` (qid and PAIRS) as ``findings`` has it; pairs that name a chunk which the question does not have, or no known relationship, are left out."""
+    known = facts(final, config).drop("display_text", "display_tokens")
+    pairs = given.where(F.col("relationship").isin(*CONFLICTS, "complementary"))
+    both = pairs.join(sided(known, "a"), ["qid", "chunk_id_a"]).join(sided(known, "b"), ["qid", "chunk_id_b"]).withColumn("_pass", F.lit(1))
+    return numbered(both, config, "hosted")
 
 
 def relevant(analysed: DataFrame, found: DataFrame) -> DataFrame:

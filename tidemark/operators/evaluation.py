@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import random
+import math
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,13 +87,13 @@ def evaluate(gold: DataFrame, pool: DataFrame, final: DataFrame, found: DataFram
     return base
 
 
-def summary(scores: DataFrame) -> DataFrame:
-    """EVL-7: one row. Ranking means run over the questions that expect no refusal, a metric that is not there counting 0; displacement is the mean way, up or down, of the best relevant chunk where there is one; conflicts count where one is expected and none is wrong."""
+def summary(scores: DataFrame, *by: str) -> DataFrame:
+    """EVL-7: one row, or one for each value of ``by``. Ranking means run over the questions that expect no refusal, a metric that is not there counting 0; displacement is the mean way, up or down, of the best relevant chunk where there is one; conflicts count where one is expected and none is wrong."""
     scored = ~F.col("refusal_expected")
     expects = F.coalesce(F.col("conflict_expected"), F.lit("")) != ""
     mean = lambda c, when=F.lit(True), digits=4: F.coalesce(F.bround(F.avg(F.when(when, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), digits), F.lit(0.0)).alias(c)
     scores = scores.withColumn("moved", F.abs("gold_displacement"))
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         F.count("*").alias("questions"), F.count(F.when(scored, 1)).alias("ranked_questions"), *[mean(c, scored) for c in ("ndcg10", "recall5", "recall10", "recall20_pool", "mrr", "source_recall", "source_precision", "promoted_into_top3")],
         mean("moved", scored & F.col("moved").isNotNull(), 3).alias("gold_displacement"), mean("conflict_detected", expects & ~F.coalesce("false_positive_conflict", F.lit(False))), mean("false_positive_conflict"), mean("refusal_correct"), mean("contains_ok"), mean("excludes_ok"),
     )
@@ -117,13 +119,29 @@ def nearest_ranks(rows: DataFrame, group: list[str], value: str, percents: dict[
     return placed.groupBy(*group).agg(*[F.max(F.when(F.col("place") == at(p), F.col(value))).alias(name) for name, p in percents.items()])
 
 
-def bootstrap_ci(values: list[float], samples: int = 1000, seed: int = 42) -> tuple[float, float]:
-    """EVL-9: the 2.5 and 97.5 percent points of resampled means of a metric (one number a question, on the driver)."""
-    if not values:
-        return 0.0, 0.0
-    draw = random.Random(seed)
-    means = sorted(sum(draw.choice(values) for _ in values) / len(values) for _ in range(samples))
-    return means[int(samples * 0.025)], means[min(samples - 1, int(samples * 0.975))]
+#: Chances that a Poisson draw of mean 1 is at most 0, 1, ...; beyond the last lies less than one draw in 10^9.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
+
+
+def bootstrap_samples(values: DataFrame, metric: str, samples: int = 1000, seed: int = 42, by: tuple[str, ...] = (), key: str = "qid") -> DataFrame:
+    """(by, sample, mean): the means of ``samples`` resamples of a metric, in one aggregate. In each sample a row counts as often as a Poisson draw of mean 1 says, which a hash of (seed, sample, key) decides; a row needs no other row, so nothing is gathered. Nulls do not count."""
+    rows = values.where(F.col(metric).isNotNull()).select(*by, F.col(key).alias("_key"), F.col(metric).cast("double").alias("_value"))
+    drawn = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("sample").cast("string"), F.col("_key").cast("string"))), 1, 12)
+    chance = F.conv(digits, 16, 10).cast("double") / float(1 << 48)
+    weight = sum((chance >= p).cast("int") for p in POISSON)
+    sums = drawn.withColumn("_weight", weight).groupBy(*by, "sample").agg(F.sum("_weight").alias("n"), F.sum(F.col("_weight") * F.col("_value")).alias("total"))
+    return sums.where("n > 0").select(*by, "sample", (F.col("total") / F.col("n")).alias("mean"))
+
+
+def bootstrap_interval(values: DataFrame, metric: str, samples: int = 1000, seed: int = 42, by: tuple[str, ...] = (), key: str = "qid") -> DataFrame:
+    """EVL-9: (by, mean, low, high): the mean, and the means at 2.5 and 97.5 percent of the samples' sorted ones. No rows give no interval."""
+    means = bootstrap_samples(values, metric, samples, seed, by, key).groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("means"))  # as many as there are samples
+    n = F.size("means")
+    at = lambda p: F.try_element_at("means", F.least(n, F.floor(n * p).cast("int") + 1))
+    whole = values.groupBy(*by).agg(F.avg(F.col(metric).cast("double")).alias("mean"))
+    found = means.select(*by, at(0.025).alias("low"), at(0.975).alias("high"))
+    return whole.where("mean is not null").join(found, list(by)) if by else whole.where("mean is not null").crossJoin(F.broadcast(found))
 
 
 def traces(analysed: DataFrame, pool: DataFrame, hits: DataFrame, stats: DataFrame | None, final: DataFrame, found: DataFrame, resolutions: DataFrame, answers: DataFrame, config_name: str = "default") -> DataFrame:
@@ -164,9 +182,28 @@ def explain_trace(trace: dict) -> str:
     return "\n".join([*lines, "  refused" if trace.get("refused") else "", trace.get("answer_text") or ""])
 
 
-@contextmanager
-def timed(timings: dict[str, float], stage: str):
-    """TRC-3: milliseconds of a stage's action."""
-    began = time.perf_counter()
-    yield
-    timings[stage] = round((time.perf_counter() - began) * 1000, 2)
+@dataclass
+class Stages:
+    """TRC-3: the stages of a run with their times. A stage is timed over the action that writes its table; its rows are counted by that same action."""
+
+    timing_ms: dict[str, float] = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)
+
+    @contextmanager
+    def timed(self, stage: str):
+        began = time.perf_counter()
+        yield
+        self.timing_ms[stage] = round(self.timing_ms.get(stage, 0.0) + (time.perf_counter() - began) * 1000, 2)
+
+    def written(self, stage: str, make: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``write`` of what ``make`` plans, timed together, as planning may run jobs too; rows are observed on the way."""
+        seen = Observation(stage)
+        with self.timed(stage):
+            found = write(make().observe(seen, F.count(F.lit(1)).alias("rows")))
+        self.rows[stage] = int(seen.get["rows"])
+        return found
+
+    def table(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the batch's times as the map timing_ms."""
+        pairs = [x for name, ms in self.timing_ms.items() for x in (F.lit(name), F.lit(float(ms)))]
+        return rows.withColumn("timing_ms", F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>"))

@@ -119,7 +119,25 @@ def analyse(queries: DataFrame, config: EngineConfig) -> DataFrame:
     """(qid, query) with intent, version_mentioned, product_area, entities, expanded_queries, requires_canonical_answer (QRY-6) and all_queries."""
     brand, q = config.get("brand"), F.col("query")
     most = config.get("retrieval.query_analysis.max_expansions") if config.get("retrieval.query_analysis.expand_queries") else 0
-    out = queries.withColumn("intent", intent(q, brand)).withColumn("version_mentioned", version_mentioned(q)).withColumn("product_area", product_area(q, brand))
+    out = queries.select("qid", "query").withColumn("intent", intent(q, brand)).withColumn("version_mentioned", version_mentioned(q)).withColumn("product_area", product_area(q, brand))
     out = out.withColumn("entities", entities(q, brand)).withColumn("expanded_queries", expansions(q, F.col("product_area"), most))
+    return completed(out, "rules")
+
+
+def completed(rows: DataFrame, classifier: str) -> DataFrame:
+    """An analysis (qid, query, intent, version_mentioned, product_area, entities, expanded_queries) with what follows from it."""
+    q = F.col("query")
     canonical = F.col("intent").isin("api_reference", "version_migration") | F.lower(q).rlike(CANONICAL)
-    return out.withColumn("requires_canonical_answer", canonical).withColumn("all_queries", all_queries(q, F.col("expanded_queries"))).withColumn("classifier", F.lit("rules"))
+    return rows.withColumn("requires_canonical_answer", canonical).withColumn("all_queries", all_queries(q, F.col("expanded_queries"))).withColumn("classifier", F.lit(classifier))
+
+
+#: What a hosted analysis of a question gives (EXT-3).
+ANALYSIS = "intent string, version_mentioned string, product_area string, entities array<string>, expanded_queries array<string>"
+
+
+def hosted_analysis(queries: DataFrame, given: DataFrame, config: EngineConfig) -> DataFrame:
+    """``given`` (qid and ANALYSIS) as ``analyse`` has it: an intent that is none counts as unknown, and expansions as the rules' do."""
+    most = config.get("retrieval.query_analysis.max_expansions") if config.get("retrieval.query_analysis.expand_queries") else 0
+    rows = given.join(queries, "qid").withColumn("intent", F.when(F.col("intent").isin(*INTENTS), F.col("intent")).otherwise("unknown"))
+    rows = rows.withColumn("entities", F.coalesce("entities", F.array().cast("array<string>"))).withColumn("expanded_queries", F.slice(F.coalesce("expanded_queries", F.array().cast("array<string>")), 1, most) if most > 0 else F.array().cast("array<string>"))
+    return completed(rows.select("qid", "query", "intent", "version_mentioned", "product_area", "entities", "expanded_queries"), "hosted")

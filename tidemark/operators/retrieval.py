@@ -205,14 +205,23 @@ def search_lists(analysed: DataFrame, index: Index, config: EngineConfig) -> Dat
     return reduce(DataFrame.unionByName, arms)
 
 
+def scored_candidates(lists: DataFrame, analysed: DataFrame, index: Index, config: EngineConfig) -> DataFrame:
+    """The lists fused and weighed, without chunks of another version."""
+    fused = fuse(lists, config.get("retrieval.rrf_k"), config.get("retrieval.query_analysis.expansion_weight"))
+    scored = weigh(fused, analysed, index.chunks.withColumnRenamed("product_area", "product_area_of_chunk"), config)
+    return version_filter(scored) if config.get("retrieval.query_analysis.version_filter_is_hard") else scored
+
+
+def candidates_of(lists: DataFrame, analysed: DataFrame, index: Index, config: EngineConfig) -> DataFrame:
+    """The pool of each question."""
+    return pool(scored_candidates(lists, analysed, index, config), config.get("retrieval.candidate_pool"), config.get("retrieval.min_per_source"))
+
+
 def retrieve(analysed: DataFrame, index: Index, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
     """(candidates, per-source statistics: RET-15)."""
-    lists = search_lists(analysed, index, config)
-    fused = fuse(lists, config.get("retrieval.rrf_k"), config.get("retrieval.query_analysis.expansion_weight"))
-    chunks = index.chunks.withColumnRenamed("product_area", "product_area_of_chunk")
-    scored = weigh(fused, analysed, chunks, config)
-    if config.get("retrieval.query_analysis.version_filter_is_hard"):
-        scored = version_filter(scored)
+    # Written once: the pool and the statistics read them.
+    lists = settle(search_lists(analysed, index, config))
+    scored = settle(scored_candidates(lists, analysed, index, config))
     hits = lists.groupBy("qid", "source").agg(F.count(F.when(F.col("arm") == "bm25", 1)).alias("bm25_hits"), F.count(F.when(F.col("arm") == "dense", 1)).alias("dense_hits"), F.countDistinct("chunk_id").alias("fused"))
     top = scored.groupBy("qid", "source").agg(F.bround(F.max("retrieval_score"), 6).alias("top_score"))
     return pool(scored, config.get("retrieval.candidate_pool"), config.get("retrieval.min_per_source")), hits.join(top, ["qid", "source"], "left").fillna(0.0, ["top_score"])
