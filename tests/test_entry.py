@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidemark.plans import catalog, engine_rows, engine_sql, more_rows, more_sql, search_rows
+from tidemark.plans import branch_rows, catalog, engine_rows, engine_sql, more_rows, more_sql, search_rows
 
-QUERIES = catalog.QUERIES | engine_rows.QUERIES | more_rows.QUERIES | search_rows.QUERIES
-ORACLES = catalog.ORACLES | engine_sql.ORACLES | more_sql.ORACLES | search_rows.ORACLES
+QUERIES = catalog.QUERIES | engine_rows.QUERIES | more_rows.QUERIES | search_rows.QUERIES | branch_rows.QUERIES
+ORACLES = catalog.ORACLES | engine_sql.ORACLES | more_sql.ORACLES | search_rows.ORACLES | branch_rows.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

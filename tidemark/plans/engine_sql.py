@@ -136,11 +136,13 @@ def claim_sql(text: str) -> str:
     for attribute, patterns in con.CLAIMS.items():
         cases = []
         for pattern, value in patterns:
-            regex = quoted("(?i)" + pattern.replace("{brand}", re.escape(BRAND)).replace(r"(?=[^.]*visibility)", ""))
-            whole = f"regexp_extract({text}, {regex})"
+            # There is no look-ahead here: what it looks for is matched, and group 1 is the match without it.
+            plain, _, ahead = pattern.replace("{brand}", re.escape(BRAND)).partition("(?=")
+            regex = quoted(f"(?i)({plain})" + ahead.removesuffix(")"))
+            whole = f"regexp_extract({text}, {regex}, 1)"
             here = f"strpos({text}, {whole})"
             rest = f"substr({text}, {here} + length({whole}))"
-            part = f"regexp_extract({text}, {regex}, 1)" if value in (None, "bytes") else quoted(own(value))
+            part = f"regexp_extract({text}, {regex}, 2)" if value in (None, "bytes") else quoted(own(value))
             if value == "bytes":
                 number = f"regexp_extract(replace(replace(lower({part}), ',', ''), '_', ''), '([0-9]+(?:\\.[0-9]+)?)\\s*(kib|kb|mib|mb|bytes|b)?', 1)"
                 unit = f"regexp_extract(replace(replace(lower({part}), ',', ''), '_', ''), '([0-9]+(?:\\.[0-9]+)?)\\s*(kib|kb|mib|mb|bytes|b)?', 2)"
