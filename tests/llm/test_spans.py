@@ -64,8 +64,8 @@ def test_formats_on_other_seed():
         assert hit.mean() < 0.01 if name in ORDINARY else hit.mean() > (0.9 if name == "signed" else 0.97)
     r = random.Random(6)
     some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
-    # Near a format, but of another length or beginning, and identifiers of the formats' lengths.
-    near = [some(n) for n in (20, 32, 36, 40, 64) for _ in range(40)] + [p + some(n) for p, n in (("ghp_", 35), ("ghp_", 37), ("gha_", 36), ("npm_", 30), ("glpat-", 19), ("xoxz-", 40), ("AKIB", 16), ("SG.", 60)) for _ in range(25)]
+    # Near a format, but of another beginning or without its joint, and identifiers of the formats' lengths. Lengths vary since the table's do: those are in the next test.
+    near = [some(n) for n in (20, 32, 36, 40, 64) for _ in range(40)] + [p + some(n) for p, n in (("ghpx", 36), ("gha_", 36), ("npn_", 36), ("glpax-", 20), ("xoxz-", 40), ("AKIB", 16), ("AKIA", 17), ("SG.", 60), ("sk_life_", 24)) for _ in range(25)]
     assert (formats.scores([formats.symbols(np.frombuffer(s.encode(), np.uint8)) for s in near]) < formats.least).all()
 
 
@@ -80,6 +80,19 @@ def walked(automaton, text):
     return total + automaton.log[state, -1]
 
 
+def test_lengths_and_prefixes_that_are_not_in_the_table():
+    """Recall by format on lengths outside the table's and on the published ones, and nothing of identifiers."""
+    formats = Formats(labelled_strings())
+    r = random.Random(17)
+    every, digit = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda n, chars=every: "".join(r.choice(chars) for _ in range(n))
+    rate = lambda make, n=150: float((formats.scores([formats.symbols(np.frombuffer(make().encode(), np.uint8)) for _ in range(n)]) >= formats.least).mean())
+    for make in (lambda: f"xoxb-{some(11, digit)}-{some(11, digit)}-{some(24)}", lambda: f"xoxp-{some(12, digit)}-{some(12, digit)}-{some(50)}", lambda: "sk_live_" + some(24), lambda: "sk_live_" + some(150), lambda: "ghu_" + some(36), lambda: "ghp_" + some(20), lambda: "ghr_" + some(80), lambda: "ghp_" + some(35), lambda: "ghp_" + some(37), lambda: "npm_" + some(30), lambda: "glpat-" + some(19), lambda: "npm_" + some(36), lambda: "AIza" + some(35), lambda: "glpat-" + some(20)):
+        assert rate(make) > 0.97, make()
+    for make in (lambda: "-".join(some(k, "0123456789abcdef") for k in (8, 4, 4, 4, 12)), lambda: some(44, every + "+/"), lambda: some(r.randint(16, 64)), lambda: "_".join(some(r.randint(2, 9), "abcdefghijklmnopqrstuvwxyz") for _ in range(5))):
+        assert rate(make, 1000) == 0, make()
+
+
 def test_added_spans_are_those_of_a_plain_scorer(spark):
     r = random.Random(8)
     formats = known_formats()
