@@ -65,7 +65,7 @@ def test_formats_on_other_seed():
     r = random.Random(6)
     some = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
     # Near a format, but of another beginning or without its joint, and identifiers of the formats' lengths. Lengths vary since the table's do: those are in the next test.
-    near = [some(n) for n in (20, 32, 36, 40, 64) for _ in range(40)] + [p + some(n) for p, n in (("ghpx", 36), ("gha_", 36), ("npn_", 36), ("glpax-", 20), ("xoxz-", 40), ("AKIB", 16), ("AKIA", 17), ("SG.", 60), ("sk_life_", 24)) for _ in range(25)]
+    near = [some(n) for n in (20, 32, 36, 40, 64) for _ in range(40)] + [p + some(n) for p, n in (("ghpx", 36), ("gha_", 36), ("npn_", 36), ("glpax-", 20), ("xoxz-", 40), ("AKIB", 16), ("AKIA", 17), ("SG.", 60), ("SG.", 66), ("github_pat_", 82), ("sk_life_", 24)) for _ in range(25)]
     assert (formats.scores([formats.symbols(np.frombuffer(s.encode(), np.uint8)) for s in near]) < formats.least).all()
 
 
