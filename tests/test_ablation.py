@@ -37,7 +37,9 @@ def test_variants_like_single_runs(spark, corpus, gold):
     scores = variant_scores(engine.index, variants, gold)
     rows = {r.variant: r for r in summary(scores, "variant").collect()}
     assert set(rows) == set(ASKED)
-    for name, config in variants.items():
+    # One that is not reranked and has one arm, and one that is with another blend; a run alone takes as long as all of them together.
+    for name in ("bm25_only", "reranker_only"):
+        config = variants[name]
         one = Engine(engine.index, config).evaluate(gold)[1].first().asDict()
         assert one == {c: rows[name][c] for c in one}, name
 

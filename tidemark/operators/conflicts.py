@@ -229,7 +229,7 @@ def findings(final: DataFrame, config: EngineConfig) -> DataFrame:
     gaps = sided(known.where("source = 'docs'"), "a").join(sided(known.where("source <> 'docs' and undocumented and staff"), "b"), "qid").where(topics_overlap())
     met = typed.select("qid", F.explode(F.array(F.struct("chunk_id_a", "chunk_id_b"), F.struct(F.col("chunk_id_b").alias("chunk_id_a"), F.col("chunk_id_a").alias("chunk_id_b")))).alias("p")).select("qid", "p.*").distinct()
     gaps = gaps.join(met, ["qid", "chunk_id_a", "chunk_id_b"], "left_anti")
-    gaps = gaps.withColumns({"kind": F.struct(F.lit("docs_gap").alias("relationship"), F.lit(True).alias("reconcilable"), F.lit(0.82).alias("confidence")), "topic": F.lit(GAP), "claim_a": F.lit("documentation does not cover this"), "claim_b": F.substring("display_text_b", 1, 220), "_pass": F.lit(2)}).drop(*[f"display_{what}_{side}" for what in ("text", "tokens") for side in "ab"])
+    gaps = gaps.withColumns({"kind": F.struct(F.lit("docs_gap").alias("relationship"), F.lit(True).alias("reconcilable"), F.lit(0.82).alias("confidence")), "topic": F.lit(GAP), "claim_a": F.lit("no page of the documentation says anything about it"), "claim_b": F.substring("display_text_b", 1, 220), "_pass": F.lit(2)}).drop(*[f"display_{what}_{side}" for what in ("text", "tokens") for side in "ab"])
     both = typed.select(*gaps.columns).unionByName(gaps).select("*", "kind.*").drop("kind")
     return numbered(both, config, "rules")
 

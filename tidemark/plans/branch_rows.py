@@ -13,11 +13,13 @@ from ..operators import answers as gen
 from ..operators import conflicts as con
 from ..operators import evaluation as evl
 from ..operators.chunking import chunk
+from ..streaming.traces import closed_counts
 from . import engine_rows as rows
 from .catalog import quoted, sentences_sql, table
 from .engine_rows import CONFIG, pick
 from .engine_sql import ORACLES as ENGINE
 from .engine_sql import chain, claim_sql, options
+from .more_rows import fresh
 from .more_sql import tokens_of
 
 BRAND = CONFIG.get("brand")
@@ -97,13 +99,25 @@ def trace_records(spark, sf_dir):
     )
 
 
+def stream_counts(spark, sf_dir):
+    """Events as traces that come in two parts, the second after a restart: counts of the days that are closed."""
+    e = table(spark, sf_dir, "events")
+    log = e.select(F.col("event_id").cast("string").alias("trace_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit("q").alias("query"), F.coalesce(F.col("value") < 50, F.lit(False)).alias("refused"), F.struct(F.col("event_type").alias("intent")).alias("analysis"))
+    half = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    path = fresh(spark)
+    for part in (F.col("timestamp") < half, F.col("timestamp") >= half):
+        log.where(part).write.mode("append").json(f"{path}/log")
+        closed_counts(spark, f"{path}/log", f"{path}/counts", f"{path}/place", "1 day", "2 days")
+    return spark.read.parquet(f"{path}/counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "intent", "questions", "refused")
+
+
 def evl_stats(spark, sf_dir) -> DataFrame:
     from ..operators.rerank import statistics
 
     return statistics(rows.blended(spark, sf_dir), CONFIG)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (claims_everywhere, rule_cascade, refusal_texts, long_questions, bootstrap_interval, trace_records)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (claims_everywhere, rule_cascade, refusal_texts, long_questions, bootstrap_interval, trace_records, stream_counts)}
 
 # ---- SQL ----
 
@@ -146,5 +160,6 @@ ORACLES: dict[str, str] = {
     f"q AS (SELECT doc_id, CASE WHEN {tokens_of('b')} <= {_most} THEN b WHEN k > 0 THEN array_to_string(list_slice(s, 1, k), ' ') ELSE left(b, 600) END AS q FROM k), t AS (SELECT doc_id, {_clean("'QUESTION: T' || chr(10) || q")} || chr(10) || chr(10) || 'ANSWER (staff, accepted, 9 votes):' || chr(10) || 'Yes.' AS t FROM q) "
     "SELECT 'forum:' || doc_id || ':p2' AS chunk_id, md5(t) AS text_md5, length(t) AS chars FROM t",
     "bootstrap_interval": f"WITH v AS MATERIALIZED ({ENGINE['ranking_quality']}) SELECT * FROM {_boot('ndcg10')} UNION ALL SELECT * FROM {_boot('recall20_pool')}",
+    "stream_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS intent, count(*) AS questions, count(*) FILTER (value < 50) AS refused FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL",
     "trace_records": chain("answered", "SELECT md5(q.query) AS query_md5, q.intent, p.n AS candidates, coalesce(f.n, 0) AS chosen, f.first, coalesce(r.n, 0) AS conflicts, a.refused, CASE WHEN a.refused OR a.citations IS NULL OR a.citations = '' THEN CAST(0 AS BIGINT) ELSE len(string_split(a.citations, '|')) END AS cited FROM qa q LEFT JOIN (SELECT qid, count(*) AS n FROM pool GROUP BY qid) p USING (qid) LEFT JOIN (SELECT qid, count(*) AS n, arg_min(chunk_id, rank_after) AS first FROM final GROUP BY qid) f USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM resolved GROUP BY qid) r USING (qid) JOIN answered a USING (qid)"),
 }

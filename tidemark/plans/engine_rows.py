@@ -37,14 +37,21 @@ VERSIONS = ("2.4", "3.0", "3.2", None)
 ROLES = ("user", "staff", "mvp", "guest")
 AREAS = ("retries", "payloads", "cli", "auth", "", None)
 
-_made: dict[tuple[str, str, str], object] = {}
+_made: dict[tuple, object] = {}
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of what lies in the folder, so that tables written anew are read anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def stage(make: Callable) -> Callable:
-    """A stage's table, computed and written once in a session."""
+    """A stage's table, computed and written once in a session while the tables it reads stay as they are."""
 
     def get(spark: SparkSession, sf_dir: str):
-        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir), make.__name__)
         if key not in _made:
             found = make(spark, sf_dir)
             _made[key] = settle(found) if isinstance(found, DataFrame) else found

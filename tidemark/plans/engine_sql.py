@@ -182,7 +182,7 @@ _overlap = "((a.area <> '' AND a.area = b.area) OR list_has_any(a.tags, b.tags)
 CTES["both_"] = (
     "SELECT a.qid AS qid, struct_pack(chunk_id := a.chunk_id, source := a.source, rank_after := a.rank_after, tags := a.tags, authority := a.authority, parts := a.parts, day := a.day) AS a, struct_pack(chunk_id := b.chunk_id, source := b.source, rank_after := b.rank_after, tags := b.tags, authority := b.authority, parts := b.parts, day := b.day) AS b, topic, kind, claim_a, claim_b, 1 AS pass FROM typed UNION ALL "
     "SELECT a.qid, struct_pack(chunk_id := a.chunk_id, source := a.source, rank_after := a.rank_after, tags := a.tags, authority := a.authority, parts := a.parts, day := a.day), struct_pack(chunk_id := b.chunk_id, source := b.source, rank_after := b.rank_after, tags := b.tags, authority := b.authority, parts := b.parts, day := b.day), "
-    f"'{con.GAP}', {_kind('docs_gap', 'true', 0.82)}, 'documentation does not cover this', substr(b.shown, 1, 220), 2 FROM facts a JOIN facts b ON a.qid = b.qid AND a.source = 'docs' AND b.source <> 'docs' AND b.undocumented AND b.staff AND {_overlap} "
+    f"'{con.GAP}', {_kind('docs_gap', 'true', 0.82)}, 'no page of the documentation says anything about it', substr(b.shown, 1, 220), 2 FROM facts a JOIN facts b ON a.qid = b.qid AND a.source = 'docs' AND b.source <> 'docs' AND b.undocumented AND b.staff AND {_overlap} "
     "WHERE NOT EXISTS (SELECT 1 FROM (SELECT qid AS tq, a.chunk_id AS ta, b.chunk_id AS tb FROM typed) t WHERE tq = a.qid AND ((ta = a.chunk_id AND tb = b.chunk_id) OR (ta = b.chunk_id AND tb = a.chunk_id)))"
 )
 CTES["found"] = (

@@ -21,3 +21,18 @@ def intent_counts(stream: DataFrame, window: str = "10 minutes", late: str = "30
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append traces as JSON once each, micro-batch by micro-batch."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def closed_counts(spark: SparkSession, path: str, target: str, checkpoint: str, window: str = "10 minutes", late: str = "30 minutes", files: int | None = None) -> None:
+    """Take in what has come to the log at ``path`` since the last call and append the counts of the windows that are closed to ``target``.
+
+    One run over what is there (``files`` of them at a time): the checkpoint keeps the
+    place in the log and the open windows, so a run that is killed, or the next one,
+    goes on from there and no trace counts twice. A window closes when a trace comes that
+    is ``late`` after its end; traces of closed windows are left out.
+    """
+    reader = spark.readStream.schema(SCHEMA)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).json(path)
+    counts = intent_counts(stream, window, late).select(F.col("window.start").alias("start"), "intent", "questions", "refused")
+    query = counts.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
