@@ -45,10 +45,11 @@ def test_frequent_terms_are_mostly_not_scored(spark):
     posts, sources = ix.postings(chunks), ix.source_stats(chunks)
     blocks = bounds.impact_blocks(posts, sources)
     terms = spark.createDataFrame([("q", 0, t, 1) for t in ("t0", "t1", "t60", "t75", "t90")], "qid string, qi int, term string, qtf long")
-    read = bounds.postings_read(terms, posts, sources, ix.term_stats(posts, sources), blocks, 5).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("all", "early", "chosen")]).collect()
+    stats = ix.term_stats(posts, sources)
+    read = bounds.postings_read(terms, posts, sources, stats, blocks, 5).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("all", "early", "chosen")]).collect()
     of = {r.term: r for r in read}
     assert of["t0"]["all"] > 2000 and of["t0"].early + of["t0"].chosen < 0.2 * of["t0"]["all"]
-    assert bounds.pairs_asked(terms, blocks) == sum(r["all"] for r in read)
+    assert bounds.pairs_asked(terms, stats) == sum(r["all"] for r in read)
 
 
 def test_no_postings(spark):
@@ -93,3 +94,18 @@ def test_cells_of_nothing(spark):
     chunks, questions = vectors(spark, 20, 4, 2)
     assert visited(questions, build_cells(chunks.limit(0)), 5)[0].count() == 0
     assert visited(questions.limit(0), build_cells(chunks), 5)[0].count() == 0
+
+
+def test_a_large_batch_goes_by_bounds(spark, monkeypatch):
+    """Whole search with both arms: the same lists whichever way it goes, with tables made for the batch or beforehand."""
+    from tidemark.config import EngineConfig
+    from tidemark.operators.retrieval import search_lists
+
+    rows = corpus(spark, 200).withColumn("text", F.array_join("tokens", " ")).withColumn("display_text", F.col("text")).drop("tokens").withColumn("context_header", F.lit(None).cast("string"))
+    config = EngineConfig().variant({"index.dense.dims": 16})
+    index = ix.build_index(rows, config, lambda df: df.cache())
+    analysed = spark.createDataFrame([(f"q{i}", [f"t{i} t{i + 9} t0", f"t{i} t1"]) for i in range(12)], "qid string, all_queries array<string>")
+    lists = lambda own: sorted((r.arm, r.qid, r.qi, r.source, r.chunk_id, r["rank"], round(r.score, 8)) for r in search_lists(analysed, own, config).collect())
+    plain = lists(index)
+    monkeypatch.setattr(ret, "MOST_PAIRS", 10)
+    assert plain and lists(index) == plain and lists(ix.with_bounds(index, config)) == plain

@@ -92,9 +92,9 @@ def bounded_scores(terms: DataFrame, posts: DataFrame, sources: DataFrame, stats
     return left.join(more, [*ASK, "chunk_id"], "left").select(*ASK, "chunk_id", "doc_pos", (F.col("known") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
-def pairs_asked(terms: DataFrame, blocks: DataFrame) -> int:
+def pairs_asked(terms: DataFrame, stats: DataFrame) -> int:
     """How many (question, posting) pairs a search without bounds scores."""
-    sizes = blocks.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n"))
+    sizes = stats.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("n"))
     return terms.join(sizes, "term").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

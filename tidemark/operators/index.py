@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..session import settle
 from .bounds import impact_blocks
 from .cells import Cells, build_cells
 from .lsa import lsa
@@ -97,6 +98,7 @@ class Index:
     vocabulary: DataFrame
     weights: DataFrame
     vectors: DataFrame | None
+    #: Of a built index; search makes them for a batch that is large enough to need them.
     blocks: DataFrame | None = None
     cells: Cells | None = None
 
@@ -117,8 +119,13 @@ def build_index(chunks: DataFrame, config, keep=lambda df: df) -> Index:
     weights = keep(tfidf(posts, sources, config.get("index.dense.min_df"), config.get("index.dense.sublinear_tf")))
     dense = config.get("index.dense.enabled")
     vectors = keep(lsa(weights, config.get("index.dense.dims"))) if dense else None
-    blocks = keep(impact_blocks(posts, sources, config.get("index.bm25.k1"), config.get("index.bm25.b"))) if config.get("index.bm25.enabled") else None
-    return Index(chunks, posts, keep(doc_stats(chunks)), sources, keep(term_stats(posts, sources)), keep(vocabulary(posts)), weights, vectors, blocks, build_cells(chunk_vectors(chunks, vectors)) if dense else None)
+    return Index(chunks, posts, keep(doc_stats(chunks)), sources, keep(term_stats(posts, sources)), keep(vocabulary(posts)), weights, vectors)
+
+
+def with_bounds(index: Index, config) -> Index:
+    """``index`` with its impact blocks and cells, for many batches."""
+    blocks = settle(impact_blocks(index.postings, index.source_stats, config.get("index.bm25.k1"), config.get("index.bm25.b")))
+    return replace(index, blocks=blocks, cells=build_cells(chunk_vectors(index.chunks, index.vectors)) if index.vectors is not None else None)
 
 
 def chunk_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -14,13 +14,13 @@ from pyspark.sql.window import Window
 from ..config import EngineConfig
 from ..functions.text import iso_date, tokenize
 from ..session import settle
-from .bounds import bounded_scores, pairs_asked
-from .cells import visited
+from .bounds import bounded_scores, impact_blocks, pairs_asked
+from .cells import build_cells, visited
 from .chunking import version_of
-from .index import Index, unit, weighted_sum
+from .index import Index, chunk_vectors, unit, weighted_sum
 
 SOURCES = ("docs", "forum", "blog")
-#: With more (question, posting) pairs than this, search leaves out postings by bounds; with fewer its steps cost more than the pairs. Results are the same.
+#: With more pairs of questions and postings, or of questions and chunks, than this, search goes by bounds and by cells; with fewer their steps cost more than the pairs. Results are the same.
 MOST_PAIRS = 1 << 25
 #: Bytes of question vectors that a task holds.
 QUESTION_BYTES = 32 << 20
@@ -66,12 +66,17 @@ def question_vectors(terms: DataFrame, index: Index, sublinear: bool = True) ->
 
 
 def dense(terms: DataFrame, index: Index, k: int, sublinear: bool = True) -> DataFrame:
-    """RET-2: cosine of each phrasing's coordinate with the chunks of every source, above 1e-6; by cells where the index has them."""
-    if index.cells is not None:
-        hits, _ = visited(settle(question_vectors(terms, index, sublinear)), index.cells, k)
-        return ranked(hits.withColumn("qid", F.col("qid").cast(terms.schema["qid"].dataType)), k)
-    chunks = index.vectors.where("kind = 'chunk'").select("source", F.col("key").alias("chunk_id"), F.col("vector").alias("x")).join(index.chunks.select("chunk_id", "doc_pos"), "chunk_id")
-    return nearest(settle(question_vectors(terms, index, sublinear)), chunks, k)
+    """RET-2: cosine of each phrasing's coordinate with the chunks of every source, above 1e-6; by cells where the index has them or there are very many pairs."""
+    asked = settle(question_vectors(terms, index, sublinear))
+    chunks = chunk_vectors(index.chunks, index.vectors)
+    cells = index.cells
+    if cells is None:
+        sizes = asked.groupBy("source").agg(F.count("*").alias("a")).join(index.source_stats.select("source", "n"), "source")
+        if sizes.agg(F.coalesce(F.sum(F.col("a") * F.col("n")), F.lit(0))).first()[0] <= MOST_PAIRS:
+            return nearest(asked, chunks, k)
+        cells = build_cells(settle(chunks))
+    hits, _ = visited(asked, cells, k)
+    return ranked(hits.withColumn("qid", F.col("qid").cast(terms.schema["qid"].dataType)), k)
 
 
 def nearest(asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -197,8 +202,11 @@ def search_lists(analysed: DataFrame, index: Index, config: EngineConfig) -> Dat
         shape = (k, config.get("index.bm25.k1"), config.get("index.bm25.b"))
         tables = (index.postings, index.source_stats, index.term_stats)
         terms = settle(terms)
-        many = index.blocks is not None and pairs_asked(terms, index.blocks) > MOST_PAIRS
-        found = bm25_bounded(terms, *tables, index.blocks, *shape) if many else bm25(terms, *tables, *shape)
+        if pairs_asked(terms, index.term_stats) > MOST_PAIRS:
+            blocks = index.blocks if index.blocks is not None else settle(impact_blocks(index.postings, index.source_stats, *shape[1:]))
+            found = bm25_bounded(terms, *tables, blocks, *shape)
+        else:
+            found = bm25(terms, *tables, *shape)
         arms.append(found.withColumn("arm", F.lit("bm25")))
     if config.get("index.dense.enabled") and index.vectors is not None:
         arms.append(dense(terms, index, k, config.get("index.dense.sublinear_tf")).withColumn("arm", F.lit("dense")))
