@@ -121,3 +121,15 @@ def test_near_duplicates_from_80(spark, tmp_path):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - gone
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that the stages add for themselves stay, in the near-duplicate and the mixing stage."""
+    from tidemark.llm.minhash import one_of_each
+
+    rows = [(i, f"alpha beta gamma delta epsilon zeta eta theta {i // 2}" if i < 6 else f"text {i} of its own with some more words {i}", "s", i, i, i, i, i) for i in range(10)] + [(9, "again a text of id nine that is long enough", "s", 9, 9, 9, 9, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, marked int, gone int, rows int, `row` int, `_row` int")
+    kept = one_of_each(frame)
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    assert all((r.marked, r.gone, r.rows, r._row) == (r.doc_id,) * 4 for r in got) and sorted(r.doc_id for r in got) == [0, 2, 4, 6, 7, 8, 9]
