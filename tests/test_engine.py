@@ -101,6 +101,13 @@ def test_traces(run, tmp_path, spark):
     assert "conflict max_payload_bytes" in explain_trace(last.first().asDict(recursive=True))
 
 
+def test_every_stage_has_a_time(run):
+    """The times are those of the actions that write the stages, and the same actions count the rows."""
+    stages = {"analysis", "retrieval", "rerank", "contradiction", "resolution", "generation"}
+    assert all(set(r.timing_ms) == stages and min(r.timing_ms.values()) > 0 for r in run.traces.collect())
+    assert run.stages.rows == {"analysis": run.analysed.count(), "retrieval": run.pool.count(), "rerank": run.final.count(), "contradiction": run.findings.count(), "resolution": run.resolutions.count(), "generation": run.answers.count()}
+
+
 def test_ask(engine):
     assert engine.ask("hi there").first().kind == "greeting"
     assert engine.ask("What is the maximum payload size?").first().kind == "answer"
