@@ -22,7 +22,7 @@ from ..operators.evaluation import nearest_ranks
 from ..operators.questions import analyse
 from ..operators.rerank import min_max
 from ..operators.retrieval import bm25, fuse, phrasings
-from ..session import settle, spread
+from ..session import packed, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,10 @@ def tokenize_tokens(spark, sf_dir):
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(chunks with tokens, postings), each written once for the several uses of them."""
-    rows = settle(chunks(spark, sf_dir).drop("text"))
-    return rows, settle(ix.postings(rows))
+    """(sources' statistics, postings), from one pass over the texts; the postings are written for the several uses of them."""
+    rows = chunks(spark, sf_dir)
+    posts = packed(ix.postings(rows))
+    return packed(ix.source_stats_of(rows, posts)), posts
 
 
 def term_freq(spark, sf_dir):
@@ -55,8 +56,8 @@ def term_freq(spark, sf_dir):
 
 
 def doc_freq_idf(spark, sf_dir):
-    rows, posts = indexed(spark, sf_dir)
-    return ix.term_stats(posts, ix.source_stats(rows)).select("source", "term", "df", F.round("idf", 6).alias("idf"))
+    rows = chunks(spark, sf_dir)
+    return ix.term_stats(ix.postings(rows), ix.source_stats(rows)).select("source", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def source_stats(spark, sf_dir):
@@ -68,15 +69,14 @@ def vocabulary(spark, sf_dir):
 
 
 def tfidf_top_terms(spark, sf_dir):
-    rows, posts = indexed(spark, sf_dir)
-    w = ix.tfidf(posts, ix.source_stats(rows))
+    sources, posts = indexed(spark, sf_dir)
+    w = ix.tfidf(posts, sources)
     order = Window.partitionBy("source", "chunk_id").orderBy(F.desc(F.round("w", 9)), "term")
     return w.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("source", "chunk_id", "term", F.round("w", 6).alias("w"), "rank")
 
 
 def searched(spark, sf_dir, k=10) -> DataFrame:
-    rows, posts = indexed(spark, sf_dir)
-    sources = ix.source_stats(rows)
+    sources, posts = indexed(spark, sf_dir)
     asked = questions(spark, sf_dir).select("qid", F.array("query").alias("all_queries"))
     return bm25(phrasings(asked), posts, sources, ix.term_stats(posts, sources), k)
 

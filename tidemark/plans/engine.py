@@ -17,7 +17,7 @@ from ..operators.index import Index, build_index
 from ..operators.questions import analyse, hosted_analysis
 from ..operators.rerank import blend, features, rerank, select
 from ..operators.retrieval import candidates_of, retrieve, search_lists
-from ..session import settle
+from ..session import packed, settle
 from .hosted import or_rules
 
 
@@ -54,7 +54,7 @@ class Engine:
     @classmethod
     def build(cls, corpus: dict[str, DataFrame], config: EngineConfig | None = None) -> Engine:
         config = config or EngineConfig()
-        return cls(build_index(chunk_corpus(corpus, config), config, settle), config)
+        return cls(build_index(chunk_corpus(corpus, config), config, packed), config)
 
     def run(self, queries: DataFrame) -> Run:
         """Questions (qid, query) through all stages. A stage's table is written once, and its time goes into the traces."""

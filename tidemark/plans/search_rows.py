@@ -21,7 +21,7 @@ from ..operators import retrieval as ret
 from ..operators.bounds import impact_blocks
 from ..operators.cells import build_cells
 from ..operators.lsa import lsa
-from ..session import settle, spread
+from ..session import packed, settle, spread
 from . import catalog, more_sql
 from .engine_rows import analysed, index, stage
 from .engine_sql import CTES, chain
@@ -34,8 +34,7 @@ FULL = 1024
 
 def bm25_bounds(spark, sf_dir):
     """BM25 with postings left out by upper bounds."""
-    rows, posts = catalog.indexed(spark, sf_dir)
-    sources = settle(ix.source_stats(rows))
+    sources, posts = catalog.indexed(spark, sf_dir)
     asked = catalog.questions(spark, sf_dir).select("qid", F.array("query").alias("all_queries"))
     found = ret.bm25_bounded(settle(ret.phrasings(asked)), posts, sources, ix.term_stats(posts, sources), impact_blocks(posts, sources), 10)
     return found.select("qid", "source", "chunk_id", F.round("score", 6).alias("score"), "rank")
@@ -45,7 +44,7 @@ def bm25_bounds(spark, sf_dir):
 def both_arms(spark, sf_dir):
     """The index with given vectors and their cells."""
     built = index(spark, sf_dir)
-    vectors = settle(given_vectors(built))
+    vectors = packed(given_vectors(built))
     return replace(built, vectors=vectors, cells=build_cells(ix.chunk_vectors(built.chunks, vectors)))
 
 
