@@ -42,15 +42,15 @@ def text_forms(spark, sf_dir):
 def text_values(spark, sf_dir):
     """Sizes, greetings, dates, versions, likeness and free names (for the digits of the text's hash, which repeat)."""
     d = documents(spark, sf_dir)
+    # Values of whole texts that are used again and again are columns first, so each is computed once for a row.
+    d = d.select("doc_id", F.array_distinct(tx.tokenize(F.col("text"))).alias("tokens"), F.array_distinct(tx.tokenize(F.coalesce(F.try_element_at(tx.sentences(F.col("text")), F.lit(1)), F.lit("")))).alias("first"), F.md5("text").alias("text_md5"), F.md5("source").alias("source_md5"))
+    d = d.select("*", F.split("text_md5", "").alias("letters"), digits("text_md5").alias("x"), digits("source_md5").alias("y"))
     i = F.col("doc_id")
     size = F.when(i % 7 == 0, F.lit("no size")).otherwise(F.concat((i * 37 % 2000).cast("string"), F.when(i % 2 == 0, F.lit(".5 ")).otherwise(F.lit(",000")), pick(UNITS, i % len(UNITS))))
-    tokens = tx.tokenize(F.col("text"))
-    first = tx.tokenize(F.coalesce(F.try_element_at(tx.sentences(F.col("text")), F.lit(1)), F.lit("")))
-    letters = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda at: F.substring(F.md5("text"), at, F.lit(1)))
     parts = F.array_join(F.transform(tx.version_parts(pick(VERSIONS, i % len(VERSIONS))), lambda p: p.cast("string")), "|")
     return d.select(
         "doc_id", tx.size_in_bytes(size).alias("bytes"), tx.is_small_talk(pick(GREETINGS, i % len(GREETINGS))).alias("greeting"), tx.iso_date(pick(DATES, i % len(DATES))).cast("string").alias("day"), parts.alias("parts"),
-        F.round(tx.jaccard(F.array_distinct(tokens), F.array_distinct(first)), 6).alias("likeness"), F.round(tx.cosine(hexes("text"), hexes("source")), 6).alias("cosine"), F.array_join(tx.dedupe_slugs(letters), "|").alias("names"),
+        F.round(tx.jaccard(F.col("tokens"), F.col("first")), 6).alias("likeness"), F.round(tx.cosine(F.col("x"), F.col("y")), 6).alias("cosine"), F.array_join(tx.dedupe_slugs(F.col("letters")), "|").alias("names"),
     )
 
 
@@ -158,6 +158,10 @@ def trace_log(spark, sf_dir):
     return corpus.read_traces(spark, path, 20, "retries").select("trace_id", "timestamp", "query")
 
 
+def digits(md5: str) -> F.Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(DIMS)), lambda i: F.conv(F.substring(F.col(md5), i, F.lit(1)), 16, 10).cast("double") - 7.5)
+
+
 def hexes(name: str) -> F.Column:
     return F.transform(F.sequence(F.lit(1), F.lit(DIMS)), lambda i: F.conv(F.substring(F.md5(F.col(name)), i, F.lit(1)), 16, 10).cast("double") - 7.5)
 
