@@ -57,7 +57,9 @@ def term_freq(spark, sf_dir):
 
 def doc_freq_idf(spark, sf_dir):
     rows = chunks(spark, sf_dir)
-    return ix.term_stats(ix.postings(rows), ix.source_stats(rows)).select("source", "term", "df", F.round("idf", 6).alias("idf"))
+    # Written, so that Spark sees how few they are; a join by source would put all terms of one into one task.
+    sources = packed(ix.source_stats(rows).select("source", "n"))
+    return ix.term_stats(ix.postings(rows), sources).select("source", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def source_stats(spark, sf_dir):
