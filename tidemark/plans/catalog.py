@@ -47,19 +47,19 @@ def tokenize_tokens(spark, sf_dir):
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(sources' statistics, postings), from one pass over the texts; the postings are written for the several uses of them."""
     rows = chunks(spark, sf_dir)
-    posts = packed(ix.postings(rows))
+    posts = packed(ix.postings(rows.drop("tokens")))
     return packed(ix.source_stats_of(rows, posts)), posts
 
 
 def term_freq(spark, sf_dir):
-    return ix.postings(chunks(spark, sf_dir)).groupBy("source", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"), F.max("tf").alias("max_tf"))
+    return ix.postings(chunks(spark, sf_dir).drop("tokens")).groupBy("source", "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"), F.max("tf").alias("max_tf"))
 
 
 def doc_freq_idf(spark, sf_dir):
     rows = chunks(spark, sf_dir)
     # Written, so that Spark sees how few they are; a join by source would put all terms of one into one task.
     sources = packed(ix.source_stats(rows).select("source", "n"))
-    return ix.term_stats(ix.postings(rows), sources).select("source", "term", "df", F.round("idf", 6).alias("idf"))
+    return ix.term_stats(ix.postings(rows.drop("tokens")), sources).select("source", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def source_stats(spark, sf_dir):
@@ -67,7 +67,7 @@ def source_stats(spark, sf_dir):
 
 
 def vocabulary(spark, sf_dir):
-    return ix.vocabulary(ix.postings(chunks(spark, sf_dir)))
+    return ix.vocabulary(ix.postings(chunks(spark, sf_dir).drop("tokens")))
 
 
 def tfidf_top_terms(spark, sf_dir):

@@ -168,7 +168,7 @@ def hexes(name: str) -> F.Column:
 
 def given_vectors(built) -> DataFrame:
     """Vectors of an index's terms and chunks, by digits of their hashes."""
-    terms = built.postings.select("source", "term").distinct().select("source", F.lit("term").alias("kind"), F.col("term").alias("key"), hexes("term").alias("vector"), (1 + F.length("term") / 10).alias("idf"))
+    terms = built.term_stats.select("source", F.lit("term").alias("kind"), F.col("term").alias("key"), hexes("term").alias("vector"), (1 + F.length("term") / 10).alias("idf"))
     chunks = built.chunks.select("source", F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), hexes("chunk_id").alias("vector"), F.lit(None).cast("double").alias("idf"))
     return terms.unionByName(chunks)
 
