@@ -78,9 +78,11 @@ def tfidf_top_terms(spark, sf_dir):
 
 
 def searched(spark, sf_dir, k=10) -> DataFrame:
+    """The search needs statistics of the asked terms alone, so no count of another term is shuffled. The terms are written, so that Spark knows how few they are."""
     sources, posts = indexed(spark, sf_dir)
-    asked = questions(spark, sf_dir).select("qid", F.array("query").alias("all_queries"))
-    return bm25(phrasings(asked), posts, sources, ix.term_stats(posts, sources), k)
+    terms = packed(phrasings(questions(spark, sf_dir).select("qid", F.array("query").alias("all_queries"))))
+    own = posts.join(terms.select("term").distinct(), "term", "left_semi")
+    return bm25(terms, posts, sources, ix.term_stats(own, sources), k)
 
 
 def bm25_topk(spark, sf_dir):
