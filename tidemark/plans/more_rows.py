@@ -166,17 +166,18 @@ def hexes(name: str) -> F.Column:
     return F.transform(F.sequence(F.lit(1), F.lit(DIMS)), lambda i: F.conv(F.substring(F.md5(F.col(name)), i, F.lit(1)), 16, 10).cast("double") - 7.5)
 
 
-def given_vectors(built) -> DataFrame:
-    """Vectors of an index's terms and chunks, by digits of their hashes."""
-    terms = built.term_stats.select("source", F.lit("term").alias("kind"), F.col("term").alias("key"), hexes("term").alias("vector"), (1 + F.length("term") / 10).alias("idf"))
+def given_vectors(built, asked: DataFrame) -> DataFrame:
+    """Vectors of an index's chunks and of those of its terms that ``asked`` has, by digits of their hashes."""
+    terms = built.stats_of(asked).select("source", F.lit("term").alias("kind"), F.col("term").alias("key"), hexes("term").alias("vector"), (1 + F.length("term") / 10).alias("idf"))
     chunks = built.chunks.select("source", F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), hexes("chunk_id").alias("vector"), F.lit(None).cast("double").alias("idf"))
     return terms.unionByName(chunks)
 
 
 def dense_lists(spark, sf_dir):
-    """Fold-in and dense search over given vectors of terms and chunks, all of them."""
+    """Fold-in and dense search over given vectors of the terms asked and of all chunks."""
     built = index(spark, sf_dir)
-    found = ret.dense(ret.phrasings(analysed(spark, sf_dir)), replace(built, vectors=given_vectors(built)), 10)
+    terms = ret.phrasings(analysed(spark, sf_dir))
+    found = ret.dense(terms, replace(built, vectors=given_vectors(built, terms)), 10)
     return found.select("qid", "qi", "source", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -42,9 +42,9 @@ def bm25_bounds(spark, sf_dir):
 
 @stage
 def both_arms(spark, sf_dir):
-    """The index with given vectors and their cells."""
+    """The index with given vectors of the questions' terms and of all chunks, and the chunks' cells."""
     built = index(spark, sf_dir)
-    vectors = packed(given_vectors(built))
+    vectors = packed(given_vectors(built, ret.phrasings(analysed(spark, sf_dir))))
     return replace(built, vectors=vectors, cells=build_cells(ix.chunk_vectors(built.chunks, vectors)))
 
 
